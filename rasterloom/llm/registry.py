@@ -5,9 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_url_filter": "url_filters",
     "op3_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
+    "op8_byte_bpe": "byte_bpe",
     "op10_quality_rules": "quality_rules",
 }
 
