@@ -9,7 +9,9 @@ MODULES = {
     "op2_url_filter": "url_filters",
     "op3_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
+    "op5_quality_classifier": "quality_cnn",
     "op8_byte_bpe": "byte_bpe",
+    "op9_ann": "ann_tree",
     "op10_quality_rules": "quality_rules",
 }
 
