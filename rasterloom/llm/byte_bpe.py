@@ -31,7 +31,7 @@ from . import common as C
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 1_500_000
 #: Longer words are encoded but not remembered.
 LONGEST_WORD = 48
 
@@ -115,7 +115,7 @@ class Bpe:
         if found is None:
             found = " ".join(map(str, self.merge(part.encode("utf-8", "surrogatepass"))))
             if len(part) <= LONGEST_WORD:
-                if len(self.parts) >= MEMORY_WORDS // 2:
+                if len(self.parts) >= MEMORY_WORDS // 4:
                     self.parts.clear()
                 self.parts[part] = found
         return found
@@ -157,11 +157,11 @@ class _Memory(dict):
         if not word or word[0].isspace():
             raise Unsafe
         bpe = self.bpe
-        parts = bpe.find(" " + word)
-        if len(parts) == 1 and len(word) <= LONGEST_WORD:
-            found = " ".join(map(str, bpe.merge(parts[0].encode("utf-8", "surrogatepass"))))
-        else:
-            found = " ".join(map(bpe._part, parts))
+        first, *rest = bpe.find(" " + word)
+        if not rest:
+            found = " ".join(map(str, bpe.merge(first.encode("utf-8", "surrogatepass"))))
+        else:  # a word and its punctuation: the word itself is remembered without it
+            found = " ".join([self[first[1:]], *map(bpe._part, rest)])
         if len(word) <= LONGEST_WORD:
             if len(self) >= MEMORY_WORDS:
                 self.clear()
