@@ -10,6 +10,7 @@ MODULES = {
     "op3_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
     "op5_quality_classifier": "quality_cnn",
+    "op6_pii": "pii",
     "op7_ngram_jaccard": "ngram_join",
     "op8_byte_bpe": "byte_bpe",
     "op9_ann": "ann_tree",
