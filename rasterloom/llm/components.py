@@ -31,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = C.written(small, "stars")
         # done when every node has one edge and no root hangs on another
-        n = new.count()
-        again = new.agg(F.countDistinct("u").alias("nodes")).first()["nodes"] != n or new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() > 0
+        ends = new.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(new.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+        ends = ends.groupBy("node").agg(F.sum("below").alias("edges"), F.min("below").alias("root"))
+        again = ends.where("edges > 1 or (edges = 1 and root = 0)").limit(1).count() > 0
         stars = new
         if not again:
             break

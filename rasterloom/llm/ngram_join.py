@@ -11,13 +11,15 @@ Set relations save work at both levels of the join:
   apart to match, and lists with the same members are one list that counts several times.
   From these counts follows how many prefix shingles two sets share at most, and pairs whose
   sets cannot overlap enough are skipped by that position bound.
-* answers: a long list is not paired out.  One member is compared with all others, and since
-  the Jaccard distance obeys the triangle inequality, what it answers decides most other
-  pairs: those that are linked through it, and those too far apart by its distances.  Only
-  members that are still undecided meet again, around another member.
+* answers: the members of a long list are not paired out.  They form a family around one
+  member, the hub, which is compared with all others on whole texts.  The answer for a member
+  is its difference from the hub: shingles it lacks and shingles it adds.  Overlaps between
+  other members follow from these differences alone, block by block, without their sets; and
+  members linked with the hub need no comparison with each other.
 
-All pairs that stay are compared on whole texts.  No list, group or link set is gathered on
-the driver or in one task: lists over ``SHORT`` members travel as rows.
+Pairs of short lists that stay are compared on whole texts.  No list, group or link set is
+gathered on the driver or in one task: lists over ``SHORT`` members travel as rows, and a
+family meets in pairs of blocks of about ``BLOCK_ROWS`` members.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts of
 1 to 4 words have one shingle; null ids count as one id after all others, their component is
@@ -42,8 +44,8 @@ WIDTH, NUM, DEN = 5, 3, 4  # linked when intersection / union >= NUM / DEN
 SHORT = 64
 #: One in SAMPLE_EVERY nodes, SAMPLE_NODES at most, tells which shingles are frequent; the MAX_FREQUENT most frequent are broadcast.
 SAMPLE_EVERY, SAMPLE_NODES, SAMPLE_SEEN, MAX_FREQUENT = 12, 200_000, 3, 1_000_000
-#: After so many rounds around single members the pairs that are left are compared one by one.
-ROUNDS = 8
+#: Members of a family that meet in one block.
+BLOCK_ROWS = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -118,8 +120,11 @@ def _map_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
 
-def _map_prefixes(frequent: np.ndarray):
-    """(token, node, n) for the prefix of each set; a set met before in the task is passed over."""
+def _map_prefixes(frequent: np.ndarray, rank: np.ndarray):
+    """(token, node, n) for the prefix of each set; a set met before in the task is passed over.
+
+    Frequent shingles come last, by how frequent they are.
+    """
     bits = 22
     maybe = np.zeros(1 << bits, bool)
     maybe[(frequent >> np.uint64(64 - bits)).astype(np.int64)] = True
@@ -137,8 +142,9 @@ def _map_prefixes(frequent: np.ndarray):
                     hit = np.flatnonzero(late)
                     if len(hit):
                         found = np.minimum(np.searchsorted(frequent, s[hit]), len(frequent) - 1)
-                        late[hit] = frequent[found] == s[hit]
-                        s = np.concatenate([s[~late], s[late]])
+                        real = frequent[found] == s[hit]
+                        late[hit] = real
+                        s = np.concatenate([s[~late], s[late][np.argsort(rank[found[real]])]])
                     s = s[: len(s) + (-NUM * len(s) // DEN) + 1]
                     tokens.append(s)
                     nodes.append(name)
@@ -213,27 +219,100 @@ def _bound(a: str, b: str) -> str:
     return f"(({a} + {b}) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}"
 
 
-def _map_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact intersections of the pairs' whole texts."""
-    rolling, last, last_set = Rolling(), None, None
-    for whole in batches:
-        for at in range(0, whole.num_rows, 128):
-            batch = whole.slice(at, 128)
-            a, b, za, zb = _columns(batch, "a", "b", "za", "zb")
-            left = a.to_pylist()
-            fresh = [k for k in range(len(left)) if left[k] != (left[k - 1] if k else last)]
-            texts = pa.array([unzipped(za[k].as_py()) for k in fresh] + [unzipped(z.as_py()) for z in zb], pa.large_binary()).cast(pa.large_string())
-            sets = [s for _, block in sets_of(rolling, texts) for s in block]
-            of_a, of_b = iter(sets[: len(fresh)]), sets[len(fresh) :]
-            union, common, start = [], [], set(fresh)
-            for k, y in enumerate(of_b):
-                if k in start:
-                    last_set = next(of_a)
-                both = len(np.intersect1d(last_set, y, assume_unique=True))
-                common.append(both)
-                union.append(len(last_set) + len(y) - both)
-            last = left[-1]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
+def _map_compared(differences: bool):
+    """Exact intersections of the pairs' whole texts; on demand what b lacks of a, as places, and what it adds."""
+    names = ["a", "b", "common", "na", "nb", *(["lacks", "adds"] if differences else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, last, last_set = Rolling(), None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                a, b, za, zb = _columns(batch, "a", "b", "za", "zb")
+                left = a.to_pylist()
+                fresh = [k for k in range(len(left)) if left[k] != (left[k - 1] if k else last)]
+                texts = pa.array([unzipped(za[k].as_py()) for k in fresh] + [unzipped(z.as_py()) for z in zb], pa.large_binary()).cast(pa.large_string())
+                sets = [s for _, block in sets_of(rolling, texts) for s in block]
+                of_a, of_b, start = iter(sets[: len(fresh)]), sets[len(fresh) :], set(fresh)
+                common, na, nb, lacks, adds = [], [], [], [], []
+                for k, y in enumerate(of_b):
+                    if k in start:
+                        last_set = next(of_a)
+                    place = np.minimum(np.searchsorted(last_set, y), len(last_set) - 1)
+                    both = last_set[place] == y
+                    common.append(int(both.sum()))
+                    na.append(len(last_set))
+                    nb.append(len(y))
+                    if differences:
+                        there = np.ones(len(last_set), bool)
+                        there[place[both]] = False
+                        lacks.append(np.flatnonzero(there).astype(np.int32))
+                        adds.append(y[~both].view(np.int64))
+                last = left[-1]
+                columns = [a, b, *[pa.array(c, pa.int64()) for c in (common, na, nb)]]
+                if differences:
+                    columns += [pa.array(lacks, pa.list_(pa.int32())), pa.array(adds, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _overlaps(rows: list, others: list, na: int) -> np.ndarray:
+    """Overlaps of the sets of two lists of members, from their differences from a common hub."""
+
+    def lists(which: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = [len(m[k]) for m in which]
+        return np.repeat(np.arange(len(which)), n), np.concatenate([m[k] for m in which]) if which else np.zeros(0, np.int64)
+
+    lost = [np.array([len(m[2]) for m in which]) for which in (rows, others)]
+    out = (na - lost[0][:, None] - lost[1][None, :]).astype(np.float32)
+    for k in (2, 3):  # places lacked by both count back; shingles added by both count too
+        (ra, ta), (rb, tb) = lists(rows, k), lists(others, k)
+        shared = np.intersect1d(ta, tb)
+        ka, kb = np.isin(ta, shared), np.isin(tb, shared)
+        ra, ca, rb, cb = ra[ka], np.searchsorted(shared, ta[ka]), rb[kb], np.searchsorted(shared, tb[kb])
+        for at in range(0, len(shared), 4096):
+            p, q = np.zeros((len(rows), 4096), np.float32), np.zeros((len(others), 4096), np.float32)
+            ia, ib = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
+            p[ra[ia], ca[ia] - at] = 1
+            q[rb[ib], cb[ib] - at] = 1
+            out += p @ q.T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between two blocks of a family, or within one, that connect what their links connect."""
+    node, n, side, near = (table.column(c).to_pylist() for c in ("node", "n", "block", "near"))
+    lacks, adds = (table.column(c).combine_chunks() for c in ("lacks", "adds"))
+    members = [(node[k], n[k], lacks[k].values.to_numpy(), adds[k].values.to_numpy(), near[k]) for k in range(len(node))]
+    na = table.column("na")[0].as_py()
+    blocks = sorted(set(side))
+    left = [m for m, b in zip(members, side, strict=True) if b == blocks[0]]
+    right = [m for m, b in zip(members, side, strict=True) if b == blocks[-1]]
+    parent: dict = {m[0]: 0 if m[4] else m[0] for m in members} | {0: 0}  # 0 stands for the hub; no node is named 0
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    made = []
+    for mine, theirs in ((left, right), (right, left)):
+        far = [m for m in mine if not m[4]]
+        for at in range(0, len(far), 256) if theirs else ():
+            part = far[at : at + 256]
+            both = _overlaps(part, theirs, na)
+            sizes = np.array([m[1] for m in part])[:, None] + np.array([m[1] for m in theirs])[None, :]
+            for j, k in zip(*np.nonzero(DEN * both >= NUM * (sizes - both)), strict=True):
+                a, b = part[j][0], theirs[k][0]
+                if a != b and find(a) != find(b):
+                    parent[find(a)] = find(b)
+                    made.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in made], pa.int64()), "b": pa.array([b for _, b in made], pa.int64())})
+
+
+LINKED = f"{DEN} * common >= {NUM} * (na + nb - common)"
 
 
 class Join:
@@ -244,16 +323,22 @@ class Join:
         self.rows = C.written(self.base.mapInArrow(_map_nodes, "place long, ident long, node long, n long"), "nodes")
         self._texts: DataFrame | None = None
 
-    def frequent(self) -> np.ndarray:
-        """Sorted hashes of shingles that several sampled nodes share: MAX_FREQUENT at most."""
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of shingles that several sampled nodes share, MAX_FREQUENT at most, and their places by count."""
         every = max(SAMPLE_EVERY, -(-self.rows.count() // SAMPLE_NODES))
         sample = self.base.where(F.pmod(F.xxhash64("ident"), F.lit(every)) == 0).dropDuplicates(["ident"]).select("text")
         counts = sample.mapInArrow(_map_tokens, "token long").groupBy("token").count().where(F.col("count") >= SAMPLE_SEEN)
-        top = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-        return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.zeros(1, np.uint64)
+        top = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).toArrow()
+        token, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+        if not len(token):
+            return np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        rank = np.empty(len(token), np.int64)
+        rank[np.lexsort((token, count))] = np.arange(len(token))
+        order = np.argsort(token)
+        return token[order], rank[order]
 
     def lists(self) -> DataFrame:
-        prefixes = self.base.mapInArrow(_map_prefixes(self.frequent()), "token long, node long, n long")
+        prefixes = self.base.mapInArrow(_map_prefixes(*self.frequent()), "token long, node long, n long")
         met = prefixes.repartition("token").sortWithinPartitions("token", "n", "node")
         return met.mapInArrow(_map_lists, "list long, first long, members array<long>, sizes array<long>, is_long boolean")
 
@@ -262,11 +347,14 @@ class Join:
         one = self.rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("place", "ident")).alias("p")).select("node", "p.place", "p.ident")
         return zipped(self.base).join(one, ["place", "ident"]).select("node", "zipped").dropDuplicates(["node"])
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, union) of pairs (a, b)."""
+    def compare(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """(a, b, common, na, nb) of pairs (a, b), and lacks and adds on demand."""
         t = self._texts
-        both = pairs.join(t.select(F.col("node").alias("b"), F.col("zipped").alias("zb")), "b").join(t.select(F.col("node").alias("a"), F.col("zipped").alias("za")), "a")
-        return both.select("a", "b", "za", "zb").mapInArrow(_map_compared, "a long, b long, common long, union long")
+        both = pairs.join(t.select(F.col("node").alias("b"), F.col("zipped").alias("zb")), "b")
+        both = C.written(both, "half") if differences else both  # so that Spark can split a hub with many members
+        both = both.join(t.select(F.col("node").alias("a"), F.col("zipped").alias("za")), "a")
+        kind = "a long, b long, common long, na long, nb long" + (", lacks array<int>, adds array<long>" if differences else "")
+        return both.select("a", "b", "za", "zb").mapInArrow(_map_compared(differences), kind)
 
     def links(self) -> DataFrame:
         """(a, b) of linked nodes that connect all that any links connect."""
@@ -277,51 +365,27 @@ class Join:
         pairs = pairs.select("times", "a", "na", F.explode(F.expr("slice(arrays_zip(members, sizes), i + 2, size(members))")).alias("o")).select("times", "a", "na", F.col("o.members").alias("b"), F.col("o.sizes").alias("nb"))
         pairs = pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").groupBy("a", "b").agg(F.sum("times").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         # shingles in long lists were not counted: at most as many as either has there
-        extra = long.groupBy("node").agg(F.count("*").alias("extra"))
+        extra = C.written(long.groupBy("node").agg(F.count("*").alias("extra")), "extra")
         for x in "ab":
             pairs = pairs.join(extra.select(F.col("node").alias(x), F.col("extra").alias(f"extra_{x}")), x, "left")
         most = f"common + least(coalesce(extra_a, 0), coalesce(extra_b, 0)) + greatest(({NUM} * na + {DEN - 1}) div {DEN}, ({NUM} * nb + {DEN - 1}) div {DEN}) - 1"
         pairs = C.written(pairs.where(f"{most} >= {_bound('na', 'nb')}").select("a", "b"), "pairs")
         some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node"))
         self._texts = C.written(self.texts(some), "texts")
-        linked = C.written(self.compare(pairs).where(f"{DEN} * common >= {NUM} * union").select("a", "b"), "links")
-        return self._settle(linked, long)
-
-    def _settle(self, linked: DataFrame, long: DataFrame) -> DataFrame:
-        """Adds the links of long lists, around one member of each list at a time."""
-        long = C.written(long.groupBy("node", "n", "list", "first").agg(F.lit(0).alias("x")).drop("x"), "long")
-        # lists with the same members are one
-        names = long.groupBy("list", "first").agg(F.sum(F.xxhash64("node") % 2**40).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node") % 2**40).alias("s2"), F.count("*").alias("size"))
-        names = names.groupBy("s1", "s2", "size").agg(F.min(F.struct("list", "first")).alias("l")).select("l.*")
-        alive = C.written(long.join(names, ["list", "first"]).select(F.xxhash64("list", "first").alias("list"), "node", "n"), "alive")
-        for turn in range(ROUNDS + 1):
-            if not alive.limit(1).count():
-                break
-            root = components(linked).withColumnRenamed("root", "r_root").withColumnRenamed("node", "r_node")
-            now = alive.join(root, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
-            now = C.written(now, "alive")
-            kinds = now.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
-            now = now.join(kinds, "list", "left_semi")
-            if turn == ROUNDS:
-                other = now.select("list", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-                rest = now.select("list", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(other, "list").where(f"a < b and ra <> rb and {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
-                found = self.compare(rest.select("a", "b").distinct()).where(f"{DEN} * common >= {NUM} * union")
-                return C.written(linked.unionByName(found.select("a", "b")), "links")
-            # the hub: of the least frequent kind of member first, so that those left over get their turn
-            hubs = now.groupBy("list", "root").agg(F.count("*").alias("many"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
-            hubs = hubs.groupBy("list").agg(F.max(F.struct("many", "hub", "root")).alias("h") if turn == 0 else F.min(F.struct("many", "hub", "root")).alias("h")).select("list", "h.hub", F.col("h.root").alias("hub_root"))
-            met = now.join(hubs, "list")
-            pairs = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-            seen = C.written(self.compare(pairs), "hub-pairs")
-            linked = C.written(linked.unionByName(seen.where(f"{DEN} * common >= {NUM} * union").select("a", "b")), "links")
-            # who may still have an unknown link: with distances d to the hub, a member is
-            # linked with another only if their distances differ by 1 - t at most
-            far = met.join(seen.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("d")), ["hub", "node"])
-            near = F.col("d") <= 1 - NUM / DEN + 1e-12
-            least = far.where(~near & (F.col("root") != F.col("hub_root"))).groupBy("list").agg(F.min("d").alias("least"))
-            left = far.join(least, "list").where(F.col("d") >= F.col("least") - (1 - NUM / DEN) - 1e-9)
-            alive = C.written(left.select("list", "node", "n"), "alive")
-        return linked
+        linked = self.compare(pairs).where(LINKED).select("a", "b")
+        return C.written(linked.unionByName(self.family_links(long, extra)), "links")
+
+    def family_links(self, long: DataFrame, degree: DataFrame) -> DataFrame:
+        """Links between members of long lists.  A list's hub is its member in most long lists, as an original is among its copies."""
+        counted = long.join(degree, "node")
+        hubs = counted.groupBy("list", "first").agg(F.max(F.struct("extra", "node")).alias("h")).select("list", "first", F.col("h.node").alias("hub"))
+        pairs = long.join(hubs, ["list", "first"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        seen = C.written(self.compare(pairs, differences=True).withColumn("near", F.expr(LINKED)), "families")
+        size = C.written(seen.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "family-sizes")
+        member = seen.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+        member = member.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+        member = member.select("a", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.col("b").alias("node"), F.col("nb").alias("n"), "na", "block", "near", "lacks", "adds")
+        return seen.where("near").select("a", "b").unionByName(member.groupBy("a", "i", "j").applyInArrow(_block_links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
