@@ -53,7 +53,7 @@ def stl_report(faces: DataFrame, places: int = 6) -> DataFrame:
     f = faces.select("image_id", point("a").alias("a"), point("b").alias("b"), point("c").alias("c"))
     sides = F.array(*[F.struct(F.least(u, v).alias("p"), F.greatest(u, v).alias("q")) for u, v in ("ab", "bc", "ca")])
     used = f.select("image_id", F.explode(sides).alias("e")).groupBy("image_id", "e.p", "e.q").agg(F.count("*").alias("n"))
-    edges = used.groupBy("image_id").agg(F.count("*").alias("edges"), F.count_if("n = 1").alias("open_edges"), F.count_if("n > 2").alias("overused_edges"), F.min(F.col("n") == 2).alias("watertight"))
+    edges = used.groupBy("image_id").agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("open_edges"), F.count_if(F.col("n") > 2).alias("overused_edges"), F.min(F.col("n") == 2).alias("watertight"))
     corners = f.select("image_id", F.explode(F.array("a", "b", "c")).alias("p"))
     size = corners.groupBy("image_id").agg(*[g(f"p.{c}").alias(f"{g.__name__}_{c}") for g in (F.min, F.max) for c in "xyz"])
     return f.groupBy("image_id").agg(F.count("*").alias("faces")).join(edges, "image_id").join(size, "image_id")
