@@ -269,7 +269,7 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = [F.first(c).alias(c) for c in ("place", "ident", "span", "anchor")]
     classes = C.written(rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), *first), "classes")
     same = rows.join(classes.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
-    several = classes.groupBy("d1").agg(F.count("*").alias("kinds")).where("kinds > 1").select("d1")
+    several = C.written(classes.groupBy("d1").agg(F.count("*").alias("kinds")).where("kinds > 1").select("d1"), "several")
     return same, classes.join(several, "d1", "left_semi").drop("n")
 
 
@@ -277,7 +277,8 @@ def repeats(base: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(place, ident, spans): the starts of all repeated windows, of ``base``'s (place, ident, text)."""
     texts = base.select("place", "ident", "text")
     runs = texts.where(F.octet_length("text") >= depth).mapInArrow(_map_runs(depth, gram), ROWS)
-    shared = runs.groupBy("d1").count().where("count > 1").select("d1")
+    # written, since Spark splits a hot key only where both sides of a join come straight from a shuffle
+    shared = C.written(runs.groupBy("d1").count().where("count > 1").select("d1"), "shared")
     same, apart = split(C.written(runs.join(shared, "d1", "left_semi"), "runs"))
 
     by_text = ["place", "ident"]
