@@ -36,9 +36,9 @@ BLOCK = 1 << 18
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end, each padded with zeros to whole hops and 8 bytes at least; hops and lengths per text."""
+    """Texts end to end, each padded with zeros to whole hops and by ``LAGS`` at least, so that none sees another; hops and lengths per text."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    hops = -(-(lengths + 8) // HOP)
+    hops = -(-(lengths + LAGS) // HOP)
     data = np.zeros(int(hops.sum()) * HOP, np.uint8)
     at = (np.cumsum(hops) - hops) * HOP
     for t, k, n in zip(texts, at.tolist(), lengths.tolist(), strict=True):
@@ -88,6 +88,8 @@ class Net:
         x = self.embed[data].reshape(-1, STEP * DIMS)
         halves = x @ self.filters
         answers = halves[:, :FILTERS] + self.bias
+        cut = np.cumsum(hops)[:-1] * (HOP // STEP)  # where a text begins, the filter of the text before ends
+        halves[cut, FILTERS:] = 0
         answers[:-1] += halves[1:, FILTERS:]
         np.maximum(answers, 0, out=answers)
         first = np.cumsum(hops) - hops
@@ -105,7 +107,7 @@ class Net:
         top = np.maximum.reduceat(h, begin, axis=0)
         mean = np.add.reduceat(h, begin, axis=0) / chunks[:, None]
         logit = np.concatenate([top, mean], 1) @ self.out + self.out_bias[0]
-        return {"x": x, "answers": answers, "left": left, "right": right, "paired": paired, "size": size, "seen": seen, "h": h, "top": top, "mean": mean, "chunks": chunks, "text": text, "logit": logit}
+        return {"x": x, "cut": cut, "answers": answers, "left": left, "right": right, "paired": paired, "size": size, "seen": seen, "h": h, "top": top, "mean": mean, "chunks": chunks, "text": text, "logit": logit}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.embed is None:
@@ -128,15 +130,17 @@ class Net:
         da = np.repeat(per_hop, HOP // STEP, axis=0) * (v["answers"] > 0)
         halves = np.zeros((len(da), 2 * FILTERS), np.float32)
         halves[:, :FILTERS], halves[1:, FILTERS:] = da, da[:-1]
+        halves[v["cut"], FILTERS:] = 0
         g["bias"], g["filters"] = da.sum(0), v["x"].T @ halves
         dx = (halves @ self.filters.T).reshape(-1, DIMS)
         g["embed"] = np.stack([np.bincount(data, dx[:, k], 256) for k in range(DIMS)], 1).astype(np.float32)
         return g
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
-    """Adam on the weighted log loss."""
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, least_steps: int = 700, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
+    """Adam on the weighted log loss, for ``least_steps`` steps at least."""
     net, r = Net.fresh(seed), np.random.default_rng(seed)
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     m = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
     s = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
     t, steps = 0, epochs * -(-len(texts) // batch)
