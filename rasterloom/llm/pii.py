@@ -99,13 +99,14 @@ _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _NUMERIC = frozenset(" -.()+[]{}/")
 _AT = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s?@\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s+dot\s+|\s?\.\s?", re.I)
+_MORE = re.compile(r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s+dot\s+|\.)[A-Za-z]{2,}", re.I)
 _WORDS = {
     "email": re.compile(r"e-?mail|contact|write|reach|correo|mail", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|node|router", re.I),
     "card": re.compile(r"card|visa|master|amex|pay|karte|tarjeta|carte", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|cell|fax|ring|whatsapp|anruf", re.I),
 }
-_TAILS = frozenset("com org net edu gov io co de fr es uk eu info biz app dev me ai example".split())
+_TAILS = frozenset("com org net edu gov io co de fr es uk eu info biz app dev me ai".split())
 
 
 class Segment:
@@ -196,7 +197,7 @@ def _numeric(text: str, i: int, j: int, s: int, e: int, nd: int) -> list[Segment
     if 10 <= nd <= 15 and len(groups) >= 2:
         names = _context(text, "phone", s, e)
         shape = "-".join(map(str, sizes))
-        names.append("phone:shape" if re.fullmatch(r"(?:[123]-)?3-3-4|(?:[123]-)?3-4-4|[123]-[23]-[34]-4|(?:[123]-)?[234](?:-2){3,5}", shape) else "phone:odd-shape")
+        names.append("phone:shape" if re.fullmatch(r"(?:[1-4]-)?3-3-4|(?:[123]-)?3-4-4|[123]-[23]-[34]-4|(?:[123]-)?[234](?:-2){3,5}", shape) else "phone:odd-shape")
         if span[0] == "+" or span.startswith("00"):
             names.append("phone:plus")
         if re.search(r"\([0-9]{2,4}\)", span):
@@ -237,6 +238,8 @@ def _mail(text: str, i: int, j: int, s: int, e: int) -> Segment | None:
     names.append("email:tail" if labels[-1].lower() in _TAILS else "email:short-tail" if len(labels[-1]) <= 3 else "email:odd-tail")
     if " " in local:
         names.append("email:spaced-local")
+    if _MORE.match(text, e):
+        names.append("email:cut-short")
     return Segment("email", i, j, s, e, names)
 
 
@@ -352,7 +355,7 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> Iterator[tuple[str, list[tupl
 
 
 @cache
-def fitted(n: int = EXAMPLES, seed: int = 11, rounds: int = 60, rate: float = 0.15, decay: float = 2e-3) -> Field:
+def fitted(n: int = EXAMPLES, seed: int = 11, rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Gradient ascent (Adam) on the likelihood of the examples."""
     data = []
     for text, spans in examples(n, seed):
