@@ -177,3 +177,34 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
 
     slim = points.select(*RING, "seq", "px", "py")
     return slim.groupBy(*RING).applyInArrow(run, slim.schema)
+
+
+def contains(rings: DataFrame, points: DataFrame) -> DataFrame:
+    """(image_id, ring, point): the rings around each point (image_id, point, x, y), by crossings of a ray to the right."""
+    p = _around(rings).select("image_id", "ring", "px", "py", "cx", "cy")
+    hit = p.join(points, "image_id").where(((F.col("py") > F.col("y")) != (F.col("cy") > F.col("y"))) & (F.col("x") < (F.col("cx") - F.col("px")) * (F.col("y") - F.col("py")) / (F.col("cy") - F.col("py")) + F.col("px")))
+    return hit.groupBy("image_id", "ring", "point").agg(F.count("*").alias("n")).where("n % 2 = 1").select("image_id", "ring", "point")
+
+
+def holes_to_exteriors(exteriors: DataFrame, holes: DataFrame) -> DataFrame:
+    """(image_id, hole, exterior): the smallest exterior around each hole's first point; holes outside all are left out."""
+    first = holes.groupBy("image_id", F.col("ring").alias("point")).agg(F.min_by(F.struct("px", "py"), "seq").alias("p")).select("image_id", "point", F.col("p.px").alias("x"), F.col("p.py").alias("y"))
+    size = measures(exteriors).select(*RING, F.abs("area").alias("area"))
+    found = contains(exteriors, first).join(size, RING)
+    return found.groupBy("image_id", F.col("point").alias("hole")).agg(F.min(F.struct("area", "ring")).alias("s")).select("image_id", "hole", F.col("s.ring").alias("exterior"))
+
+
+def fill(points: DataFrame, resolution: int = 1) -> DataFrame:
+    """(image_id, y, x): pixels whose centres rings enclose an odd number of times, row by row.
+
+    Each edge meets its rows only; crossings of a row, sorted, open and close spans in turn.
+    """
+    mid = lambda c: F.col(c) * resolution - 0.5
+    e = _around(points).select("image_id", mid("px").alias("px"), mid("py").alias("py"), mid("cx").alias("cx"), mid("cy").alias("cy")).where("py <> cy")
+    low, high = F.least("py", "cy"), F.greatest("py", "cy")
+    rows = e.withColumn("a", F.ceil(low)).withColumn("b", F.ceil(high) - 1).where("b >= a").withColumn("y", F.explode(F.expr("sequence(a, b)")))
+    cross = rows.select("image_id", "y", (F.col("px") + (F.col("y") - F.col("py")) * (F.col("cx") - F.col("px")) / (F.col("cy") - F.col("py"))).alias("at"))
+    w = W.partitionBy("image_id", "y").orderBy("at")
+    spans = cross.withColumn("k", F.row_number().over(w)).withColumn("to", F.lead("at").over(w)).where("k % 2 = 1 and to is not null")
+    spans = spans.withColumn("a", F.ceil("at")).withColumn("b", F.ceil("to") - 1).where("b >= a")
+    return spans.select("image_id", F.col("y").cast("int").alias("y"), F.explode(F.expr("sequence(cast(a as int), cast(b as int))")).alias("x"))

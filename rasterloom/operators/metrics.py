@@ -107,3 +107,12 @@ def kmeans_palette(rgb: DataFrame, colors: int, seed: int = 17) -> DataFrame:
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     named = model.transform(vec).select("r", "g", "b", place[F.col("c")].alias("label"))
     return rgb.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")).join(named, ["r", "g", "b"]).withColumn("light", luminance(F.col("r"), F.col("g"), F.col("b")))
+
+
+def lower_slender(mask: DataFrame, least_area: int = 8, most_fill: float = 0.65) -> DataFrame:
+    """(image_id, slender): tall thin parts within the lower 45 % of the mask, as drips are."""
+    tall = mask.where("m").groupBy("image_id").agg(F.min("y").alias("top"), (F.max("y") - F.min("y") + 1).alias("tall"))
+    low = mask.join(tall, "image_id").select(*KEY, (F.col("m") & (F.col("y") - F.col("top") >= F.floor(F.col("tall") * 0.55))).alias("m"))
+    s = regions.stats(regions.components(low))
+    thin = (F.col("area") > least_area) & (F.col("h") / F.col("w") > 1.5) & (F.col("area") / (F.col("w") * F.col("h")) < most_fill)
+    return tall.select("image_id").join(s, "image_id", "left").groupBy("image_id").agg(F.count_if(thin).alias("slender"))
