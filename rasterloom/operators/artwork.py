@@ -35,10 +35,13 @@ def edge_density(gray: DataFrame, least: int = 160) -> DataFrame:
 
 def classify(visible: DataFrame, dark: DataFrame, silhouette: DataFrame, least_area: int, has_alpha: bool = False, keep_holes: bool = True) -> DataFrame:
     """(.., body, hole, detail): what of an artwork is its body, a hole in it, or a dark detail within."""
+    from ..storage import written
+
     seed = masks.combine(visible if has_alpha else silhouette, silhouette, "union")
-    source = regions.remove_small(seed, least_area)
-    filled = regions.fill_holes(source)
-    hole = regions.remove_small(masks.combine(filled, source, "difference"), least_area)
+    # each of these is read several times below
+    source = written(regions.remove_small(seed, least_area), "source")
+    filled = written(regions.fill_holes(source), "filled")
+    hole = written(regions.remove_small(masks.combine(filled, source, "difference"), least_area), "hole")
     body = masks.combine(filled, hole, "difference") if keep_holes else filled
     inner = masks.combine(masks.combine(filled, hole, "difference"), neighbourhood.outer_edge(filled), "difference")
     detail = regions.remove_small(masks.combine(dark, inner, "intersection"), max(2, least_area // 4))

@@ -67,9 +67,11 @@ def clean_components(mask: DataFrame, scale: float = 1.0, limits: dict[str, floa
 
 def enforce(mask: DataFrame, scale: float = 1.0, limits: dict[str, float] = LIMITS) -> DataFrame:
     """Tiny holes filled, gaps closed, components cleaned."""
-    filled = regions.fill_holes(mask, most_area=limits["hole_area"] / (scale * scale), connectivity=8)
+    from ..storage import written
+
+    filled = written(regions.fill_holes(mask, most_area=limits["hole_area"] / (scale * scale), connectivity=8), "filled")
     gap = max(1, math.ceil(limits["gap"] / scale)) if limits["gap"] > 0 else 0
-    return clean_components(close_gaps(filled, gap), scale, limits)
+    return clean_components(written(close_gaps(filled, gap), "closed"), scale, limits)
 
 
 def report(before: DataFrame, after: DataFrame, scale: float = 1.0, limits: dict[str, float] = LIMITS) -> DataFrame:

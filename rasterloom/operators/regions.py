@@ -153,3 +153,36 @@ def apply_island_policy(labels: DataFrame, policy: str, least_area: int, most_di
     action = F.when(F.col("low").isNull(), "kept").when(F.lit(policy == "merge") & F.col("target").isNotNull(), "merged").otherwise(lost)
     placed = F.when(action == "merged", F.col("target")).when(action == "removed", F.lit(None).cast("int")).otherwise(F.col("label"))
     return joined.select(*KEY, placed.alias("label"), action.alias("action"))
+
+
+def connections(labels: DataFrame, least_area: int, most_gap: int) -> DataFrame:
+    """(image_id, label, comp, d2, sy, sx, ty, tx): from each small region the nearest pixel pair to a kept one of its label.
+
+    Ties go to the first source, then target, in reading order.  Pixels meet by tiles of side ``most_gap``.
+    """
+    pixels = components(labels.select(*KEY, "label", F.lit(True).alias("m")), by="label")
+    sized = pixels.withColumn("area", F.count("*").over(W.partitionBy("image_id", "label", "comp")))
+    side = max(1, most_gap)
+    tiled = sized.withColumn("ty_", F.floor(F.col("y") / side)).withColumn("tx_", F.floor(F.col("x") / side))
+    around = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)]))
+    big = tiled.where(F.col("area") >= least_area).withColumn("o", around).select("image_id", "label", F.col("y").alias("ty"), F.col("x").alias("tx"), (F.col("ty_") + F.col("o.j")).alias("ty_"), (F.col("tx_") + F.col("o.i")).alias("tx_"))
+    dy, dx = F.col("y") - F.col("ty"), F.col("x") - F.col("tx")
+    met = tiled.where(F.col("area") < least_area).join(big, ["image_id", "label", "ty_", "tx_"]).withColumn("d2", dy * dy + dx * dx).where(F.col("d2") <= most_gap * most_gap)
+    best = met.groupBy("image_id", "label", "comp").agg(F.min(F.struct("d2", F.col("y").alias("sy"), F.col("x").alias("sx"), "ty", "tx")).alias("p"))
+    return best.select("image_id", "label", "comp", "p.*")
+
+
+def connect(labels: DataFrame, least_area: int, most_gap: int) -> DataFrame:
+    """(image_id, y, x, label): small regions tied to their kept neighbours by straight lines of pixels.
+
+    A line is drawn only over pixels without a label; one that meets another label is left out.
+    """
+    c = connections(labels, least_area, most_gap)
+    steps = F.greatest(F.abs(F.col("ty") - F.col("sy")), F.abs(F.col("tx") - F.col("sx")))
+    on = c.withColumn("n", steps).withColumn("k", F.explode(F.expr("sequence(0, n)")))
+    at = lambda a, b: F.when(F.col("n") == 0, F.col(a)).otherwise(F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n"))).cast("int")
+    line = on.select("image_id", F.col("label").alias("new"), "comp", at("sy", "ty").alias("y"), at("sx", "tx").alias("x"))
+    under = line.join(labels.select(*KEY, "label"), KEY, "left")
+    other = under.where(F.col("label").isNotNull() & (F.col("label") != F.col("new"))).select("image_id", "new", "comp").distinct()
+    free = under.join(other, ["image_id", "new", "comp"], "left_anti").groupBy(*KEY).agg(F.min("new").alias("new"))
+    return labels.join(free, KEY, "left").select(*KEY, F.coalesce("label", "new").alias("label"))

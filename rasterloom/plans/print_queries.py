@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import artwork, contours, masks, meshes, metrics, printability
+from ..operators import artwork, contours, masks, meshes, metrics, presets, printability, regions
+from ..storage import table
 from . import raster_queries as R
 from .raster_queries import _EIGHT, _LABEL, COMP, LABELS, MASK, PX, RGB, gray, labels, mask, rgb
 from .report_queries import RINGS, around, rings
@@ -155,3 +156,25 @@ def boundary_roughness(spark, sf_dir):
 @query(f"{MASK}, t AS (SELECT image_id, min(y) AS top, max(y) - min(y) + 1 AS tall FROM mask WHERE m GROUP BY image_id), onp AS (SELECT mask.image_id, y, x FROM mask JOIN t USING (image_id) WHERE m AND y - top >= floor(tall * 0.55)), {_LABEL.format(on='onp', near=_EIGHT)}, s AS (SELECT image_id, root, count(*) AS area, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM lab GROUP BY ALL) SELECT image_id, count(root) FILTER (area > 2 AND h / w::DOUBLE > 1.5 AND area / (w * h)::DOUBLE < 0.95) AS slender FROM t LEFT JOIN s USING (image_id) GROUP BY image_id")
 def lower_slender_parts(spark, sf_dir):
     return metrics.lower_slender(mask(spark, sf_dir), least_area=2, most_fill=0.95)
+
+
+def _number(v: float | None) -> str:
+    return "NULL::DOUBLE" if v is None else f"{v}::DOUBLE"
+
+
+_BOUNDS = ", ".join(f"('{p}', '{k}', {_number(a)}, {_number(b)}, {_number(c)})" for p, k, a, b, c in presets.PRESETS)
+
+
+@query(f"b(preset, setting, least_v, most_v, fixed) AS (VALUES {_BOUNDS}), s AS (SELECT s_suppkey AS job, preset, setting, (s_suppkey * n % 211)::DOUBLE AS value FROM supplier, (SELECT DISTINCT preset FROM b), (VALUES ('simplify_tolerance', 1), ('min_island_area_px', 7), ('island_near_body_distance_px', 3), ('min_contour_area', 5), ('morph_kernel_size', 2), ('remove_small_islands', 0)) AS k(setting, n)) SELECT job, s.preset, s.setting, coalesce(fixed, least(greatest(value, coalesce(least_v, value)), coalesce(most_v, greatest(value, coalesce(least_v, value))))) AS value FROM s LEFT JOIN b ON b.preset = s.preset AND b.setting = s.setting")
+def preset_overlay(spark, sf_dir):
+    """Every job under every preset, as the quality matrix runs them."""
+    names = F.explode(F.array(*map(F.lit, presets.NAMES))).alias("preset")
+    kinds = F.explode(F.create_map(*[F.lit(x) for kv in {"simplify_tolerance": 1, "min_island_area_px": 7, "island_near_body_distance_px": 3, "min_contour_area": 5, "morph_kernel_size": 2, "remove_small_islands": 0}.items() for x in kv]))
+    jobs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("job"), names).select("job", "preset", kinds.alias("setting", "n"))
+    return presets.overlay(jobs.select("job", "preset", "setting", (F.col("job") * F.col("n") % 211).cast("double").alias("value")))
+
+
+@query(f"""{R.LABELS}, {R._LREACH}, low AS (SELECT * FROM s WHERE area < 4), big AS (SELECT * FROM s WHERE area >= 4), c AS (SELECT a.image_id, a.label, a.root, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2, a.y AS sy, a.x AS sx, b.y AS ty, b.x AS tx FROM low a JOIN big b ON a.image_id = b.image_id AND a.label = b.label),
+m AS (SELECT image_id, label, root, min((d2, sy, sx, ty, tx)) AS p FROM c WHERE d2 <= 9 GROUP BY ALL) SELECT image_id, label, concat(root // 8, ':', root % 8) AS comp, p[1]::INT AS d2, p[2]::INT AS sy, p[3]::INT AS sx, p[4]::INT AS ty, p[5]::INT AS tx FROM m""")
+def island_connections(spark, sf_dir):
+    return regions.connections(labels(spark, sf_dir), 4, 3)
