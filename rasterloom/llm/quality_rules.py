@@ -20,7 +20,7 @@ from . import common as C
 
 MIN_GROUP, ACCURACY = 50, 2000
 #: Ratio, the side that is bad, the least distance between the quartile and the threshold.
-RATIOS = {"chars_per_word": ("both", 3.0), "symbols_per_word": ("high", 0.2), "dup_line_ratio": ("high", 0.3), "repeat_ratio": ("high", 0.3)}
+RATIOS = {"chars_per_word": ("both", 3.0), "symbols_per_word": ("high", 0.2), "dup_line_ratio": ("high", 0.3), "repeat_ratio": ("high", 0.45)}
 SPREAD = 6.0
 
 
