@@ -90,7 +90,7 @@ def enforce_heights(heights: DataFrame, scale: float = 1.0, limits: dict[str, fl
 
     z = heights.select("image_id", "z").where("z > 0").distinct()
     ranked = z.withColumn("k", F.row_number().over(W.partitionBy("image_id").orderBy("z")))
-    steps = small(ranked.select("image_id", "k", "z", F.coalesce(F.lag("z").over(W.partitionBy("image_id").orderBy("z")), F.lit(0.0)).alias("below")))
+    steps, _ = small(ranked.select("image_id", "k", "z", F.coalesce(F.lag("z").over(W.partitionBy("image_id").orderBy("z")), F.lit(0.0)).alias("below")))
     turns = steps.agg(F.max("k")).first()[0] or 0
     if turns > most_levels:
         raise ValueError(f"{turns} levels; at most {most_levels} are expected")

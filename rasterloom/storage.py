@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,19 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (tests, local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+        folder = tempfile.mkdtemp(prefix="rasterloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/rasterloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written, and hinted for broadcast only if its counted rows are within ``limit``."""
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` written, and hinted for broadcast only if its counted rows are within ``limit``; and whether they are."""
     kept = written(df, "small")
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    fits = kept.count() <= limit
+    return (F.broadcast(kept) if fits else kept), fits
