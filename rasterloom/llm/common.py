@@ -1,52 +1,18 @@
-"""Shared helpers: tables, scratch storage, row identity, words, bounded broadcast."""
+"""Shared helpers: words, row identity, and the library's tables and scratch storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_ROWS, scratch, shared_dir, small, table, written  # noqa: F401
+
 #: White space of the operators' contracts: a blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows with a null id share this place, after all others.
 LAST = 2**63 - 1
-#: A table of at most so many rows, each of a few short columns, may be broadcast.
-BROADCAST_ROWS = 50_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` written, and hinted for broadcast if its counted rows are within ``limit``."""
-    kept = written(df, "small")
-    fits = kept.count() <= limit
-    return (F.broadcast(kept) if fits else kept), fits
 
 
 def ascii_lower(c: Column) -> Column:
