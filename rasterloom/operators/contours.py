@@ -208,3 +208,21 @@ def fill(points: DataFrame, resolution: int = 1) -> DataFrame:
     spans = cross.withColumn("k", F.row_number().over(w)).withColumn("to", F.lead("at").over(w)).where("k % 2 = 1 and to is not null")
     spans = spans.withColumn("a", F.ceil("at")).withColumn("b", F.ceil("to") - 1).where("b >= a")
     return spans.select("image_id", F.col("y").cast("int").alias("y"), F.explode(F.expr("sequence(cast(a as int), cast(b as int))")).alias("x"))
+
+
+def turns(points: DataFrame) -> DataFrame:
+    """(image_id, ring, right_turns, left_turns, straight): how a ring bends at its points, y growing down."""
+    bend = F.round((F.col("px") - F.col("ax")) * (F.col("cy") - F.col("py")) - (F.col("py") - F.col("ay")) * (F.col("cx") - F.col("px")), 6)
+    return _around(points).groupBy(*RING).agg(F.count_if(bend > 0).alias("right_turns"), F.count_if(bend < 0).alias("left_turns"), F.count_if(bend == 0).alias("straight"))
+
+
+def straighten(points: DataFrame, tolerance: float = 12.0, least: int = 4) -> DataFrame:
+    """Runs of ``least`` points or more without a turn over ``tolerance`` degrees keep their ends only.
+
+    Runs are islands between turns: a running count of turns numbers them, and each ends at its last point.
+    """
+    w = W.partitionBy(*RING).orderBy("seq")
+    near = _around(points).withColumn("run", F.sum((F.abs(180.0 - turn_degrees()) > tolerance).cast("int")).over(w))
+    inside = W.partitionBy(*RING, "run")
+    sized = near.withColumn("len", F.count("*").over(inside)).withColumn("k", F.row_number().over(inside.orderBy("seq")))
+    return sized.where((F.col("len") < least) | (F.col("k") == 1) | (F.col("k") == F.col("len"))).select(*RING, "seq", "px", "py")

@@ -8,7 +8,7 @@ from ..operators import artwork, contours, masks, meshes, metrics, presets, prin
 from ..storage import table
 from . import raster_queries as R
 from .raster_queries import _EIGHT, _LABEL, COMP, LABELS, MASK, PX, RGB, gray, labels, mask, rgb
-from .report_queries import RINGS, around, rings
+from .report_queries import _TURN, RINGS, around, rings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,32 @@ def preset_overlay(spark, sf_dir):
 m AS (SELECT image_id, label, root, min((d2, sy, sx, ty, tx)) AS p FROM c WHERE d2 <= 9 GROUP BY ALL) SELECT image_id, label, concat(root // 8, ':', root % 8) AS comp, p[1]::INT AS d2, p[2]::INT AS sy, p[3]::INT AS sx, p[4]::INT AS ty, p[5]::INT AS tx FROM m""")
 def island_connections(spark, sf_dir):
     return regions.connections(labels(spark, sf_dir), 4, 3)
+
+
+@query(f"""{MASK}, deg AS (SELECT a.image_id, a.y, a.x, count(*) FILTER (b.m AND NOT (a.y = b.y AND a.x = b.x)) AS near FROM mask a JOIN mask b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+q AS (SELECT a.image_id, a.y AS cy, a.x AS cx, a.m AS falling FROM mask a JOIN mask b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 JOIN mask c ON c.image_id = a.image_id AND c.y = a.y + 1 AND c.x = a.x JOIN mask d ON d.image_id = a.image_id AND d.y = a.y + 1 AND d.x = a.x + 1 WHERE (a.m AND d.m AND NOT b.m AND NOT c.m) OR (b.m AND c.m AND NOT a.m AND NOT d.m)),
+e AS (SELECT image_id, cy, cx, cy AS y, CASE WHEN falling THEN cx + 1 ELSE cx END AS x FROM q UNION ALL SELECT image_id, cy, cx, cy + 1, CASE WHEN falling THEN cx ELSE cx + 1 END FROM q),
+f AS (SELECT DISTINCT image_id, y, x FROM (SELECT e.*, row_number() OVER (PARTITION BY image_id, cy, cx ORDER BY near DESC, y, x) AS k FROM e JOIN deg USING (image_id, y, x)) WHERE k = 1)
+SELECT mask.image_id, mask.y, mask.x, m OR f.y IS NOT NULL AS m FROM mask LEFT JOIN f USING (image_id, y, x)""")
+def contacts_resolved_once(spark, sf_dir):
+    from ..operators import neighbourhood
+
+    return neighbourhood.resolve_contacts_once(mask(spark, sf_dir))
+
+
+@query()
+def contacts_resolved(spark, sf_dir):
+    """No diagonal contact is left; held in tests."""
+    from ..operators import neighbourhood
+
+    return neighbourhood.resolve_contacts(mask(spark, sf_dir)).groupBy("image_id").agg(F.count_if("m").alias("pixels"))
+
+
+@query(f"{RINGS}, {around('rings', 'a')}, t AS (SELECT image_id, ring, seq, px, py, round(x1 * y2 - y1 * x2, 6) AS bend FROM (SELECT *, px - ax AS x1, py - ay AS y1, cx - px AS x2, cy - py AS y2 FROM a)) SELECT image_id, ring, count(*) FILTER (bend > 0) AS right_turns, count(*) FILTER (bend < 0) AS left_turns, count(*) FILTER (bend = 0) AS straight FROM t GROUP BY ALL")
+def ring_turns(spark, sf_dir):
+    return contours.turns(rings(spark, sf_dir))
+
+
+@query(f"{RINGS}, {around('rings', 'a')}, s AS (SELECT *, CASE WHEN abs(180.0 - {_TURN}) > 12.0 THEN 1 ELSE 0 END AS brk FROM a), g AS (SELECT *, sum(brk) OVER (PARTITION BY image_id, ring ORDER BY seq) AS run FROM s), e AS (SELECT *, count(*) OVER (PARTITION BY image_id, ring, run) AS len, row_number() OVER (PARTITION BY image_id, ring, run ORDER BY seq) AS k FROM g) SELECT image_id, ring, seq, px, py FROM e WHERE len < 4 OR k = 1 OR k = len")
+def straight_runs(spark, sf_dir):
+    return contours.straighten(rings(spark, sf_dir), 12.0, 4)
