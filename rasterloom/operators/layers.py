@@ -25,6 +25,13 @@ def nearest(z: Column, first: float, step: float, tolerance: float = 0.001) -> C
     return F.when((up == 0) | (upper <= lower + tolerance), up).otherwise(down).cast("int")
 
 
+def strict(z: Column, first: float, step: float, tolerance: float = 0.001) -> Column:
+    """Nearest boundary, or an error where none is within ``tolerance``."""
+    index = nearest(z, first, step, tolerance)
+    off = F.abs(boundary_z(index, first, step) - z)
+    return F.when(off <= tolerance, index).otherwise(F.raise_error(F.concat(F.lit("height is not on a layer: "), F.round(z, 4).cast("string")))).cast("int")
+
+
 def requested(order: Column, base: float, step: float, solid: float | None = None) -> Column:
     """Wanted top of color number ``order`` (from 0): on a solid plate of that thickness, or from the base up."""
     return F.lit(solid) + (order + 1) * F.lit(step) if solid is not None else F.lit(base) + order * F.lit(step)
@@ -38,7 +45,7 @@ def plan(colors: DataFrame, base: float = 0.8, step: float = 0.4, first: float =
     so one window with a running maximum gives all of them.
     """
     w = W.partitionBy("image_id").orderBy("ord")
-    snap = {"snap_up": at_or_above, "snap_nearest": nearest}[mode]
+    snap = {"snap_up": at_or_above, "snap_nearest": nearest, "strict": strict}[mode]
     z = requested(F.col("ord"), base, step, solid)
     low = 0 if solid is None else snap(F.lit(solid), first, layer)
     rise = F.col("snap") - F.col("ord") - 1

@@ -141,3 +141,36 @@ def enlarge(mask: DataFrame, factor: int) -> DataFrame:
     out = [F.array(*[F.col("t")[1][k] * (1 - abs(o)) + F.col("t")[0 if o < 0 else 2][k] * abs(o) for k in range(factor)]) for o in offs]
     rows = tall.select("image_id", "y", "x", F.posexplode(F.array(*out)).alias("j", "line")).select("image_id", "y", "x", "j", F.posexplode("line").alias("i", "v"))
     return rows.select("image_id", (F.col("y") * factor + F.col("j")).cast("int").alias("y"), (F.col("x") * factor + F.col("i")).cast("int").alias("x"), (F.col("v") >= 127).alias("m"))
+
+
+def cubic_weights(t: float, a: float = -0.75) -> list[float]:
+    """Weights of the four taps around a place ``t`` past the second one, by cubic convolution."""
+
+    def near(d: float) -> float:
+        return (a + 2) * d**3 - (a + 3) * d**2 + 1
+
+    def far(d: float) -> float:
+        return a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a
+
+    return [far(1 + t), near(t), near(1 - t), far(2 - t)]
+
+
+def enlarge_cubic(gray: DataFrame, factor: int) -> DataFrame:
+    """Gray values enlarged by a whole factor with cubic convolution, borders repeated, rounded into 0 to 255."""
+    offs = [(k + 0.5) / factor - 0.5 for k in range(factor)]
+
+    def five(c: str, w) -> Column:
+        before, after = F.coalesce(F.lag(c).over(w), F.col(c)), F.coalesce(F.lead(c).over(w), F.col(c))
+        return F.array(F.coalesce(F.lag(c, 2).over(w), before), before, F.col(c), after, F.coalesce(F.lead(c, 2).over(w), after))
+
+    def blended(o: float, tap) -> Column:
+        first, t = (0, o + 1) if o < 0 else (1, o)
+        return sum((tap(first + k) * wt for k, wt in enumerate(cubic_weights(t))), F.lit(0.0))
+
+    wide = gray.withColumn("t", five("g", along_rows()))
+    wide = wide.withColumn("cols", F.array(*[blended(o, lambda k: F.col("t")[k]) for o in offs]))
+    tall = wide.withColumn("t", five("cols", along_columns()))
+    lines = [F.array(*[blended(o, lambda k, i=i: F.col("t")[k][i]) for i in range(factor)]) for o in offs]
+    rows = tall.select("image_id", "y", "x", F.posexplode(F.array(*lines)).alias("j", "line")).select("image_id", "y", "x", "j", F.posexplode("line").alias("i", "v"))
+    g = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round("v", 6) + 0.5))).cast("int")
+    return rows.select("image_id", (F.col("y") * factor + F.col("j")).cast("int").alias("y"), (F.col("x") * factor + F.col("i")).cast("int").alias("x"), g.alias("g"))

@@ -207,3 +207,19 @@ def ring_turns(spark, sf_dir):
 @query(f"{RINGS}, {around('rings', 'a')}, s AS (SELECT *, CASE WHEN abs(180.0 - {_TURN}) > 12.0 THEN 1 ELSE 0 END AS brk FROM a), g AS (SELECT *, sum(brk) OVER (PARTITION BY image_id, ring ORDER BY seq) AS run FROM s), e AS (SELECT *, count(*) OVER (PARTITION BY image_id, ring, run) AS len, row_number() OVER (PARTITION BY image_id, ring, run ORDER BY seq) AS k FROM g) SELECT image_id, ring, seq, px, py FROM e WHERE len < 4 OR k = 1 OR k = len")
 def straight_runs(spark, sf_dir):
     return contours.straighten(rings(spark, sf_dir), 12.0, 4)
+
+
+_A = -0.75
+_FAR = "({a} * pow({d}, 3) - 5 * {a} * pow({d}, 2) + 8 * {a} * {d} - 4 * {a})"
+_NEAR = "(({a} + 2) * pow({d}, 3) - ({a} + 3) * pow({d}, 2) + 1)"
+
+
+def _cubic(t: str, k: str) -> str:
+    return f"CASE {k} WHEN -1 THEN {_FAR.format(a=_A, d=f'(1 + {t})')} WHEN 0 THEN {_NEAR.format(a=_A, d=t)} WHEN 1 THEN {_NEAR.format(a=_A, d=f'(1 - {t})')} ELSE {_FAR.format(a=_A, d=f'(2 - {t})')} END"
+
+
+@query(f"""{PX}, t AS (SELECT image_id, ty, tx, (ty + 0.5::DOUBLE) / 2 - 0.5 AS sy, (tx + 0.5::DOUBLE) / 2 - 0.5 AS sx FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest(range(16)) AS ty), (SELECT unnest(range(16)) AS tx)),
+taps AS (SELECT t.image_id, ty, tx, greatest(0, least(7, floor(sy) + j))::INT AS y, greatest(0, least(7, floor(sx) + i))::INT AS x, ({_cubic('(sy - floor(sy))', 'j')}) * ({_cubic('(sx - floor(sx))', 'i')}) AS w FROM t, (SELECT unnest([-1, 0, 1, 2]) AS j), (SELECT unnest([-1, 0, 1, 2]) AS i))
+SELECT image_id, ty::INT AS y, tx::INT AS x, least(255, greatest(0, floor(round(sum(w * g), 6) + 0.5)))::INT AS g FROM taps JOIN px USING (image_id, y, x) GROUP BY image_id, ty, tx""")
+def cubic_enlarge(spark, sf_dir):
+    return printability.enlarge_cubic(gray(spark, sf_dir), 2)

@@ -211,3 +211,8 @@ def artwork_metrics(spark, sf_dir):
     """All measures of an image in one row: each has a query of its own with a DuckDB counterpart."""
     g, m = gray(spark, sf_dir), mask(spark, sf_dir)
     return metrics.otsu(g).join(metrics.contrast(g), "image_id").join(metrics.component_counts(m), "image_id").join(metrics.widths(m), "image_id").join(metrics.lower_profile(m), "image_id", "left")
+
+
+@query(f"{_RUNS}, t AS (SELECT unnest([{{'n': count(*) FILTER (failures > 0), 'fix': 'repair the jobs that fail'}}, {{'n': count(*) FILTER (NOT watertight), 'fix': 'close open meshes'}}, {{'n': count(*) FILTER (preserved > 0), 'fix': 'raise the least island size'}}, {{'n': count(*) FILTER (fallback_used), 'fix': 'simplify outlines for the vector backend'}}]) AS f FROM runs) SELECT (row_number() OVER (ORDER BY f DESC) - 1)::INT AS place, f['fix'] AS fix, f['n'] AS runs FROM t WHERE f['n'] > 0 QUALIFY row_number() OVER (ORDER BY f DESC) <= 3")
+def recommended_fixes(spark, sf_dir):
+    return scoring.recommended_fixes(carried_runs(spark, sf_dir))

@@ -57,3 +57,15 @@ def shapes(spark: SparkSession, size: tuple[int, int], background: tuple[int, in
     for predicate, rgb in drawn:
         color = F.when(F.expr(predicate), F.lit(list(rgb))).otherwise(color)
     return grid.withColumn("c", color).select("image_id", "y", "x", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b"), F.lit(255).alias("a"))
+
+
+def sampled_size(width: Column, height: Column, most_pixels: int) -> dict[str, Column]:
+    """Width and height scaled down together until they hold ``most_pixels`` at most."""
+    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(most_pixels)) / (width * height)))
+    return {"width": F.greatest(F.lit(1), F.floor(width * scale)).cast("int"), "height": F.greatest(F.lit(1), F.floor(height * scale)).cast("int")}
+
+
+def discover(inputs: DataFrame, samples: DataFrame) -> DataFrame:
+    """(path, kind): all files once; a path among both counts as an input."""
+    both = inputs.select("path", F.lit("input").alias("kind")).unionByName(samples.select("path", F.lit("sample").alias("kind")))
+    return both.groupBy("path").agg(F.min("kind").alias("kind"))

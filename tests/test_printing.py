@@ -123,3 +123,32 @@ def test_rings_find_their_exteriors(spark):
 def test_quality_scores(spark, row, score):
     kind = "failures int, warnings int, watertight boolean, face_count int, fallback_used boolean, preserved int, removed int"
     assert scoring.quality_score(spark.createDataFrame([row], kind)).first()["score"] == score
+
+
+def test_strict_heights_must_lie_on_layers(spark):
+    from rasterloom.operators import layers
+
+    colors = spark.createDataFrame([(0, k, k) for k in range(3)], "image_id long, ord int, label int")
+    assert [r["last_layer"] for r in layers.plan(colors, mode="strict").orderBy("ord").collect()] == [4, 6, 8]
+    with pytest.raises(Exception, match="not on a layer"):
+        layers.plan(colors, first=0.28, layer=0.16, mode="strict").collect()
+    assert [r["last_layer"] for r in layers.plan(colors, first=0.28, layer=0.16, mode="snap_nearest").orderBy("ord").collect()] == [4, 7, 9]
+
+
+def test_discovery_budgets_and_cache_keys(spark):
+    from rasterloom.sources import rasters
+
+    files = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert {r["path"]: r["kind"] for r in rasters.discover(files("a", "b"), files("b", "c")).collect()} == {"a": "input", "b": "input", "c": "sample"}
+    size = rasters.sampled_size(F.lit(1000), F.lit(500), 5000)
+    assert tuple(spark.range(1).select(size["width"], size["height"]).first()) == (100, 50)
+    key = scoring.recommendation_key(F.col("content"), F.col("w"), F.lit("keychain"))
+    jobs = spark.createDataFrame([(b"x", 100.0), (b"x", 100.0000001), (b"x", 101.0), (b"y", 100.0)], "content binary, w double").withColumn("key", key)
+    assert jobs.select("key").distinct().count() == 3
+    assert scoring.missing_from(jobs.limit(1), jobs).count() == 2
+
+
+def test_mesh_reports_are_judged(spark):
+    kind = "faces int, watertight boolean, open_edges int, overused_edges int, width double, depth double, height double"
+    rows = [(12, True, 0, 0, 1.0, 1.0, 1.0), (12, False, 2, 0, 1.0, 1.0, 1.0), (0, True, 0, 0, 1.0, 1.0, 1.0), (12, None, 0, 0, 1.0, 1.0, 1.0), (12, True, 0, 0, 1.0, 0.0, 1.0)]
+    assert [r["ok"] for r in spark.createDataFrame(rows, kind).select(scoring.is_sane().alias("ok")).collect()] == [True, False, False, False, False]
