@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -30,12 +31,18 @@ from pyspark.sql import types as T
 from . import common as C
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY_WORDS = 1_500_000
+#: Words whose ids a worker remembers; the memory is emptied when full, and at a task's end if it then holds more than MEMORY_KEPT.
+MEMORY_WORDS, MEMORY_KEPT = 1_000_000, 600_000
 #: Longer words are encoded but not remembered.
 LONGEST_WORD = 48
 
 
+#: Small tables of the merge loop.
+_BYTE = [bytes([k]) for k in range(256)]
+_BIT = [1 << k for k in range(256)]
+_COUNT = list(range(-1, 300))
+
+
 class Unsafe(Exception):
     """A blank followed by white space: the text must be cut by the pattern as a whole."""
 
@@ -60,54 +67,68 @@ class Bpe:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         get, low, n = ranks.get, self.low, len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token: list[bytes | None] = [piece[k : k + 1] for k in range(n)]
-        waiting: list[int | None] = [None] * n  # the rank under which a position stands now
+        if n < len(_COUNT) - 1:
+            after, before = _COUNT[2 : n + 2], _COUNT[:n]
+        else:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        token: list[bytes | None] = list(map(_BYTE.__getitem__, piece))
+        waiting: list[int | None] = list(map(get, map(add, token, token[1:])))  # the rank under which a position stands now
+        waiting.append(None)
         buckets: dict[int, list[int]] = {}
         high = 0  # bit w: word w of ``low`` has bits
-        for k in range(n - 1):
-            r = get(piece[k : k + 2])
+        for k, r in enumerate(waiting):
             if r is not None:
-                waiting[k] = r
                 if r in buckets:
                     buckets[r].append(k)
                 else:
                     buckets[r] = [k]
-                    low[r >> 8] |= 1 << (r & 255)
-                    high |= 1 << (r >> 8)
+                    w = r >> 8
+                    low[w] |= _BIT[r & 255]
+                    high |= _BIT[w] if w < 256 else 1 << w
         while high:
             w = (high & -high).bit_length() - 1
             bits = low[w]
-            r = (w << 8) | ((bits & -bits).bit_length() - 1)
+            r = (w << 8) + (bits & -bits).bit_length() - 1
             bucket = buckets[r]
-            k = heappop(bucket)
-            if not bucket:
+            if len(bucket) == 1:
+                k = bucket[0]
                 del buckets[r]
-                bits &= bits - 1
-                low[w] = bits
+                low[w] = bits = bits & (bits - 1)
                 if not bits:
                     high &= high - 1
+            else:
+                k = heappop(bucket)
             if waiting[k] != r:
                 continue  # stale
             gone = after[k]
-            token[k] = token[k] + token[gone]
-            token[gone] = waiting[gone] = waiting[k] = None
+            merged = token[k] + token[gone]
+            token[k] = merged
+            token[gone] = waiting[gone] = None
             right = after[k] = after[gone]
             left = before[k]
             if right < n:
                 before[right] = k
-            for at, end in ((left, k), (k, right)):
-                if at < 0 or end >= n:
-                    continue
-                r = get(token[at] + token[end])
-                waiting[at] = r
+                r = waiting[k] = get(merged + token[right])
                 if r is not None:
                     if r in buckets:
-                        heappush(buckets[r], at)
+                        heappush(buckets[r], k)
                     else:
-                        buckets[r] = [at]
-                        low[r >> 8] |= 1 << (r & 255)
-                        high |= 1 << (r >> 8)
+                        buckets[r] = [k]
+                        w = r >> 8
+                        low[w] |= _BIT[r & 255]
+                        high |= _BIT[w] if w < 256 else 1 << w
+            else:
+                waiting[k] = None
+            if left >= 0:
+                r = waiting[left] = get(token[left] + merged)
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        w = r >> 8
+                        low[w] |= _BIT[r & 255]
+                        high |= _BIT[w] if w < 256 else 1 << w
         return [ranks[t] for t in token if t is not None]
 
     def _part(self, part: str) -> str:
@@ -137,6 +158,10 @@ class Bpe:
             found.insert(0, " ".join(map(self._part, self.find(first))))
         return " ".join(found)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(map(int, self.spell(text or "").split()))
 
@@ -157,7 +182,8 @@ class _Memory(dict):
         if not word or word[0].isspace():
             raise Unsafe
         bpe = self.bpe
-        first, *rest = bpe.find(" " + word)
+        # letters are one pre-token and a lone mark behind them another; the pattern is asked about all else
+        first, *rest = [" " + word] if word.isalpha() else [" " + word[:-1], word[-1]] if word[-1] in ",." and word[:-1].isalpha() else bpe.find(" " + word)
         if not rest:
             found = " ".join(map(str, bpe.merge(first.encode("utf-8", "surrogatepass"))))
         else:  # a word and its punctuation: the word itself is remembered without it
@@ -199,14 +225,18 @@ def _mapped(df: DataFrame, column: str, schema: T.StructType, vocab, row) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _opened(shared, pattern)
-        for whole in batches:
-            step = 512  # rows whose results are held at once
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                made = [row(bpe, v.as_py()) for v in batch.column(batch.schema.names.index(column))]
-                new = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(arrow)]
-                kept = [n for n in batch.schema.names if n not in names]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(n)) for n in kept] + new, names=[*kept, *names])
+        try:
+            for whole in batches:
+                step = 512  # rows whose results are held at once
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    made = [row(bpe, v.as_py()) for v in batch.column(batch.schema.names.index(column))]
+                    new = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(arrow)]
+                    kept = [n for n in batch.schema.names if n not in names]
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(n)) for n in kept] + new, names=[*kept, *names])
+        finally:
+            if len(bpe.words) > MEMORY_KEPT:
+                bpe.forget()  # the worker goes on to other stages, which need the memory
 
     kept = [f for f in df.schema.fields if f.name not in names]
     return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, *schema.fields]))
