@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import artwork, contours, masks, meshes, metrics, presets, printability, regions
+from ..operators import artwork, contours, masks, meshes, metrics, presets, printability, regions, reports
 from ..storage import table
 from . import raster_queries as R
 from .raster_queries import _EIGHT, _LABEL, COMP, LABELS, MASK, PX, RGB, gray, labels, mask, rgb
@@ -223,3 +223,49 @@ taps AS (SELECT t.image_id, ty, tx, greatest(0, least(7, floor(sy) + j))::INT AS
 SELECT image_id, ty::INT AS y, tx::INT AS x, least(255, greatest(0, floor(round(sum(w * g), 6) + 0.5)))::INT AS g FROM taps JOIN px USING (image_id, y, x) GROUP BY image_id, ty, tx""")
 def cubic_enlarge(spark, sf_dir):
     return printability.enlarge_cubic(gray(spark, sf_dir), 2)
+
+
+_HOLES = f"{MASK}, onp AS (SELECT image_id, y, x FROM mask WHERE NOT m), {_LABEL.format(on='onp', near=R._FOUR)}, h AS (SELECT image_id, y, x, root, bool_or(y IN (0, 7) OR x IN (0, 7)) OVER (PARTITION BY image_id, root) AS open, count(*) OVER (PARTITION BY image_id, root) AS area FROM lab)"
+
+
+@query(f"{_HOLES}, e AS (SELECT DISTINCT image_id, root, area FROM h WHERE NOT open), i AS (SELECT DISTINCT image_id FROM px) SELECT image_id, count(area) AS holes, round(coalesce(avg(area / 64.0::DOUBLE), 0), 6) AS share FROM i LEFT JOIN e USING (image_id) GROUP BY image_id")
+def hole_metrics(spark, sf_dir):
+    return reports.hole_metrics(mask(spark, sf_dir))
+
+
+@query(f"{_HOLES} SELECT mask.image_id, mask.y, mask.x, coalesce(NOT (NOT open AND area >= 3), true) AS m FROM mask LEFT JOIN h USING (image_id, y, x)")
+def restored_holes(spark, sf_dir):
+    full = mask(spark, sf_dir).select(*masks.KEY, F.lit(True).alias("m"))
+    return reports.restore_holes(mask(spark, sf_dir), full, 3)
+
+
+@query(f"{LABELS}, {R._LREACH}, e AS (SELECT image_id, label, root, count(*) AS area FROM lab GROUP BY ALL) SELECT image_id, label, count(*) AS regions, count(*) FILTER (area >= 4) AS kept, count(*) FILTER (area < 4) AS small, sum(area)::BIGINT AS pixels FROM e GROUP BY ALL")
+def per_color_counts(spark, sf_dir):
+    return reports.per_color_counts(labels(spark, sf_dir), 4)
+
+
+@query(f"{R._DEST} SELECT image_id, count(*) AS small, count(target) AS merged, count(*) FILTER (contact > 0) AS by_contact, count(*) FILTER (target IS NULL) AS removed FROM dest GROUP BY image_id")
+def island_summary(spark, sf_dir):
+    return reports.island_summary(labels(spark, sf_dir), 4, 3)
+
+
+@query(f"{LABELS}, {R._GROUND}, k AS (SELECT image_id, count(DISTINCT label) AS kinds FROM lb GROUP BY image_id) SELECT image_id, CASE WHEN share >= 0.6 AND kinds > 1 THEN label END AS ignored, CASE WHEN label IS NULL THEN 'no border pixels' WHEN share < 0.6 THEN 'the border has no clear color' WHEN kinds < 2 THEN 'it is the only color' ELSE 'the border has one clear color' END AS reason FROM k LEFT JOIN ground USING (image_id)")
+def background_decision(spark, sf_dir):
+    from ..operators import layers
+
+    lb = labels(spark, sf_dir)
+    return reports.background_decision(layers.background(lb), lb)
+
+
+@query(f"{R._CHOSEN}, {R._plan_sql(0.8, 0.4, 0.28, 0.16)} SELECT image_id, ord + 1 AS slot, label, change_before_layer AS layer, start_mm AS top_z FROM bands WHERE change_before_layer IS NOT NULL")
+def tool_changes(spark, sf_dir):
+    from ..operators import layers
+
+    return reports.tool_changes(layers.plan(R._ordered(spark, sf_dir), 0.8, 0.4, 0.28, 0.16), 0.28, 0.16)
+
+
+@query(f"{MASK}, c AS (SELECT DISTINCT image_id, y + j AS gy, x + i AS gx, t FROM mask, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(j, i), (VALUES (0), (1)) AS l(t) WHERE m), v AS (SELECT image_id, count(*) AS vertices FROM c GROUP BY image_id) SELECT image_id, vertices, vertices - 1 AS last FROM v")
+def mesh_vertices(spark, sf_dir):
+    v, f = reports.indexed(meshes.relief_faces(mask(spark, sf_dir)))
+    last = f.groupBy("image_id").agg(F.max(F.greatest("v1", "v2", "v3")).cast("long").alias("last"))
+    return v.groupBy("image_id").agg(F.count("*").alias("vertices")).join(last, "image_id")

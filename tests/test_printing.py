@@ -152,3 +152,22 @@ def test_mesh_reports_are_judged(spark):
     kind = "faces int, watertight boolean, open_edges int, overused_edges int, width double, depth double, height double"
     rows = [(12, True, 0, 0, 1.0, 1.0, 1.0), (12, False, 2, 0, 1.0, 1.0, 1.0), (0, True, 0, 0, 1.0, 1.0, 1.0), (12, None, 0, 0, 1.0, 1.0, 1.0), (12, True, 0, 0, 1.0, 0.0, 1.0)]
     assert [r["ok"] for r in spark.createDataFrame(rows, kind).select(scoring.is_sane().alias("ok")).collect()] == [True, False, False, False, False]
+
+
+def test_meshes_are_numbered_and_judged(spark):
+    from rasterloom.operators import meshes, reports
+
+    v, f = reports.indexed(meshes.relief_faces(mask_of(spark, ["##"])))
+    assert v.count() == 12 and f.count() == 4 * 2 + 2 * 6 and f.agg(F.max(F.greatest("v1", "v2", "v3"))).first()[0] == 11
+    points = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (0, 1, 3.0, 6.0, 4.0), (0, 2, float("nan"), 0.0, 0.0)], "image_id long, vid int, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (0, 0, 0, 1), (0, 0, 1, 3)], "image_id long, v1 int, v2 int, v3 int")
+    assert {(r["rule"], r["n"]) for r in reports.mesh_errors(points, faces).collect()} == {("finite", 1), ("range", 1), ("degenerate", 1)}
+    moved = reports.centred(points.where("vid < 2"), 100.0, 50.0).orderBy("vid").collect()
+    assert [(r["x"], r["y"], r["z"]) for r in moved] == [(49.0, 23.0, 0.0), (51.0, 27.0, 1.0)]
+
+
+def test_physical_warnings(spark):
+    from rasterloom.operators import reports
+
+    w = reports.physical_warnings(F.lit(0.4), F.lit(0.4), F.lit(300.0), F.lit(10.0))
+    assert spark.range(1).select(w.alias("w")).first()["w"] == ["thinner than can be printed", "no relief", "larger than the plate"]
