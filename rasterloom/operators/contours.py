@@ -226,3 +226,80 @@ def straighten(points: DataFrame, tolerance: float = 12.0, least: int = 4) -> Da
     inside = W.partitionBy(*RING, "run")
     sized = near.withColumn("len", F.count("*").over(inside)).withColumn("k", F.row_number().over(inside.orderBy("seq")))
     return sized.where((F.col("len") < least) | (F.col("k") == 1) | (F.col("k") == F.col("len"))).select(*RING, "seq", "px", "py")
+
+
+def fit_curves(points: DataFrame, tolerance: float = 0.5, least_chord: float = 2.0, most_percent: float = 5.0, sharp: float = 60.0) -> DataFrame:
+    """Each point but sharp ones moved a quarter of the way to its neighbours' middle and back, where that is a small step.
+
+    All points look at the unmoved ring, so one window pass does it.
+    """
+    near = _around(points)
+    chord = F.sqrt((F.col("cx") - F.col("ax")) ** 2 + (F.col("cy") - F.col("ay")) ** 2)
+    mx, my = ((F.col(a) + F.col(p) * 2 + F.col(c)) / 4 for a, p, c in (("ax", "px", "cx"), ("ay", "py", "cy")))
+    step = F.sqrt((mx - F.col("px")) ** 2 + (my - F.col("py")) ** 2)
+    moves = (F.col("n") >= 6) & (turn_degrees() >= sharp) & (chord >= least_chord) & ((step <= tolerance) | (step / F.greatest(F.lit(1.0), chord) * 100 <= most_percent))
+    return near.select(*RING, "seq", F.when(moves, mx).otherwise(F.col("px")).alias("px"), F.when(moves, my).otherwise(F.col("py")).alias("py"))
+
+
+def restore_corners(original: DataFrame, cleaned: DataFrame, sharp: float = 60.0, literal: bool = True) -> DataFrame:
+    """``cleaned`` with the original's sharp corners: put at the ring's end (``literal``), or at their own places."""
+    corners = _around(original).where(turn_degrees() < sharp).select(*RING, "seq", "px", "py")
+    if not literal:
+        return cleaned.select(*RING, "seq", "px", "py").unionByName(corners).dropDuplicates([*RING, "seq"])
+    both = cleaned.select(*RING, F.lit(0).alias("part"), "seq", "px", "py").unionByName(corners.select(*RING, F.lit(1).alias("part"), "seq", "px", "py"))
+    order = W.partitionBy(*RING).orderBy("part", "seq")
+    return both.select(*RING, (F.row_number().over(order) - 1).alias("seq"), "px", "py")
+
+
+def straighten_chords(points: DataFrame, tolerance: float = 0.6, least_length: float = 6.0, ahead: int = 17) -> DataFrame:
+    """From each point on, the farthest of the next ``ahead`` points whose chord no point between leaves by more than ``tolerance``.
+
+    What a chord spans goes; the next one starts behind it, so the points of a ring are taken in turn by a kernel.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("seq")
+        p = np.stack([t.column("px").to_numpy(), t.column("py").to_numpy()], 1)
+        keep = np.zeros(len(p), bool)
+        at = 0
+        while at < len(p):
+            reach = at
+            for to in range(at + 2, min(at + ahead + 1, len(p))):
+                line, off = p[to] - p[at], p[at : to + 1] - p[at]
+                size = float(np.hypot(*line))
+                if size >= least_length and np.abs(line[0] * off[:, 1] - line[1] * off[:, 0]).max() <= tolerance * size:
+                    reach = to
+            keep[reach] = True
+            if reach > at and not keep[:at].any():
+                keep[at] = True
+            at = reach + 1
+        return t.filter(pa.array(keep)) if len(p) >= 5 and keep.sum() >= 3 else t
+
+    slim = points.select(*RING, "seq", "px", "py")
+    return slim.groupBy(*RING).applyInArrow(run, slim.schema)
+
+
+def clean_contours(points: DataFrame, tolerance: float = 0.7, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rings, report): simplified, merged, curve-fitted and rounded rings where safe, else the original.
+
+    The report has a row per image: rings, points before and after, rings that fell back.
+    """
+    from ..storage import written
+
+    new = fit_curves(merge_collinear(written(simplify(points, tolerance), "simplified")))
+    for _ in range(rounds):
+        new = round_corners(new)
+    new = written(merge_collinear(new), "rounded")
+    safe = written(is_safe(points, new), "safe")
+    out = new.join(safe.where("safe").select(*RING), RING, "left_semi").unionByName(points.join(safe.where("not safe").select(*RING), RING, "left_semi").select(*RING, "seq", "px", "py"))
+    out = written(out, "contours")
+    before = points.groupBy("image_id").agg(F.countDistinct("ring").alias("rings"), F.count("*").alias("points_before"))
+    after = out.groupBy("image_id").agg(F.count("*").alias("points_after"))
+    fell = safe.groupBy("image_id").agg(F.count_if(~F.col("safe")).alias("fallbacks"))
+    return out, before.join(after, "image_id").join(fell, "image_id")
+
+
+def valid(points: DataFrame, least_area: float = 0.0) -> DataFrame:
+    """Rings of three points or more that enclose more than ``least_area``."""
+    good = measures(points).where((F.col("n") >= 3) & (F.abs("area") > least_area)).select(*RING)
+    return points.join(good, RING, "left_semi")

@@ -104,3 +104,58 @@ def physical_warnings(least_mm: Column, most_mm: Column, width_mm: Column, heigh
             F.when(F.greatest(width_mm, height_mm) > largest, "larger than the plate"),
         )
     )
+
+
+def height_preview(heights: DataFrame) -> DataFrame:
+    """(.., g): heights from the least to the most as 80 to 255, 180 where there is one height, 0 where there is none."""
+    whole = W.partitionBy("image_id")
+    up = F.when(F.col("z") > 0, F.col("z"))
+    low, high = F.min(up).over(whole), F.max(up).over(whole)
+    g = F.when(F.col("z") <= 0, 0).when(high <= low, 180).otherwise(F.floor(F.round((F.col("z") - low) / (high - low) * 175, 6) + 80))
+    return heights.select(*KEY, g.cast("int").alias("g"))
+
+
+def thickness_preview(cells: DataFrame) -> DataFrame:
+    """(.., g): thickness from the least to the most as 0 to 255."""
+    whole = W.partitionBy("image_id")
+    low, high = F.min("mm").over(whole), F.max("mm").over(whole)
+    return cells.select(*KEY, F.when(high > low, F.floor(F.round((F.col("mm") - low) / (high - low) * 255, 6))).otherwise(0).cast("int").alias("g"))
+
+
+def level_support(heights: DataFrame) -> DataFrame:
+    """(image_id, level, pixels, supported): pixels at least as high as a level, and those whose neighbours below carry them.
+
+    A pixel of a level is carried where one of its nine neighbours reaches that level too.
+    """
+    from .neighbourhood import along_columns, along_rows
+
+    levels = heights.where("z > 0").select("image_id", F.col("z").alias("level")).distinct()
+    wide = heights.withColumn("a", F.greatest(F.coalesce(F.lag("z").over(along_rows()), F.lit(0.0)), F.coalesce(F.lead("z").over(along_rows()), F.lit(0.0))))
+    wide = wide.withColumn("row", F.greatest("a", "z"))
+    wide = wide.withColumn("near", F.greatest("a", F.coalesce(F.lag("row").over(along_columns()), F.lit(0.0)), F.coalesce(F.lead("row").over(along_columns()), F.lit(0.0))))
+    met = wide.join(levels, "image_id").where("z >= level")
+    return met.groupBy("image_id", "level").agg(F.count("*").alias("pixels"), F.count_if(F.col("near") >= F.col("level")).alias("supported"))
+
+
+def swap_plan_text(bands: DataFrame, colors: DataFrame) -> DataFrame:
+    """(image_id, text): the changes of a plan in words, a line per color of (image_id, label, hex)."""
+    line = F.concat(
+        F.lpad((F.col("ord") + 1).cast("string"), 2, " "), F.lit(". "), F.col("hex"), F.lit(": layers "), F.col("first_layer").cast("string"), F.lit(" to "), F.col("last_layer").cast("string"),
+        F.coalesce(F.concat(F.lit(", change before layer "), F.col("change_before_layer").cast("string")), F.lit("")),
+    )
+    rows = bands.join(colors.select("image_id", "label", "hex"), ["image_id", "label"]).select("image_id", "ord", line.alias("line"))
+    return rows.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "line")))["line"], "\n").alias("text"))
+
+
+def matrix_lines(runs: DataFrame) -> DataFrame:
+    """(image, text): a paragraph per image of a quality matrix: its runs, the best first."""
+    line = F.concat(F.lit("- "), F.col("preset"), F.lit(": "), F.col("score").cast("string"), F.lit(" ("), F.col("note"), F.lit(")"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "preset", "run", line.alias("line"))))
+    return runs.groupBy("image").agg(F.array_join(listed["line"], "\n").alias("text"))
+
+
+def save_matrix(runs: DataFrame, folder: str) -> None:
+    """A quality matrix as JSON, CSV and text under a folder that executors share."""
+    runs.write.mode("overwrite").json(f"{folder}/json")
+    runs.select(*[c for c, k in runs.dtypes if not k.startswith(("array", "struct", "map"))]).write.mode("overwrite").csv(f"{folder}/csv", header=True)
+    matrix_lines(runs).select("text").write.mode("overwrite").text(f"{folder}/text")

@@ -8,7 +8,7 @@ from ..operators import artwork, contours, masks, meshes, metrics, presets, prin
 from ..storage import table
 from . import raster_queries as R
 from .raster_queries import _EIGHT, _LABEL, COMP, LABELS, MASK, PX, RGB, gray, labels, mask, rgb
-from .report_queries import _TURN, RINGS, around, rings
+from .report_queries import _RUNS, _TURN, RINGS, around, rings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -269,3 +269,66 @@ def mesh_vertices(spark, sf_dir):
     v, f = reports.indexed(meshes.relief_faces(mask(spark, sf_dir)))
     last = f.groupBy("image_id").agg(F.max(F.greatest("v1", "v2", "v3")).cast("long").alias("last"))
     return v.groupBy("image_id").agg(F.count("*").alias("vertices")).join(last, "image_id")
+
+
+_CH = "sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))"
+_ST = "sqrt(pow((ax + 2 * px + cx) / 4 - px, 2) + pow((ay + 2 * py + cy) / 4 - py, 2))"
+
+
+@query(f"{RINGS}, {around('rings', 'a')}, s AS (SELECT *, n >= 6 AND ({_TURN}) >= 60 AND {_CH} >= 2 AND ({_ST} <= 0.5 OR {_ST} / greatest(1.0, {_CH}) * 100 <= 5) AS moves FROM a) SELECT image_id, ring, seq, CASE WHEN moves THEN (ax + 2 * px + cx) / 4 ELSE px END AS px, CASE WHEN moves THEN (ay + 2 * py + cy) / 4 ELSE py END AS py FROM s")
+def curve_fit(spark, sf_dir):
+    return contours.fit_curves(rings(spark, sf_dir))
+
+
+@query(f"{RINGS}, {around('rings', 'a')}, b AS (SELECT image_id, ring, 0 AS part, seq, px, py FROM rings WHERE seq % 2 = 0 UNION ALL SELECT image_id, ring, 1, seq, px, py FROM a WHERE ({_TURN}) < 120) SELECT image_id, ring, (row_number() OVER (PARTITION BY image_id, ring ORDER BY part, seq) - 1)::INT AS seq, px, py FROM b")
+def restored_corners(spark, sf_dir):
+    r = rings(spark, sf_dir)
+    return contours.restore_corners(r, r.where("seq % 2 = 0"), 120.0)
+
+
+@query()
+def straight_chords(spark, sf_dir):
+    return contours.straighten_chords(rings(spark, sf_dir))
+
+
+@query()
+def clean_contours(spark, sf_dir):
+    return contours.clean_contours(contours.trace(mask(spark, sf_dir)))[1]
+
+
+@query(f"{RINGS}, {around('rings', 'a')}, m AS (SELECT image_id, ring, count(*) AS n, abs(sum(px * cy - cx * py) / 2) AS area FROM a GROUP BY ALL) SELECT image_id, ring, seq, px, py FROM rings JOIN m USING (image_id, ring) WHERE m.n >= 3 AND area > 4095")
+def valid_rings(spark, sf_dir):
+    return contours.valid(rings(spark, sf_dir), 4095.0)
+
+
+@query(f"{R._CHOSEN}, {R._plan_sql(0.8, 0.4, 0.28, 0.16)}, z AS (SELECT lb.image_id, y, x, coalesce(top_mm, 0)::DOUBLE AS z FROM lb LEFT JOIN bands USING (image_id, label)), kz AS (SELECT *, min(CASE WHEN z > 0 THEN z END) OVER (PARTITION BY image_id) AS lo, max(z) OVER (PARTITION BY image_id) AS hi FROM z) SELECT image_id, y, x, CASE WHEN z <= 0 THEN 0 WHEN hi <= lo THEN 180 ELSE floor(round((z - lo) / (hi - lo) * 175, 6) + 80) END::INT AS g FROM kz")
+def height_preview(spark, sf_dir):
+    return reports.height_preview(R.height_map(spark, sf_dir))
+
+
+@query(f"{PX}, c AS (SELECT image_id, y, x, 3.0::DOUBLE - g / 255.0::DOUBLE * (3.0::DOUBLE - 0.8::DOUBLE) AS mm FROM px), k AS (SELECT *, min(mm) OVER (PARTITION BY image_id) AS lo, max(mm) OVER (PARTITION BY image_id) AS hi FROM c) SELECT image_id, y, x, CASE WHEN hi > lo THEN floor(round((mm - lo) / (hi - lo) * 255, 6)) ELSE 0 END::INT AS g FROM k")
+def thickness_preview(spark, sf_dir):
+    return reports.thickness_preview(meshes.thickness(gray(spark, sf_dir)))
+
+
+@query(f"{LABELS}, z AS (SELECT image_id, y, x, label * 0.4::DOUBLE + 0.8::DOUBLE AS z FROM lb), l AS (SELECT DISTINCT image_id, z AS level FROM z), n AS (SELECT a.image_id, a.y, a.x, a.z, max(b.z) AS near FROM z a JOIN z b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND NOT (a.y = b.y AND a.x = b.x) GROUP BY ALL) SELECT image_id, level, count(*) AS pixels, count(*) FILTER (near >= level) AS supported FROM n JOIN l USING (image_id) WHERE z >= level GROUP BY ALL")
+def level_support(spark, sf_dir):
+    return reports.level_support(labels(spark, sf_dir).select(*masks.KEY, (F.col("label") * 0.4 + 0.8).alias("z")))
+
+
+@query(f"{R._CHOSEN}, {R._plan_sql(0.8, 0.4, 0.28, 0.16)}, t AS (SELECT image_id, ord, lpad((ord + 1)::VARCHAR, 2, ' ') || '. ' || format('#{{:02X}}{{:02X}}{{:02X}}', label * 86, label * 86, label * 86) || ': layers ' || first_layer || ' to ' || last_layer || coalesce(', change before layer ' || change_before_layer, '') AS line FROM bands) SELECT image_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM t GROUP BY image_id")
+def swap_plan_text(spark, sf_dir):
+    from ..functions.color import hex_color
+    from ..operators import layers
+
+    bands = layers.plan(R._ordered(spark, sf_dir), 0.8, 0.4, 0.28, 0.16)
+    g = F.col("label") * 86
+    return reports.swap_plan_text(bands, bands.select("image_id", "label", hex_color(g, g, g).alias("hex")))
+
+
+@query(f"{_RUNS} SELECT image, string_agg('- ' || preset || ': ' || score || ' (' || note || ')', chr(10) ORDER BY -score, preset, run) AS text FROM scored GROUP BY image")
+def matrix_lines(spark, sf_dir):
+    from ..operators import scoring
+    from .report_queries import carried_runs
+
+    return reports.matrix_lines(scoring.quality_score(carried_runs(spark, sf_dir)))

@@ -96,7 +96,7 @@ _CORNERS = "SELECT image_id, y + j AS gy, x + i AS gx, {v} FROM {t}, (VALUES (0,
 tops AS (SELECT image_id, gy, gx, avg(mm) AS z FROM ({_CORNERS.format(v="mm", t="cells")}) GROUP BY ALL),
 v AS (SELECT image_id, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z, 2 * count(*) AS vertex_count FROM tops GROUP BY image_id),
 s AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM px GROUP BY image_id)
-SELECT image_id, width, height, min_z, max_z, vertex_count, 4 * width * height + 4 * (width + height) AS face_count, (4 * width * height + 4 * (width + height)) * 3 // 2 AS edges, 0::BIGINT AS open_edges, 0::BIGINT AS overused_edges, true AS watertight FROM s JOIN v USING (image_id)""")
+SELECT image_id, width, height, min_z, max_z, vertex_count, (4 * width * height + 4 * (width + height))::BIGINT AS face_count, ((4 * width * height + 4 * (width + height)) * 3 // 2)::BIGINT AS edges, 0::BIGINT AS open_edges, 0::BIGINT AS overused_edges, true AS watertight FROM s JOIN v USING (image_id)""")
 def lithophane_mesh_report(spark, sf_dir):
     r = meshes.lithophane_report(meshes.thickness(gray(spark, sf_dir)))
     return r.select("image_id", "width", "height", F.round("min_z", 6).alias("min_z"), F.round("max_z", 6).alias("max_z"), "vertex_count", "face_count", "edges", "open_edges", "overused_edges", "watertight")

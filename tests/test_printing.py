@@ -171,3 +171,20 @@ def test_physical_warnings(spark):
 
     w = reports.physical_warnings(F.lit(0.4), F.lit(0.4), F.lit(300.0), F.lit(10.0))
     assert spark.range(1).select(w.alias("w")).first()["w"] == ["thinner than can be printed", "no relief", "larger than the plate"]
+
+
+def test_chords_replace_straight_stretches(spark):
+    points = [(float(x), 0.01 * (x % 2)) for x in range(0, 11)] + [(10.0, float(y)) for y in range(1, 11)] + [(float(x), 10.0) for x in range(9, -1, -1)] + [(0.0, float(y)) for y in range(9, 0, -1)]
+    ring = spark.createDataFrame([(0, 0, k, x, y) for k, (x, y) in enumerate(points)], "image_id long, ring int, seq int, px double, py double")
+    kept = {(r["px"], r["py"]) for r in contours.straighten_chords(ring, 0.2, 4.0).collect()}
+    assert len(kept) < 12 and (0.0, 0.0) in kept and (10.0, 0.0) in kept
+    few = ring.where("seq < 4")
+    assert contours.straighten_chords(few).count() == 4
+
+
+def test_contours_that_change_too_much_fall_back(spark):
+    m = mask_of(spark, ["#" * 30] * 20, ["##", "##"])
+    rings, report = contours.clean_contours(contours.trace(m))
+    r = {x["image_id"]: x for x in report.collect()}
+    assert r[0]["points_after"] < r[0]["points_before"] or r[0]["fallbacks"] == 1
+    assert rings.select("image_id").distinct().count() == 2
