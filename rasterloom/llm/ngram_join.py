@@ -344,7 +344,8 @@ class Join:
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, zipped) of the wanted nodes, one text each."""
-        one = self.rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("place", "ident")).alias("p")).select("node", "p.place", "p.ident")
+        # copies are counted down to one row per node and task before they are shuffled
+        one = self.rows.groupBy("node").agg(F.min(F.struct("place", "ident")).alias("p")).select("node", "p.place", "p.ident").join(nodes.distinct(), "node", "left_semi")
         return zipped(self.base).join(one, ["place", "ident"]).select("node", "zipped").dropDuplicates(["node"])
 
     def compare(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
@@ -394,8 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = Join(base)
     roots = components(join.links())
     nodes = join.rows.where("n > 0").groupBy("node").agg(F.min("place").alias("first"))
-    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = joined.groupBy("root").agg(F.min("first").alias("first"))
+    # written, so that Spark can split a component with many nodes when it is joined
+    joined = C.written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    first = C.written(joined.groupBy("root").agg(F.min("first").alias("first")), "first")
     answer = C.written(joined.drop("first").join(first, "root").select("node", "first"), "components")
     rows = join.rows.dropDuplicates(["place", "ident"]).join(answer, "node", "left").select("place", "ident", "n", F.coalesce("first", "place").alias("first"))
     slim = base.select("row", "place", "ident")
