@@ -131,7 +131,7 @@ def relief_job(rgba: DataFrame, least_area: int = 4, product: str = "flat_relief
     Every image that came in is in the result; one whose mask is empty carries a failure.
     """
     r, g, b, a = (F.col(c) for c in "rgba")
-    raw = masks.raw_mask(rgba, None, color.dark_detail(color.luma(r, g, b), color.visible(a)), color.saturated(r, g, b), color.visible(a))
+    raw = masks.raw_mask(rgba, color.dark_detail(color.luma(r, g, b), color.visible(a)), color.saturated(r, g, b), color.visible(a))
     clean = regions.remove_small(neighbourhood.median3(raw), least_area)
     from ..storage import written
 

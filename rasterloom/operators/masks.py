@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ def threshold(gray: DataFrame, below: int = 128, invert: bool = False) -> DataFr
     return gray.select(*KEY, (~m if invert else m).alias("m"))
 
 
-def raw_mask(rgba: DataFrame, gray, dark, saturated, visible, keep_details: bool = True) -> DataFrame:
+def raw_mask(rgba: DataFrame, dark: Column, saturated: Column, visible: Column, keep_details: bool = True) -> DataFrame:
     """Foreground of artwork: what is visible where an image has transparency, dark or saturated pixels elsewhere."""
     whole = W.partitionBy("image_id")
     clear = F.max(F.when(F.col("a") < 255, 1).otherwise(0)).over(whole) == 1

@@ -7,7 +7,6 @@ are equal values and no dictionary of vertices is needed.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .masks import KEY
@@ -82,11 +81,8 @@ def thickness(gray: DataFrame, least: float = 0.8, most: float = 3.0, invert: bo
 
 
 def lithophane_faces(cells: DataFrame) -> DataFrame:
-    """All cells on top and below, walls on the image's border only."""
-    whole = W.partitionBy("image_id")
-    edge = cells.select(*KEY, F.max("x").over(whole).alias("right"), F.max("y").over(whole).alias("bottom"))
-    marked = edge.select(*KEY, F.lit(True).alias("m"))
-    return relief_faces(marked)
+    """All cells on top and below, walls on the image's border only: the relief of a full mask."""
+    return relief_faces(cells.select(*KEY, F.lit(True).alias("m")))
 
 
 def lithophane_report(cells: DataFrame, width_mm: float = 100.0) -> DataFrame:

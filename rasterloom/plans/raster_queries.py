@@ -80,7 +80,7 @@ SELECT image_id, count(*) FILTER (CASE WHEN clear THEN seen OR dark ELSE dark OR
 def raw_foreground(spark, sf_dir):
     r, g, b, a = (F.col(c) for c in "rgba")
     px = rgb(spark, sf_dir)
-    m = masks.raw_mask(px, None, color.dark_detail(color.luma(r, g, b), color.visible(a)), color.saturated(r, g, b), color.visible(a))
+    m = masks.raw_mask(px, color.dark_detail(color.luma(r, g, b), color.visible(a)), color.saturated(r, g, b), color.visible(a))
     return m.groupBy("image_id").agg(F.count_if("m").alias("foreground")).join(px.groupBy("image_id").agg((F.min("a") < 255).alias("has_alpha")), "image_id")
 
 
