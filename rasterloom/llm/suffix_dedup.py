@@ -130,10 +130,8 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.names.index(n)) for n in names]
 
 
-SPAN = "lo << 32 | seg << 16 | n"  # one long: first start, its distance from its run's first, number of starts
-
-
 def packed(lo: np.ndarray, seg: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A span in one long: first start, its distance from its run's first start, number of starts."""
     return pa.array((lo.astype(np.int64) << 32) | (seg.astype(np.int64) << 16) | n.astype(np.int64))
 
 
