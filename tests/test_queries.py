@@ -27,3 +27,24 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_rest_stands_without_the_text_operators():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'corpus_pipeline' or name.startswith('rasterloom.llm'):
+            raise ImportError(name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = e.queries()
+assert 'lithophane_mesh_report' in names and not any(n.startswith('op') or n == 'pipeline' for n in names)
+assert not any('llm' in m for m in sys.modules if m.startswith('rasterloom'))
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=60)
