@@ -40,3 +40,25 @@ def output_paths(root: str, stem: Column) -> dict[str, Column]:
     """Where a job's files go."""
     parts = {"cleaned": ("cleaned", "_cleaned.png"), "silhouette": ("masks", "_silhouette.png"), "svg": ("svg", ".svg"), "stl": ("stl", ".stl"), "model": ("3mf", ".3mf"), "mesh_report": ("reports", "_mesh_report.json"), "status": ("reports", "_status.json")}
     return {name: F.concat_ws("/", F.lit(root), stem, F.lit(folder), F.concat(stem, F.lit(end))) for name, (folder, end) in parts.items()}
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most ``most`` characters, dots standing for the rest."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+def one_of(value: Column, allowed: list[str], default: str, name: str) -> Column:
+    """A choice written by hand in its plain form; an error for what is not allowed."""
+    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit(default)))), "[ -]", "_")
+    return F.when(plain.isin(*allowed), plain).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be one of {sorted(allowed)}; got "), value)))
+
+
+def at_least(value: Column, least: float, name: str, strictly: bool = False) -> Column:
+    """A number not below ``least``, or above it; else an error."""
+    fits = value > least if strictly else value >= least
+    return F.when(fits, value).otherwise(F.raise_error(F.concat(F.lit(f"{name} is out of range: "), value.cast("string"))))
+
+
+def backend_for(product: Column, wanted: Column) -> Column:
+    """The mesh backend that a product asks for; lithophanes and filament reliefs have their own."""
+    return F.when(product == "lithophane", "lithophane_heightfield").when(product == "filament_swap_relief", "filament_swap_heightmap").otherwise(wanted)

@@ -159,3 +159,22 @@ def save_matrix(runs: DataFrame, folder: str) -> None:
     runs.write.mode("overwrite").json(f"{folder}/json")
     runs.select(*[c for c, k in runs.dtypes if not k.startswith(("array", "struct", "map"))]).write.mode("overwrite").csv(f"{folder}/csv", header=True)
     matrix_lines(runs).select("text").write.mode("overwrite").text(f"{folder}/text")
+
+
+def kept_labels(labels: DataFrame, least_area: int) -> DataFrame:
+    """(image_id, y, x, label): pixels of regions of at least ``least_area`` pixels."""
+    pixels = regions.components(labels.select(*KEY, "label", F.lit(True).alias("m")), by="label")
+    return pixels.withColumn("area", F.count("*").over(W.partitionBy("image_id", "label", "comp"))).where(F.col("area") >= least_area).select(*KEY, "label")
+
+
+def contour_text(report: DataFrame) -> DataFrame:
+    """(image_id, text) of a contour report: rings, points before and after, what was lost and how often a ring fell back."""
+    lost = (F.col("points_before") - F.col("points_after")) / F.col("points_before") * 100
+    lines = [("contours", F.col("rings").cast("string")), ("points before", F.col("points_before").cast("string")), ("points after", F.col("points_after").cast("string")), ("point reduction percent", F.format_string("%.2f", F.bround(F.greatest(F.lit(0.0), lost), 2))), ("fallbacks", F.col("fallbacks").cast("string"))]
+    return report.select("image_id", F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in lines]).alias("text"))
+
+
+def settings_text(settings: DataFrame) -> DataFrame:
+    """(job, text): the settings (job, section, key, value) that a job ran with, as a two-level file."""
+    rows = settings.groupBy("job", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda s: F.concat(F.lit("  "), s["key"], F.lit(": "), s["value"])), "\n").alias("body"))
+    return rows.groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda s: F.concat(s["section"], F.lit(":\n"), s["body"])), "\n").alias("text"))

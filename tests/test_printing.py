@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import drawn, mask_of
 
-from rasterloom.operators import artwork, contours, presets, printability, regions, scoring
+from rasterloom.functions import measures
+from rasterloom.operators import artwork, contours, presets, printability, regions, reports, scoring
 from rasterloom.sources import sinks
 
 LIMITS = {"hole_area": 3.0, "gap": 1.0, "island_area": 4.0, "segment": 4.0, "dimension": 2.0, "feature": 2.0}
@@ -188,3 +189,18 @@ def test_contours_that_change_too_much_fall_back(spark):
     r = {x["image_id"]: x for x in report.collect()}
     assert r[0]["points_after"] < r[0]["points_before"] or r[0]["fallbacks"] == 1
     assert rings.select("image_id").distinct().count() == 2
+
+
+def test_choices_and_numbers_are_checked(spark):
+    one = spark.createDataFrame([("Wall Art", 1.0)], "v string, x double")
+    assert one.select(measures.one_of(F.col("v"), ["wall_art"], "wall_art", "product")).first()[0] == "wall_art"
+    assert one.select(measures.at_least(F.col("x"), 1.0, "x")).first()[0] == 1.0
+    with pytest.raises(Exception, match="must be one of"):
+        one.select(measures.one_of(F.col("v"), ["keychain"], "keychain", "product")).collect()
+    with pytest.raises(Exception, match="out of range"):
+        one.select(measures.at_least(F.col("x"), 1.0, "x", strictly=True)).collect()
+
+
+def test_contour_reports_as_text(spark):
+    r = spark.createDataFrame([(0, 2, 40, 30, 1)], "image_id long, rings long, points_before long, points_after long, fallbacks long")
+    assert reports.contour_text(r).first()["text"].split("\n") == ["contours: 2", "points before: 40", "points after: 30", "point reduction percent: 25.00", "fallbacks: 1"]
