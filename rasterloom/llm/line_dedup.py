@@ -14,8 +14,6 @@ result; other columns travel untouched.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,37 +38,30 @@ def hashed_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs under ``root``, a folder that all executors share.
-
-    A run is bucketed and sorted by hash, with as many buckets as shuffles have partitions: a
-    batch is shuffled once, for its own counts, and then merges with one run after the other
-    where it stands.  The tables' names live as long as this object; the files stay.
-    """
+    """The levelled runs under ``root``, a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
         self.spark, self.root, self.fanout = spark, root, fanout
-        self.levels: list[list[tuple[str, str]]] = [[]]  # (table, path)
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.made = 0
 
-    def _write(self, run: DataFrame, level: int) -> tuple[str, str]:
-        name = f"rasterloom_run_{uuid.uuid4().hex}"
-        path = f"{self.root}/level{level}/{name}"
-        run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
-        return name, path
+    def _write(self, run: DataFrame, level: int) -> str:
+        self.made += 1
+        path = f"{self.root}/level{level}/run{self.made}"
+        run.repartition(F.col("h1"), F.col("h2")).sortWithinPartitions("h1", "h2").write.parquet(path)
+        return path
 
     def runs(self) -> DataFrame | None:
-        """All runs as plain files, so that a join with them is shuffled and Spark can split hot hashes."""
-        paths = [path for level in self.levels for _, path in level]
+        paths = [p for level in self.levels for p in level]
         return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*paths) if paths else None
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch; its ids must all be above those added before."""
-        fresh = lines.groupBy("h1", "h2").agg(F.min("place").alias("owner"))
-        for level in self.levels:
-            for name, _ in level:
-                # an anti-join, written so that Spark does not move it below the counts, where all lines would be shuffled
-                old = self.spark.table(name).select("h1", "h2", F.lit(True).alias("old")).hint("merge")
-                fresh = fresh.join(old, ["h1", "h2"], "left").where("old is null").select("h1", "h2", "owner")
+        fresh, old = lines.groupBy("h1", "h2").agg(F.min("place").alias("owner")), self.runs()
+        if old is not None:
+            # an anti-join, written so that Spark does not move it below the counts, where all lines would be shuffled
+            old = old.select("h1", "h2", F.lit(True).alias("old")).hint("merge")
+            fresh = fresh.join(old, ["h1", "h2"], "left").where("old is null").select("h1", "h2", "owner")
         self.levels[0].append(self._write(fresh, 0))
         for k in range(64):
             if k == len(self.levels) or len(self.levels[k]) < self.fanout:
@@ -78,20 +69,9 @@ class LineRuns:
             if k + 1 == len(self.levels):
                 self.levels.append([])
             # hashes of different runs are disjoint, so merging is a sorted rewrite
-            merged = self.spark.read.schema("h1 long, h2 long, owner long").parquet(*[path for _, path in self.levels[k]])
-            self.levels[k + 1].append(self._write(merged.repartition(self.buckets, "h1", "h2"), k + 1))
-            self._forget(k)
-
-    def _forget(self, k: int) -> None:
-        for name, _ in self.levels[k]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.levels[k] = []
-
-    def close(self) -> None:
-        """Give up the tables' names; the files stay for readers of :meth:`runs`."""
-        for level in self.levels:
-            for name, _ in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            merged = self.spark.read.schema("h1 long, h2 long, owner long").parquet(*self.levels[k])
+            self.levels[k + 1].append(self._write(merged, k + 1))
+            self.levels[k] = []
 
     def dropped(self, lines: DataFrame) -> DataFrame:
         """(place, ident, drops): sorted line positions that each document loses."""
@@ -126,7 +106,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             part = lines if least is None else lines.where(F.col("place") >= least)
             runs.add(part if most is None else part.where(F.col("place") < most))
     drops = runs.dropped(lines)
-    runs.close()
     joined = base.join(drops, ["place", "ident"], "left").withColumn("lines", lines_of(F.col("text")))
     cut = F.when(F.col("drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(without("lines", "drops"), "\n"))
     return joined.select("row", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), cut.alias("kept"))
