@@ -4,9 +4,10 @@ The base patterns give e-mail addresses, IP addresses, cards and phone numbers a
 usually written.  The field finds disguised or loosely written ones (``name [at] host [dot]
 org``, ``(847) 555 0199``, ``10[.]1[.]2[.]3``): every feasible segment of up to ``MAX_TOKENS``
 tokens is scored by features of the whole span and its surroundings, and dynamic programming
-over the text chooses kinds and boundaries of all segments together.  Segments without digits
-or an at-sign are infeasible, so the field runs in windows around such places only; elsewhere
-its answer is known to be empty, whatever the length of the text.
+over the text chooses kinds and boundaries of all segments together.  Segments without digits,
+an at-sign or the word at between blanks or brackets are infeasible, so the field runs in
+windows around such places only.  A window holds every segment that can reach its place, and
+features look at the whole text, so the spans are those of decoding the text as a whole.
 
 The weights are fitted at the first use, by the exact gradient of the field's likelihood, on
 ``EXAMPLES`` written out by a seeded generator; nothing is learnt from the corpus.  A task
@@ -24,6 +25,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, REACH, EXAMPLES = 26, 80, 600
+MAX_TOKENS, EXAMPLES = 26, 600
 
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -98,6 +100,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _NUMERIC = frozenset(" -.()+[]{}/")
 _AT = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s?@\s?", re.I)
+#: Tokens of which every feasible segment holds one: digits, or what any match of _AT is about.
+_MARK = re.compile(r"[0-9]+|@|(?<=[\s\[({<])at(?=[\s\])}>])", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s+dot\s+|\s?\.\s?", re.I)
 _MORE = re.compile(r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s+dot\s+|\.)[A-Za-z]{2,}", re.I)
 _WORDS = {
@@ -118,9 +122,9 @@ class Segment:
         self.kind, self.first, self.last, self.start, self.end, self.names = kind, first, last, start, end, names
 
 
-def segments(text: str, blocked: list[tuple[int, int]] = ()) -> tuple[int, list[Segment]]:
-    """Number of tokens, and all feasible segments outside the blocked ranges."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+def segments(text: str, blocked: list[tuple[int, int]] = (), low: int = 0, high: int | None = None) -> tuple[int, list[Segment]]:
+    """Number of tokens, and all feasible segments outside the blocked ranges; of text[low:high], whose ends are ends of tokens."""
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, len(text) if high is None else high)]
     free = [not any(a < e and s < b for a, b in blocked) for s, e in tokens]
     out: list[Segment] = []
     for i, (s, e) in enumerate(tokens):
@@ -129,8 +133,11 @@ def segments(text: str, blocked: list[tuple[int, int]] = ()) -> tuple[int, list[
             continue
         number = "0" <= c <= "9" or c in "+("
         digits, groups, mail = 0, 0, c not in "+("
-        if mail and i and (text[s - 1] in _LOCAL_CHARS):
+        if mail and s and (text[s - 1] in _LOCAL_CHARS):
             mail = False
+        if mail:
+            at = _AT.search(text, s, tokens[min(len(tokens), i + MAX_TOKENS) - 1][1])
+            mail = at is not None and _is_local(text[s : at.start()])
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             a, b = tokens[j]
             word = text[a:b]
@@ -146,7 +153,7 @@ def segments(text: str, blocked: list[tuple[int, int]] = ()) -> tuple[int, list[
                         out += _numeric(text, i, j, s, b, digits)
                 elif word not in _NUMERIC and word.lower() != "dot":
                     number = False
-            if mail and word.isalpha() and word.isascii() and j > i:
+            if mail and b > at.end() and word.isalpha() and word.isascii():
                 if seg := _mail(text, i, j, s, b):
                     out.append(seg)
             if not number and not mail:
@@ -214,6 +221,10 @@ def _numeric(text: str, i: int, j: int, s: int, e: int, nd: int) -> list[Segment
     return out
 
 
+def _is_local(local: str) -> bool:
+    return bool(_LOCAL.match(_DOT.sub(".", local)))
+
+
 def _mail(text: str, i: int, j: int, s: int, e: int) -> Segment | None:
     span = text[s:e]
     ats = list(_AT.finditer(span))
@@ -221,7 +232,7 @@ def _mail(text: str, i: int, j: int, s: int, e: int) -> Segment | None:
         return None
     at = ats[0]
     local, host = span[: at.start()], span[at.end() :]
-    if not local or not host or not _LOCAL.match(_DOT.sub(".", local)):
+    if not local or not host or not _is_local(local):
         return None
     dots = list(_DOT.finditer(host))
     labels = _DOT.split(host)
@@ -381,14 +392,30 @@ def fitted(n: int = EXAMPLES, seed: int = 11, rounds: int = 100, rate: float = 0
     return field
 
 
-_MARK = re.compile(r"[0-9]+|@|[\[({<]\s?at\s?[\])}>]| dot ", re.I)
+def _before(text: str, at: int) -> int:
+    """Where the MAX_TOKENS - 1 tokens before ``at``, as far as its line goes, begin."""
+    size = 8 * MAX_TOKENS
+    while True:
+        low = max(0, at - size)
+        tokens = list(islice(_TOKEN.finditer(text[low:at][::-1]), MAX_TOKENS - 1))
+        whole = next((k for k, m in enumerate(tokens) if m.group() == "\n"), len(tokens))
+        found = at - tokens[whole - 1].end() if whole else at
+        if found > low or not low:
+            return found
+        size *= 2  # the last token may go on
+
+
+def _after(text: str, at: int) -> int:
+    """Where the MAX_TOKENS - 1 tokens from ``at`` on, as far as its line goes, end."""
+    for m in islice(_TOKEN.finditer(text, at), MAX_TOKENS - 1):
+        if m.group() == "\n":
+            break
+        at = m.end()
+    return at
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """What the field finds outside the base spans: (start, kind number, end)."""
-    low, dotted = "(at", " dot "
-    if not (_DIGIT.search(text) or "@" in text or dotted in text or " DOT " in text or any(b + x in text for b in "([{<" for x in ("at", "AT", " at", " AT"))):
-        return []
     windows: list[list[int]] = []
     k = 0
     reach = np.maximum.accumulate([b for _, _, b in base]).tolist() if base else []
@@ -397,17 +424,20 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
             k += 1
         if k and reach[k - 1] >= m.end():
             continue  # within a base span
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        b = _after(text, m.end())
+        if windows and m.start() <= windows[-1][1]:
+            windows[-1][1] = max(b, windows[-1][1])
+            continue
+        a = _before(text, m.start())
         if windows and a <= windows[-1][1]:
             windows[-1][1] = b
         else:
             windows.append([a, b])
     out = []
     for a, b in windows:
-        part = text[a:b]
-        blocked = [(s - a, e - a) for s, _, e in base if s < b and e > a]
-        n, segs = segments(part, blocked)
-        out += [(a + s.start, KINDS.index(s.kind), a + s.end) for s in field.best(n, segs)] if segs else []
+        blocked = [(s, e) for s, _, e in base if s < b and e > a]
+        n, segs = segments(text, blocked, a, b)
+        out += [(s.start, KINDS.index(s.kind), s.end) for s in field.best(n, segs)] if segs else []
     return out
 
 

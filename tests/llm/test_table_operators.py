@@ -207,6 +207,20 @@ def test_field_finds_disguised_data_and_leaves_prose_alone():
         assert found(t) == []
 
 
+def test_windows_give_the_spans_of_the_whole_text():
+    field, r = pii.fitted(), random.Random(7)
+    pieces = [" at ", " At ", "[at]", "(AT)", "{ at }", "@", " @ ", " dot ", "[dot]", "(.)", ".", ". ", " ", "\n", "john", "host", "com", "12", "555 0199", "(847) ", "a@b.co", "é", " the ", "x" * 90]
+    texts = ["john at example [dot] com", "john at example(dot)org", "john [At] example [Dot] com", "write to " + "j" * 100 + " (at) " + "h" * 100 + " (dot) com now"]
+    texts += ["".join(r.choice(pieces) for _ in range(r.choice((8, 30, 90)))) for _ in range(400)]
+    for t in texts:
+        base = pii.base_spans(t)
+        n, segs = pii.segments(t, [(a, b) for a, _, b in base])
+        assert pii.added_spans(t, base, field) == [(s.start, pii.KINDS.index(s.kind), s.end) for s in field.best(n, segs)]
+    for t in texts[:3]:
+        assert pii.added_spans(t, [], field) == [(0, 0, len(t))]
+        assert pii.added_spans(t + ", 7 days", [], field) == [(0, 0, len(t))]
+
+
 def test_personal_data_frames(spark):
     rows = [(1, "a@b.co +1 (847) 555-7819"), (1, "a@b.co +1 (847) 555-7819"), (2, None), (3, ""), (None, "é 88.39.174.229"), (4, "x " * 30_000 + "a@b.co")]
     docs = docs_of(spark, rows, "spans int, base int")
