@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import regions
 from .masks import KEY
-from .neighbourhood import distance
+from .neighbourhood import full_distance
 
 
 def histogram(gray: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def component_counts(mask: DataFrame) -> DataFrame:
 def widths(mask: DataFrame) -> DataFrame:
     """(image_id, narrow, median_width, solid): from the distance of each mask pixel to the outside."""
     d = F.when(F.col("m"), F.round("d", 4))
-    out = distance(mask).groupBy("image_id").agg(F.avg((d <= 1.5).cast("int")).alias("narrow"), (F.median(d) * 2).alias("median_width"), F.avg((d >= 6).cast("int")).alias("solid"))
+    out = full_distance(mask).groupBy("image_id").agg(F.avg((d <= 1.5).cast("int")).alias("narrow"), (F.median(d) * 2).alias("median_width"), F.avg((d >= 6).cast("int")).alias("solid"))
     return out.select("image_id", *[F.round(F.coalesce(c, F.lit(0.0)), 5).alias(c) for c in ("narrow", "median_width", "solid")])
 
 

@@ -96,6 +96,35 @@ def distance(mask: DataFrame, limit: int = 16) -> DataFrame:
     return mask.join(near, KEY, "left").select(*KEY, "m", F.when(F.col("m"), F.least(F.coalesce("d", F.lit(float(limit))), F.lit(float(limit)))).otherwise(0.0).alias("d"))
 
 
+def full_distance(mask: DataFrame, limit: int = 16) -> DataFrame:
+    """As :func:`distance`, without the cap; only images that are all mask have no distance and keep ``limit``.
+
+    Pixels still at the limit meet, for each row of their column within a tile's reach, the
+    nearest outside pixel of that row; the tiles double until no pixel is left.  Rows beyond
+    side are farther than STRAIGHT (side + 1), so distances up to that are final.
+    """
+    from ..storage import written
+
+    known = written(distance(mask, limit), "distance")
+    tall = known.groupBy("image_id").agg((F.max("y") - F.min("y") + 1).alias("tall"), F.min("m").alias("full")).where("not full")
+    left = written(known.where(F.col("m") & (F.col("d") >= limit)).join(tall, "image_id").select(*KEY, "tall"), "far")
+    before = F.max(F.when(~F.col("m"), F.col("x"))).over(along_rows().rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(~F.col("m"), F.col("x"))).over(along_rows().rowsBetween(0, W.unboundedFollowing))
+    row = known.select("image_id", F.col("y").alias("ry"), "x", F.least(F.col("x") - before, after - F.col("x")).alias("dx")).where("dx is not null")
+    side, far = limit, None
+    while left.limit(1).count():
+        side *= 2
+        tile = lambda c: F.floor(F.col(c) / side).cast("int")  # noqa: B023, E731
+        rows = row.withColumn("ty", F.explode(F.array(*[tile("ry") + j for j in (-1, 0, 1)])))
+        dy = F.abs(F.col("y") - F.col("ry"))
+        step = (F.greatest(dy, F.col("dx")) - F.least(dy, F.col("dx"))) * F.lit(STRAIGHT) + F.least(dy, F.col("dx")) * F.lit(DIAGONAL)
+        met = left.withColumn("ty", tile("y")).join(rows, ["image_id", "x", "ty"]).groupBy(*KEY, "tall").agg(F.min(step).alias("far"))
+        met = written(met.where((F.col("far") <= STRAIGHT * (side + 1)) | (F.col("tall") <= side)).select(*KEY, "far"), "far")
+        far = met if far is None else far.unionByName(met)
+        left = written(left.join(met, KEY, "left_anti"), "far")
+    return known if far is None else known.join(far, KEY, "left").select(*KEY, "m", F.coalesce("far", "d").alias("d"))
+
+
 def diagonal_contacts(mask: DataFrame) -> DataFrame:
     """(image_id, y, x, falling): 2 x 2 blocks, by upper left pixel, with exactly two pixels that touch at a corner."""
     right = F.lead("m").over(along_rows())

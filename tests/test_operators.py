@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, measures
@@ -49,6 +50,21 @@ def test_morphology_leaves_the_outside_out(spark):
     assert drawn(neighbourhood.median3(dot)) == ["...."] * 3
 
 
+def test_distances_and_widths_have_no_cap(spark):
+    tall, wide = 90, 150
+    off = {1: {(0, 0)}, 2: {(y, x) for y in range(tall) for x in range(wide) if (y - 45) ** 2 + (x - 70) ** 2 > 1600}, 3: {(y, x) for y in range(tall) for x in (0, wide - 1)}, 4: set()}
+    m = spark.createDataFrame([(i, y, x, (y, x) not in o) for i, o in off.items() for y in range(tall) for x in range(wide)], "image_id long, y int, x int, m boolean")
+    out = {i: np.array(sorted(o)) for i, o in off.items() if o}
+    for r in neighbourhood.full_distance(m).collect():
+        if r["image_id"] == 4:
+            assert r["d"] == 16
+        else:
+            d = np.abs(out[r["image_id"]] - (r["y"], r["x"]))
+            assert r["d"] == pytest.approx(((d.max(1) - d.min(1)) * neighbourhood.STRAIGHT + d.min(1) * neighbourhood.DIAGONAL).min())
+    got = {r["image_id"]: r["median_width"] for r in metrics.widths(m).collect()}
+    assert got[1] > 150 and got[3] > 70 and got[4] == 32
+
+
 def test_distance_over_tiles_agrees_with_a_plain_search(spark):
     r = np.random.default_rng(1)
     a = r.random((24, 24)) < 0.93
