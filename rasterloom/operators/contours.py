@@ -88,19 +88,26 @@ def svg_paths(points: DataFrame) -> DataFrame:
     return g.select(*RING, F.concat_ws(" ", F.col("s")[0]["m"], F.array_join("s.q", " "), F.lit("Z")).alias("d"))
 
 
-def hole_parity(parents: DataFrame, most_depth: int = 64) -> DataFrame:
+#: Pointers double, so that so many rounds serve any forest.
+MAX_ROUNDS = 30
+
+
+def hole_parity(parents: DataFrame) -> DataFrame:
     """(image_id, ring, depth, hole) of a forest (image_id, ring, parent): odd depths are holes.
 
-    Pointers are doubled, so that a depth of d takes log d joins.
+    Pointers are doubled until none is left, so that a depth of d takes log d joins; rings that
+    are their own ancestors raise an error.
     """
     from ..storage import written
 
     state = written(parents.select(*RING, F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "parity")
-    for _ in range(max(1, most_depth).bit_length()):
+    for _ in range(MAX_ROUNDS):
         if state.where("up is not null").limit(1).count() == 0:
             break
         above = state.select("image_id", F.col("ring").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         state = written(state.join(above, ["image_id", "up"], "left").select(*RING, F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "parity")
+    else:
+        raise RuntimeError("the rings' parents did not settle")
     return state.select(*RING, "depth", (F.col("depth") % 2 == 1).alias("hole"))
 
 

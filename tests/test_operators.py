@@ -65,6 +65,15 @@ def test_distances_and_widths_have_no_cap(spark):
     assert got[1] > 150 and got[3] > 70 and got[4] == 32
 
 
+def test_hole_parity_of_deep_nests_and_cycles(spark, monkeypatch):
+    nest = spark.createDataFrame([(1, k, k - 1 if k else None) for k in range(301)], "image_id long, ring long, parent long")
+    got = {r["ring"]: (r["depth"], r["hole"]) for r in contours.hole_parity(nest).collect()}
+    assert got == {k: (k, k % 2 == 1) for k in range(301)}
+    monkeypatch.setattr(contours, "MAX_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        contours.hole_parity(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], nest.schema))
+
+
 def test_distance_over_tiles_agrees_with_a_plain_search(spark):
     r = np.random.default_rng(1)
     a = r.random((24, 24)) < 0.93
