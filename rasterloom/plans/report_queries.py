@@ -190,13 +190,16 @@ def scalar_functions(spark, sf_dir):
 
 @query()
 def stl_round_trip(spark, sf_dir):
-    """Relief meshes written as STL bytes and measured again: rows and edge counts are held against the mesh in tests."""
+    """Relief meshes written as STL bytes, which are read and measured again; a file without faces counts none."""
     from ..operators import meshes
-    from ..sources import sinks
+    from ..sources import readers, sinks
+    from ..storage import written
 
     f = meshes.relief_faces(mask(spark, sf_dir))
     corners = [(F.col(f"f.{p}.gx") if c == "x" else F.col(f"f.{p}.gy") if c == "y" else F.col(f"f.{p}.top")).cast("double").alias(f"{p}{c}") for p in "abc" for c in "xyz"]
-    return sinks.stl_files(f.select("image_id", *corners)).select("path", F.length("content").alias("bytes"))
+    files = written(sinks.stl_files(f.select("image_id", *corners)), "stl")
+    report = readers.stl_report(readers.stl_content_faces(files)).withColumn("path", F.concat("image_id", F.lit(".stl"))).drop("image_id")
+    return files.select("path", F.length("content").alias("bytes")).join(report, "path", "left").fillna(0, ["faces", "edges", "open_edges", "overused_edges"])
 
 
 @query()

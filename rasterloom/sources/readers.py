@@ -34,7 +34,12 @@ def typed(value) -> dict:
 
 def stl_faces(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, face, ax, ay, az, bx, ... cz) of binary STL files."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.stl$", 1).alias("image_id"), "content")
+    return stl_content_faces(spark.read.format("binaryFile").load(path))
+
+
+def stl_content_faces(files: DataFrame) -> DataFrame:
+    """As :func:`stl_faces`, of (path, content)."""
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.stl$", 1).alias("image_id"), "content")
     names = [f"{p}{c}" for p in "abc" for c in "xyz"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,16 @@ def test_hole_parity_of_deep_nests_and_cycles(spark, monkeypatch):
         contours.hole_parity(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], nest.schema))
 
 
+def test_stl_round_trip_measures_the_written_bytes(spark):
+    from rasterloom.plans.raster_queries import mask
+    from rasterloom.plans.report_queries import stl_round_trip
+
+    got = stl_round_trip(spark, f"{DATA}/sf0.001").collect()
+    faces = meshes.relief_faces(mask(spark, f"{DATA}/sf0.001")).groupBy("image_id").count().collect()
+    assert {r["path"]: r["faces"] for r in got} == {f"{r['image_id']}.stl": r["count"] for r in faces}
+    assert all(r["bytes"] == 84 + 50 * r["faces"] and 2 * r["edges"] <= 3 * r["faces"] + r["open_edges"] and r["min_x"] < r["max_x"] for r in got)
+
+
 def test_distance_over_tiles_agrees_with_a_plain_search(spark):
     r = np.random.default_rng(1)
     a = r.random((24, 24)) < 0.93
