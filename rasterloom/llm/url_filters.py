@@ -88,8 +88,14 @@ def rarest(rules: Sequence[Rule], counts: dict[str, int]) -> list[tuple[str, Rul
 
 
 def token_counts(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
-    """How many URLs hold each token of the rules: one aggregation whose size is that of the rule list."""
+    """How many URLs hold each token of the rules: one aggregation whose size is that of the rule list.
+
+    The tokens of a long list are a table that the URLs' tokens meet in a semi-join.
+    """
     tokens = sorted({t for r in rules for t in r.tokens})
+    if len(rules) > LITERAL_RULES:
+        wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+        return {r["token"]: r["count"] for r in urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count().collect()}
     row = urls.agg(*[F.count_if(F.array_contains("tokens", t)).alias(f"t{k}") for k, t in enumerate(tokens)]).first()
     return dict(zip(tokens, row, strict=True))
 
@@ -130,7 +136,7 @@ def _fetch(entries: dict[str, list[Column]], kind: str) -> Column:
 def _joined(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Long rule lists: candidates by a join on the token, gathered per distinct URL."""
     spark = urls.sparkSession
-    filed = rarest(rules, _rule_counts(rules))
+    filed = rarest(rules, token_counts(urls.select("tokens"), rules))
     index = spark.createDataFrame([(t, len(r.name), r.name, r.pattern, r.action) for t, r in filed], "token string, length int, name string, pattern string, action string")
     distinct = urls.select("host", "path", "tokens").distinct()
     found = distinct.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
@@ -139,14 +145,6 @@ def _joined(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return urls.join(gathered, ["host", "path"], "left").withColumn("candidates", F.coalesce("found", none)).drop("found")
 
 
-def _rule_counts(rules: Sequence[Rule]) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    for r in rules:
-        for t in set(r.tokens):
-            counts[t] = counts.get(t, 0) + 1
-    return counts
-
-
 def filter_urls(pages: DataFrame, **options) -> DataFrame:
     return judge(pages, **options).where("verdict = 'allow'").select("row.*")
 

@@ -76,6 +76,13 @@ def test_many_rules_are_joined(spark):
     assert got == {1: ("h5.org/a/", "block"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "allow")}
 
 
+def test_many_rules_are_filed_by_how_many_urls_hold_a_token(spark):
+    rules = [url_filters.Rule("block", f"h{k}.org", "/ads/") for k in range(600)] + [url_filters.Rule("block", "www.org", "/ads/")]
+    p = spark.createDataFrame([(k, f"http://www.site{k}.com/page/") for k in range(20)] + [(20, "http://www.org/ads/")], "page_id long, url string")
+    got = {r["row"]["page_id"]: (r["verdict"], r["n_candidates"]) for r in url_filters.judge(p, rules).collect()}
+    assert got == {k: ("allow", 0) for k in range(20)} | {20: ("block", 1)}
+
+
 # --- mixing
 
 
