@@ -1,4 +1,4 @@
-"""Corpus pipeline: classify, dedup lines, keep one of each group of near copies, mix, encode.
+"""Corpus pipeline: classify, dedup lines, keep one of each group of near copies, mix, encode and decode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and reads
@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each copy of each document."""
-    return byte_bpe.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids")
+    """Token ids of each copy of each document, and the SHA-256 of the bytes they decode to."""
+    return byte_bpe.round_trip(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near copies", near_copies), ("mixture", mixture), ("encoding", encoding)]

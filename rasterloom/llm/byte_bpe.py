@@ -254,6 +254,17 @@ def decode(tokens: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded",
     return _mapped(tokens, ids_col, schema, vocabulary(tokens.sparkSession, path, pattern), lambda bpe, ids: (bpe.decode(ids or []),))
 
 
+def _both_ways(bpe: Bpe, text: str | None) -> tuple[list[int], str]:
+    ids = bpe.encode(text)
+    return ids, hashlib.sha256(bpe.decode(ids)).hexdigest()
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """As :func:`encode`, and decodes the ids in the same pass; adds decoded_sha256, the SHA-256 of their bytes."""
+    schema = T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+    return _mapped(docs, text_col, schema, vocabulary(docs.sparkSession, path, pattern), _both_ways)
+
+
 def _digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
     spelled = bpe.spell(text or "")
     n = spelled.count(" ") + 1 if spelled else 0

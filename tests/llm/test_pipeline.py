@@ -1,5 +1,6 @@
 """The pipeline against a plain version of its stages on a small table."""
 
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -50,6 +51,13 @@ def test_pipeline_agrees_with_plain_stages(spark, corpus):
     assert got == expected and len(got) > 100
 
 
+def test_last_stage_decodes_each_copy(spark):
+    rows = [(1, "hello wörld"), (1, "hello wörld"), (2, None), (3, ""), (None, "x \n" * 900)]
+    got = corpus_pipeline.encoding(spark, docs_of(spark, rows), "").collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted(str((r["doc_id"], r["decoded_sha256"])) for r in got) == sorted(str((i, sha(t))) for i, t in rows)
+
+
 def test_stages_keep_the_columns(spark, corpus):
     path, _ = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet")
