@@ -390,28 +390,37 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of ``docs`` as struct ``row``, with place, n_shingles and first: the least place in its component."""
+    """Each row of ``docs`` as struct ``row``, with place, ident, n_shingles, root and first.
+
+    ``root`` names the component, null for empty sets; ``first`` is the least (place, ident) in
+    it, or the row's own.
+    """
     base = docs.select(F.struct("*").alias("row"), C.place(id_col).alias("place"), F.col(text_col).alias("text")).withColumn("ident", C.identity(F.col("text")))
     join = Join(base)
     roots = components(join.links())
-    nodes = join.rows.where("n > 0").groupBy("node").agg(F.min("place").alias("first"))
+    nodes = join.rows.where("n > 0").groupBy("node").agg(F.min(F.struct("place", "ident")).alias("first"))
     # written, so that Spark can split a component with many nodes when it is joined
     joined = C.written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = C.written(joined.groupBy("root").agg(F.min("first").alias("first")), "first")
-    answer = C.written(joined.drop("first").join(first, "root").select("node", "first"), "components")
-    rows = join.rows.dropDuplicates(["place", "ident"]).join(answer, "node", "left").select("place", "ident", "n", F.coalesce("first", "place").alias("first"))
+    answer = C.written(joined.drop("first").join(first, "root").select("node", "root", "first"), "components")
+    rows = join.rows.dropDuplicates(["place", "ident"]).join(answer, "node", "left")
+    rows = rows.select("place", "ident", "n", "root", F.coalesce("first", F.struct("place", "ident")).alias("first"))
     slim = base.select("row", "place", "ident")
-    return slim.join(rows, ["place", "ident"]).select("row", "place", F.col("n").alias("n_shingles"), "first")
+    return slim.join(rows, ["place", "ident"]).select("row", "place", "ident", F.col("n").alias("n_shingles"), "root", "first")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least id; repeated rows of it count once."""
-    found = near_duplicates(docs).where("first = place")
+    """One document of each component: the one of the least id, nulls last; of several texts under that id, one.
+
+    Rows without words are linked with nothing and all stay.  Rows are told apart by their
+    components, never by their ids: unrelated rows that share an id, or have none, all stay.
+    """
+    found = near_duplicates(docs)
     empty = found.where("n_shingles = 0")
-    full = found.where("n_shingles > 0").dropDuplicates(["first"])
+    full = found.where("n_shingles > 0 and first.place = place and first.ident = ident").dropDuplicates(["root"])
     return full.unionByName(empty).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_shingles", F.when(F.col("first") < C.LAST, F.col("first")).alias("component_id"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_shingles", F.when(F.col("first.place") < C.LAST, F.col("first.place")).alias("component_id"))

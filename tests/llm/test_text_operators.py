@@ -127,7 +127,7 @@ def near_rows(seed, groups=6, copies=6):
 
 def classes(docs):
     found = ngram_join.near_duplicates(docs)
-    return sorted((r["row"]["doc_id"], r["n_shingles"], r["first"]) for r in found.collect())
+    return sorted((r["row"]["doc_id"], r["n_shingles"], r["first"]["place"]) for r in found.collect())
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -172,13 +172,28 @@ def test_join_odd_cases(spark):
     text = "one two three four five six seven"
     rows = [(4, text), (4, text), (9, text.upper()), (None, text), (None, "something else altogether, quite different")]
     docs = docs_of(spark, rows, "node int, n int, first int, row int, list int")
-    got = {(r["row"]["doc_id"], r["first"]) for r in ngram_join.near_duplicates(docs).collect()}
+    got = {(r["row"]["doc_id"], r["first"]["place"]) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == {(4, 4), (9, 4), (None, 4), (None, 2**63 - 1)}
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "None"]
     assert classes(docs_of(spark, []).limit(0)) == []
 
 
+def test_survivors_are_chosen_by_component_not_by_id(spark):
+    r = random.Random(12)
+    other = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
+    nameless, shared = [(None, other()) for _ in range(20)], [(7, other()) for _ in range(20)]
+    for rows in (nameless, shared, nameless + shared):
+        kept = [(x["doc_id"], x["text"]) for x in ngram_join.keep_first(docs_of(spark, rows)).collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, rows))
+    text = other()
+    rows = [(9, text), (3, text), (3, text), (3, text + " more"), (None, text), (None, ""), (None, ""), (None, None), (7, None)]
+    kept = sorted(str((x["doc_id"], x["text"])) for x in ngram_join.keep_first(docs_of(spark, rows)).collect())
+    assert len(kept) == 5 and sum("w" in k or "more" in k for k in kept) == 1 and any(k.startswith("(3,") for k in kept)
+    long = [(1, other() + " " + "x y z " * 60_000), (2, other()), (1, other() + " " + "x y z " * 60_000)]
+    assert ngram_join.keep_first(docs_of(spark, long)).count() == 3
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(-5, -4), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
