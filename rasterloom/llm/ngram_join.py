@@ -2,8 +2,9 @@
 
 A text's set is its distinct 5-word shingles, held as 64-bit hashes.  Texts with equal sets
 are one node.  Nodes meet in the inverted lists of their prefixes: the ``n - ceil(t n) + 1``
-first shingles in one order for all, the frequent ones last.  What is known to be frequent
-comes from a sample and only steers the order; no order loses a link.
+first shingles in one order for all, the frequent ones last.  Frequencies are counted over all
+documents: each task drops what is rare in its own share, which hides less than half of the
+count of a shingle that is frequent in all.  Counts only steer the order; no order loses a link.
 
 Set relations save work at both levels of the join:
 
@@ -13,13 +14,16 @@ Set relations save work at both levels of the join:
   sets cannot overlap enough are skipped by that position bound.
 * answers: the members of a long list are not paired out.  They form a family around one
   member, the hub, which is compared with all others on whole texts.  The answer for a member
-  is its difference from the hub: shingles it lacks and shingles it adds.  Overlaps between
-  other members follow from these differences alone, block by block, without their sets; and
-  members linked with the hub need no comparison with each other.
+  is its difference from the hub: shingles it lacks and shingles it adds.  Members linked with
+  the hub are near and connected by it.  A far member has less in common with the hub than a
+  link needs, so it links with a member only if both differ from the hub in the same shingles,
+  in ``_NEED`` of them at least.  The differences are sets again, and members meet in the lists
+  of their prefixes, if a far one is among them: pairs of short lists are answered from the
+  differences alone, long lists are families around a hub of their own, one level down.
 
-Pairs of short lists that stay are compared on whole texts.  No list, group or link set is
-gathered on the driver or in one task: lists over ``SHORT`` members travel as rows, and a
-family meets in pairs of blocks of about ``BLOCK_ROWS`` members.
+A member is held once per family, whatever the family's size, and levels end where no far
+member is left.  Pairs of short lists that stay are compared on whole texts.  No list, group or
+link set is gathered on the driver or in one task: lists over ``SHORT`` members travel as rows.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts of
 1 to 4 words have one shingle; null ids count as one id after all others, their component is
@@ -42,10 +46,10 @@ from .suffix_dedup import BLOCK, Rolling, _bytes_of, _columns, mixed, unzipped,
 
 WIDTH, NUM, DEN = 5, 3, 4  # linked when intersection / union >= NUM / DEN
 SHORT = 64
-#: One in SAMPLE_EVERY nodes, SAMPLE_NODES at most, tells which shingles are frequent; the MAX_FREQUENT most frequent are broadcast.
-SAMPLE_EVERY, SAMPLE_NODES, SAMPLE_SEEN, MAX_FREQUENT = 12, 200_000, 3, 1_000_000
-#: Members of a family that meet in one block.
-BLOCK_ROWS = 512
+#: A shingle with one in FREQUENT of all occurrences is frequent; there are at most 2 * FREQUENT of half that count, which are broadcast.
+FREQUENT, LEAST_SEEN = 500_000, 3
+#: Shingles counted at once in a task; names of sets that a task remembers.
+COUNTED, REMEMBERED = 4_000_000, 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -113,11 +117,27 @@ def _map_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([place.slice(k, len(sets)), ident.slice(k, len(sets)), pa.array(_names(sets)), n], names=["place", "ident", "node", "n"])
 
 
-def _map_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rolling = Rolling()
+def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, count) within blocks of shingles; those with a count up to block / (2 * FREQUENT) stay out.
+
+    So a count over all blocks falls short by one in 2 * FREQUENT of all occurrences at most.
+    """
+    rolling, held, size = Rolling(), [], 0
+
+    def counted() -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        some = count * 2 * FREQUENT > size
+        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(count[some])], names=["token", "count"])
+
     for batch in batches:
         for _, sets in sets_of(rolling, _columns(batch, "text")[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+            held += sets
+            size += sum(map(len, sets))
+            if size >= COUNTED:
+                yield counted()
+                held, size = [], 0
+    if size:
+        yield counted()
 
 
 def _map_prefixes(frequent: np.ndarray, rank: np.ndarray):
@@ -137,6 +157,8 @@ def _map_prefixes(frequent: np.ndarray, rank: np.ndarray):
                 for s, name in zip(sets, _names(sets).tolist(), strict=True):
                     if not name or name in seen:
                         continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()  # a set that comes again is passed over in its lists
                     seen.add(name)
                     late = maybe[(s >> np.uint64(64 - bits)).astype(np.int64)]
                     hit = np.flatnonzero(late)
@@ -220,8 +242,8 @@ def _bound(a: str, b: str) -> str:
 
 
 def _map_compared(differences: bool):
-    """Exact intersections of the pairs' whole texts; on demand what b lacks of a, as places, and what it adds."""
-    names = ["a", "b", "common", "na", "nb", *(["lacks", "adds"] if differences else [])]
+    """Exact intersections of the pairs' whole texts; on demand the shingles that only one of both has."""
+    names = ["a", "b", "common", "na", "nb", *(["diff"] if differences else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, last, last_set = Rolling(), None, None
@@ -234,7 +256,7 @@ def _map_compared(differences: bool):
                 texts = pa.array([unzipped(za[k].as_py()) for k in fresh] + [unzipped(z.as_py()) for z in zb], pa.large_binary()).cast(pa.large_string())
                 sets = [s for _, block in sets_of(rolling, texts) for s in block]
                 of_a, of_b, start = iter(sets[: len(fresh)]), sets[len(fresh) :], set(fresh)
-                common, na, nb, lacks, adds = [], [], [], [], []
+                common, na, nb, diff = [], [], [], []
                 for k, y in enumerate(of_b):
                     if k in start:
                         last_set = next(of_a)
@@ -246,73 +268,21 @@ def _map_compared(differences: bool):
                     if differences:
                         there = np.ones(len(last_set), bool)
                         there[place[both]] = False
-                        lacks.append(np.flatnonzero(there).astype(np.int32))
-                        adds.append(y[~both].view(np.int64))
+                        diff.append(np.concatenate([last_set[there], y[~both]]).view(np.int64))
                 last = left[-1]
                 columns = [a, b, *[pa.array(c, pa.int64()) for c in (common, na, nb)]]
                 if differences:
-                    columns += [pa.array(lacks, pa.list_(pa.int32())), pa.array(adds, pa.list_(pa.int64()))]
+                    columns.append(pa.array(diff, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _overlaps(rows: list, others: list, na: int) -> np.ndarray:
-    """Overlaps of the sets of two lists of members, from their differences from a common hub."""
-
-    def lists(which: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = [len(m[k]) for m in which]
-        return np.repeat(np.arange(len(which)), n), np.concatenate([m[k] for m in which]) if which else np.zeros(0, np.int64)
-
-    lost = [np.array([len(m[2]) for m in which]) for which in (rows, others)]
-    out = (na - lost[0][:, None] - lost[1][None, :]).astype(np.float32)
-    for k in (2, 3):  # places lacked by both count back; shingles added by both count too
-        (ra, ta), (rb, tb) = lists(rows, k), lists(others, k)
-        shared = np.intersect1d(ta, tb)
-        ka, kb = np.isin(ta, shared), np.isin(tb, shared)
-        ra, ca, rb, cb = ra[ka], np.searchsorted(shared, ta[ka]), rb[kb], np.searchsorted(shared, tb[kb])
-        for at in range(0, len(shared), 4096):
-            p, q = np.zeros((len(rows), 4096), np.float32), np.zeros((len(others), 4096), np.float32)
-            ia, ib = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
-            p[ra[ia], ca[ia] - at] = 1
-            q[rb[ib], cb[ib] - at] = 1
-            out += p @ q.T
-    return out
-
-
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links between two blocks of a family, or within one, that connect what their links connect."""
-    node, n, side, near = (table.column(c).to_pylist() for c in ("node", "n", "block", "near"))
-    lacks, adds = (table.column(c).combine_chunks() for c in ("lacks", "adds"))
-    members = [(node[k], n[k], lacks[k].values.to_numpy(), adds[k].values.to_numpy(), near[k]) for k in range(len(node))]
-    na = table.column("na")[0].as_py()
-    blocks = sorted(set(side))
-    left = [m for m, b in zip(members, side, strict=True) if b == blocks[0]]
-    right = [m for m, b in zip(members, side, strict=True) if b == blocks[-1]]
-    parent: dict = {m[0]: 0 if m[4] else m[0] for m in members} | {0: 0}  # 0 stands for the hub; no node is named 0
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    made = []
-    for mine, theirs in ((left, right), (right, left)):
-        far = [m for m in mine if not m[4]]
-        for at in range(0, len(far), 256) if theirs else ():
-            part = far[at : at + 256]
-            both = _overlaps(part, theirs, na)
-            sizes = np.array([m[1] for m in part])[:, None] + np.array([m[1] for m in theirs])[None, :]
-            for j, k in zip(*np.nonzero(DEN * both >= NUM * (sizes - both)), strict=True):
-                a, b = part[j][0], theirs[k][0]
-                if a != b and find(a) != find(b):
-                    parent[find(a)] = find(b)
-                    made.append((a, b))
-    return pa.table({"a": pa.array([a for a, _ in made], pa.int64()), "b": pa.array([b for _, b in made], pa.int64())})
-
-
 LINKED = f"{DEN} * common >= {NUM} * (na + nb - common)"
+#: A pair that differs from its hub in s shingles alike is linked if (NUM + DEN) s is at least both members' ``_COST`` less (DEN - NUM) na.
+_COST = f"({NUM} * (nb - common) + {DEN} * (na - common))"
+#: Differences that a member shares with any partner: a near one's partner is far and costs over (DEN - NUM) na, a far one's costs NUM at least.
+_NEED = f"greatest(1, ceil((if(near, 1, {NUM} - {DEN - NUM} * na) + {_COST}) / {NUM + DEN}))"
 
 
 class Join:
@@ -324,11 +294,11 @@ class Join:
         self._texts: DataFrame | None = None
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of shingles that several sampled nodes share, MAX_FREQUENT at most, and their places by count."""
-        every = max(SAMPLE_EVERY, -(-self.rows.count() // SAMPLE_NODES))
-        sample = self.base.where(F.pmod(F.xxhash64("ident"), F.lit(every)) == 0).dropDuplicates(["ident"]).select("text")
-        counts = sample.mapInArrow(_map_tokens, "token long").groupBy("token").count().where(F.col("count") >= SAMPLE_SEEN)
-        top = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).toArrow()
+        """Sorted hashes of the frequent shingles of all documents, and their places by count."""
+        total = self.rows.agg(F.sum("n")).first()[0] or 0
+        least = max(LEAST_SEEN, -(-total // (2 * FREQUENT)))
+        counts = self.base.mapInArrow(_map_counts, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+        top = counts.where(F.col("count") >= least).toArrow()  # total / least rows at most
         token, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
         if not len(token):
             return np.zeros(1, np.uint64), np.zeros(1, np.int64)
@@ -349,12 +319,12 @@ class Join:
         return zipped(self.base).join(one, ["place", "ident"]).select("node", "zipped").dropDuplicates(["node"])
 
     def compare(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
-        """(a, b, common, na, nb) of pairs (a, b), and lacks and adds on demand."""
+        """(a, b, common, na, nb) of pairs (a, b), and the differences on demand."""
         t = self._texts
         both = pairs.join(t.select(F.col("node").alias("b"), F.col("zipped").alias("zb")), "b")
         both = C.written(both, "half") if differences else both  # so that Spark can split a hub with many members
         both = both.join(t.select(F.col("node").alias("a"), F.col("zipped").alias("za")), "a")
-        kind = "a long, b long, common long, na long, nb long" + (", lacks array<int>, adds array<long>" if differences else "")
+        kind = "a long, b long, common long, na long, nb long" + (", diff array<long>" if differences else "")
         return both.select("a", "b", "za", "zb").mapInArrow(_map_compared(differences), kind)
 
     def links(self) -> DataFrame:
@@ -374,19 +344,63 @@ class Join:
         some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node"))
         self._texts = C.written(self.texts(some), "texts")
         linked = self.compare(pairs).where(LINKED).select("a", "b")
-        return C.written(linked.unionByName(self.family_links(long, extra)), "links")
-
-    def family_links(self, long: DataFrame, degree: DataFrame) -> DataFrame:
-        """Links between members of long lists.  A list's hub is its member in most long lists, as an original is among its copies."""
-        counted = long.join(degree, "node")
-        hubs = counted.groupBy("list", "first").agg(F.max(F.struct("extra", "node")).alias("h")).select("list", "first", F.col("h.node").alias("hub"))
-        pairs = long.join(hubs, ["list", "first"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        seen = C.written(self.compare(pairs, differences=True).withColumn("near", F.expr(LINKED)), "families")
-        size = C.written(seen.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "family-sizes")
-        member = seen.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-        member = member.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-        member = member.select("a", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.col("b").alias("node"), F.col("nb").alias("n"), "na", "block", "near", "lacks", "adds")
-        return seen.where("near").select("a", "b").unionByName(member.groupBy("a", "i", "j").applyInArrow(_block_links, "a long, b long"))
+        return C.written(linked.unionByName(self.family_links(long)), "links")
+
+    def family_links(self, long: DataFrame) -> DataFrame:
+        """Links that connect what links between members of a long list connect."""
+        long, links, families = long.select("list", "first", "node"), [], None
+        while True:  # a family's lists leave out its hub, so every level is smaller
+            # a list's hub is its member in most lists, as an original is among its copies
+            degree = long.groupBy("node").agg(F.count("*").alias("lists"))
+            hubs = long.join(degree, "node").groupBy("list", "first").agg(F.max(F.struct("lists", "node")).alias("h")).select("list", "first", F.col("h.node").alias("a"))
+            met = long.join(hubs, ["list", "first"]).where("node <> a")
+            if families is None:
+                known = self.compare(met.select("a", F.col("node").alias("b")).distinct(), differences=True)
+                seen = known.withColumn("near", F.expr(LINKED)).withColumn("family", F.col("a")).withColumn("open", ~F.col("near"))
+            else:  # families stay within the one they come from
+                members = met.groupBy(F.xxhash64("first", "a").alias("family"), "a", F.col("node").alias("b")).agg(F.max("open").alias("open"))
+                members = C.written(members, "members")
+                seen = members.join(self.compare(members.select("a", "b").distinct(), differences=True), ["a", "b"]).withColumn("near", F.expr(LINKED))
+            families = C.written(seen.select("family", "a", "b", "common", "na", "nb", "diff", "near", "open"), "families")
+            links.append(families.where("near").select("a", "b"))
+            short, long = self.differing(families)
+            if short is not None:
+                links.append(short)
+            if long is None:
+                break
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        return found
+
+    def differing(self, families: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """Links (a, b) of far members in short lists of differences, and long lists (list, first, node, open); None where there are none."""
+        far = C.written(families.where("not near").select("family").distinct(), "far")
+        if far.isEmpty():
+            return None, None
+        some = families.join(far, "family", "left_semi").where("size(diff) > 0")
+        tokens = some.select("family", "b", F.explode("diff").alias("token"))
+        # a difference of one member alone comes first in its order and needs no list
+        shared = tokens.join(tokens.groupBy("family", "token").count(), ["family", "token"]).where("count > 1")
+        order = shared.groupBy("family", "b").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
+        sized = some.select("family", "b", "near", "open", F.expr(f"size(diff) - {_NEED} + 1").alias("prefix"), F.size("diff").alias("n_diff"))
+        left = F.expr("slice(order, 1, greatest(0, int(prefix - (n_diff - size(order)))))")
+        prefixes = sized.join(order, ["family", "b"]).select("family", F.col("b").alias("node"), "near", "open", F.explode(left).alias("o"))
+        rows = C.written(prefixes.select("family", F.col("o.token").alias("token"), "node", "near", "open"), "differences")
+        lists = rows.groupBy("family", "token").agg(F.count("*").alias("n"), F.min("near").alias("all_near"), F.max("open").alias("some_open"))
+        lists = lists.where("n > 1 and not all_near and some_open").select("family", "token", "n")
+        met = C.written(rows.join(lists, ["family", "token"]), "difference-lists")
+        one = met.where(F.col("n") <= SHORT).drop("n")
+        other = one.select("family", "token", *[F.col(c).alias(f"{c}_2") for c in ("node", "near", "open")])
+        pairs = one.join(other, ["family", "token"]).where("node < node_2 and not (near and near_2) and (open or open_2)")
+        pairs = pairs.select("family", F.col("node").alias("x"), F.col("node_2").alias("y")).distinct()
+        for c in "xy":
+            member = some.select("family", F.col("b").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("common", "na", "nb", "diff")])
+            pairs = pairs.join(member, ["family", c])
+        pairs = pairs.withColumn("common", F.expr("common_x + common_y - na_x + size(array_intersect(diff_x, diff_y))"))
+        links = C.written(pairs.where(f"{DEN} * common >= {NUM} * (nb_x + nb_y - common)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "difference-links")
+        long = met.where(F.col("n") > SHORT).select(F.col("token").alias("list"), F.col("family").alias("first"), "node", "open")
+        return links, None if long.isEmpty() else long
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

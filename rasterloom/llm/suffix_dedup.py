@@ -46,7 +46,7 @@ class Rolling:
     """Prefix hashes modulo 2**64: the hash of any slice costs two lookups."""
 
     def __init__(self):
-        self.size = 0
+        self.size = -1
 
     def _grow(self, n: int) -> None:
         if n > self.size:

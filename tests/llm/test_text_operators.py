@@ -136,11 +136,9 @@ def test_join_agrees_with_all_pairs(spark, seed):
     assert classes(docs_of(spark, rows)) == near_components(rows)
 
 
-def test_long_lists_meet_in_blocks(spark, monkeypatch):
-    """Lists over a few members become families; blocks of few members must find the same links."""
+def test_long_lists_become_families(spark, monkeypatch):
+    """Lists over a few members become families, level by level; they must find the same links."""
     monkeypatch.setattr(ngram_join, "SHORT", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
-    monkeypatch.setattr(ngram_join, "_short", ngram_join._short)
     r = random.Random(7)
     base = words(r, 60)
     rows = []
@@ -159,15 +157,6 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
     assert classes(docs_of(spark, rows)) == near_components(rows)
 
 
-def test_differences_from_a_hub_give_the_overlaps():
-    r = np.random.default_rng(3)
-    hub = np.arange(100)
-    sets = [np.unique(np.concatenate([r.choice(hub, 80, replace=False), r.integers(200, 230, 12)])) for _ in range(9)]
-    members = [(k, len(s), np.setdiff1d(hub, s), np.setdiff1d(s, hub), False) for k, s in enumerate(sets)]
-    got = ngram_join._overlaps(members[:4], members, len(hub))
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:4]]
-
-
 def test_join_odd_cases(spark):
     text = "one two three four five six seven"
     rows = [(4, text), (4, text), (9, text.upper()), (None, text), (None, "something else altogether, quite different")]
