@@ -3,8 +3,9 @@
 The base patterns give e-mail addresses, IP addresses, cards and phone numbers as they are
 usually written.  The field finds disguised or loosely written ones (``name [at] host [dot]
 org``, ``(847) 555 0199``, ``10[.]1[.]2[.]3``): every feasible segment of up to ``MAX_TOKENS``
-tokens is scored by features of the whole span and its surroundings, and dynamic programming
-over the text chooses kinds and boundaries of all segments together.  Segments without digits,
+tokens is scored by features of the whole span and its surroundings, and by its kind after that
+of the segment before it on the line.  Dynamic programming over the text chooses kinds and
+boundaries of all segments together; its state is the last kind.  Segments without digits,
 an at-sign or the word at between blanks or brackets are infeasible, so the field runs in
 windows around such places only.  A window holds every segment that can reach its place, and
 features look at the whole text, so the spans are those of decoding the text as a whole.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -37,8 +39,11 @@ from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, EXAMPLES = 26, 600
+#: More digits than any kind has.
+MOST_DIGITS = 19
 
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The leftmost match begins a run of digits: were its first digit within a run, the run's first digit would match before it.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -65,7 +70,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """From each at-sign outwards: what the pattern finds, without trying every word."""
-    end, at = 0, text.find("@")
+    end, at = 0, text.find("@")  # each character is looked at once: a name never reaches beyond the at-sign before it
     while at >= 0:
         start = at
         while start > end and text[start - 1] in _LOCAL_CHARS:
@@ -122,10 +127,27 @@ class Segment:
         self.kind, self.first, self.last, self.start, self.end, self.names = kind, first, last, start, end, names
 
 
-def segments(text: str, blocked: list[tuple[int, int]] = (), low: int = 0, high: int | None = None) -> tuple[int, list[Segment]]:
-    """Number of tokens, and all feasible segments outside the blocked ranges; of text[low:high], whose ends are ends of tokens."""
+def merged(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the base spans, sorted; those that overlap are one."""
+    starts, ends = [], []
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def segments(text: str, blocked: tuple[list[int], list[int]] = ((), ()), low: int = 0, high: int | None = None) -> tuple[list[bool], list[Segment]]:
+    """For each token whether it ends a line, and all feasible segments outside the blocked ranges by their start; of text[low:high], whose ends are ends of tokens."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, len(text) if high is None else high)]
-    free = [not any(a < e and s < b for a, b in blocked) for s, e in tokens]
+    starts, ends = blocked
+    if starts:
+        before = [bisect_left(starts, e) - 1 for _, e in tokens]
+        free = [k < 0 or ends[k] <= s for k, (s, _) in zip(before, tokens, strict=True)]
+    else:
+        free = [True] * len(tokens)
     out: list[Segment] = []
     for i, (s, e) in enumerate(tokens):
         c = text[s]
@@ -147,7 +169,9 @@ def segments(text: str, blocked: list[tuple[int, int]] = (), low: int = 0, high:
             if number:
                 if is_digit:
                     digits, groups = digits + len(word), groups + 1
-                    if groups >= 3 and digits >= 4 and (j + 1 == len(tokens) or text[b : b + 1] not in tuple("0123456789")):
+                    if digits > MOST_DIGITS:
+                        number = False
+                    elif groups >= 3 and digits >= 4 and (j + 1 == len(tokens) or text[b : b + 1] not in tuple("0123456789")):
                         out += _numeric(text, i, j, s, b, digits)
                     elif 10 <= digits <= 19:
                         out += _numeric(text, i, j, s, b, digits)
@@ -158,7 +182,7 @@ def segments(text: str, blocked: list[tuple[int, int]] = (), low: int = 0, high:
                     out.append(seg)
             if not number and not mail:
                 break
-    return len(tokens), out
+    return [text[s] == "\n" for s, _ in tokens], out
 
 
 def _context(text: str, kind: str, s: int, e: int) -> list[str]:
@@ -257,51 +281,95 @@ def _mail(text: str, i: int, j: int, s: int, e: int) -> Segment | None:
 # --- the field
 
 
+STATES = ("none", *KINDS)
+#: The path before any segment.
+START = ((0.0, None), None, None, None, None)
+
+
 class Field:
-    """Weights by feature; a path's score is the sum of its segments' scores, single other tokens score 0."""
+    """Weights by feature.  A path's score is the sum of its segments' and of its transitions; other tokens score 0.
+
+    The state is the kind of the last segment on the line, or none.
+    """
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
+    @property
+    def weights(self) -> dict[str, float]:
+        return self._weights
+
+    @weights.setter
+    def weights(self, weights: dict[str, float]) -> None:
+        self._weights = weights
+        self.steps = [[weights.get(f"{a}>{b}", 0.0) for b in STATES] for a in STATES]
+
     def score(self, seg: Segment) -> float:
         return sum(self.weights.get(n, 0.0) for n in seg.names)
 
-    def best(self, n: int, segs: list[Segment]) -> list[Segment]:
-        """The highest-scoring segmentation of ``n`` tokens."""
-        ending: dict[int, list[Segment]] = {}
+    def line_end(self, now: tuple) -> tuple:
+        """The best state becomes the state none."""
+        return (max((x for x in now if x), key=lambda x: x[0]), None, None, None, None)
+
+    def walk(self, ends: list[bool], segs: list[Segment], now: tuple = START) -> tuple:
+        """The best paths to each state behind the tokens, as (score, (last segment, the path before it))."""
+        begins: dict[int, list[Segment]] = {}
         for s in segs:
-            ending.setdefault(s.last + 1, []).append(s)
-        top, via = [0.0] * (n + 1), [None] * (n + 1)
-        for k in range(1, n + 1):
-            top[k] = top[k - 1]
-            for s in ending.get(k, ()):
-                v = top[s.first] + self.score(s)
-                if v > top[k]:
-                    top[k], via[k] = v, s
-        out, k = [], n
-        while k:
-            if via[k] is None:
-                k -= 1
-            else:
-                out.append(via[k])
-                k = via[k].first
+            begins.setdefault(s.first, []).append(s)
+        now, arriving = list(now), {}
+        for k in range(len(ends) + 1):
+            for v, state, path in arriving.pop(k, ()):
+                if now[state] is None or v > now[state][0]:
+                    now[state] = v, path
+            for s in begins.get(k, ()):
+                state = KINDS.index(s.kind) + 1
+                v, path = max(((x[0] + self.steps[j][state], x[1]) for j, x in enumerate(now) if x), key=lambda x: x[0])
+                arriving.setdefault(s.last + 1, []).append((v + self.score(s), state, (s, path)))
+            if k < len(ends) and ends[k]:
+                now = list(self.line_end(now))
+        return tuple(now)
+
+    @staticmethod
+    def chosen(now: tuple) -> list[Segment]:
+        path, out = max((x for x in now if x), key=lambda x: x[0])[1], []
+        while path:
+            out.append(path[0])
+            path = path[1]
         return out[::-1]
 
-    def expected(self, n: int, segs: list[Segment]) -> tuple[float, np.ndarray]:
-        """log Z, and the probability of each segment, by the forward and backward sums."""
-        p = [math.exp(min(self.score(s), 30.0)) for s in segs]
+    def best(self, ends: list[bool], segs: list[Segment]) -> list[Segment]:
+        """The highest-scoring segmentation of the tokens."""
+        return self.chosen(self.walk(ends, segs))
+
+    def expected(self, ends: list[bool], segs: list[Segment]) -> tuple[float, np.ndarray, np.ndarray]:
+        """log Z, and the expected counts of each segment and of each transition, by the forward and backward sums."""
+        n, states = len(ends), len(STATES)
+        score, kind = np.exp(np.minimum([self.score(s) for s in segs], 30.0)), [KINDS.index(s.kind) + 1 for s in segs]
+        steps = np.exp(np.array(self.steps))
         ending: dict[int, list[int]] = {}
         begins: dict[int, list[int]] = {}
         for k, s in enumerate(segs):
             ending.setdefault(s.last + 1, []).append(k)
             begins.setdefault(s.first, []).append(k)
-        ahead, back = [1.0] * (n + 1), [1.0] * (n + 1)
+        ahead, back = np.zeros((n + 1, states)), np.ones((n + 1, states))
+        ahead[0, 0] = 1
         for k in range(1, n + 1):
-            ahead[k] = ahead[k - 1] + sum(ahead[segs[x].first] * p[x] for x in ending.get(k, ()))
+            ahead[k] = ahead[k - 1]
+            if ends[k - 1]:
+                ahead[k] = [ahead[k].sum(), *[0.0] * len(KINDS)]
+            for x in ending.get(k, ()):
+                ahead[k, kind[x]] += ahead[segs[x].first] @ steps[:, kind[x]] * score[x]
         for k in range(n - 1, -1, -1):
-            back[k] = back[k + 1] + sum(p[x] * back[segs[x].last + 1] for x in begins.get(k, ()))
-        z = ahead[n]
-        return math.log(z), np.array([ahead[s.first] * p[x] * back[s.last + 1] / z for x, s in enumerate(segs)])
+            back[k] = back[k + 1, 0] if ends[k] else back[k + 1]
+            for x in begins.get(k, ()):
+                back[k] += steps[:, kind[x]] * score[x] * back[segs[x].last + 1, kind[x]]
+        z = float(ahead[n].sum())
+        pairs, each = np.zeros((states, states)), np.zeros(len(segs))
+        for x, s in enumerate(segs):
+            mass = ahead[s.first] * steps[:, kind[x]] * (score[x] * back[s.last + 1, kind[x]] / z)
+            pairs[:, kind[x]] += mass
+            each[x] = mass.sum()
+        return math.log(z), each, pairs
 
 
 def examples(n: int = EXAMPLES, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
@@ -342,7 +410,7 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> Iterator[tuple[str, list[tupl
     makers = {"card": card, "email": email, "phone": phone, "ip": ip}
     hints = {"card": ("card", "pay by visa"), "email": ("mail", "contact"), "phone": ("call", "tel:", "phone"), "ip": ("host", "server at")}
     for _ in range(n):
-        parts, spans, at = [], [], 0
+        parts, spans, at, kind = [], [], 0, None
 
         def put(x: str, kind: str = "") -> None:
             nonlocal at
@@ -351,10 +419,10 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> Iterator[tuple[str, list[tupl
             parts.append(x)
             at += len(x)
 
-        for _ in range(r.randint(1, 3)):
+        for _ in range(r.randint(1, 4)):
             put(" ".join(word() for _ in range(r.randint(1, 4))) + r.choice((" ", " ", ", ", ": ")))
             if r.random() < 0.5:
-                kind = r.choice(KINDS)
+                kind = kind if kind and r.random() < 0.4 else r.choice(KINDS)  # lists hold one kind
                 if r.random() < 0.4:
                     put(r.choice(hints[kind]) + " ")
                 put(makers[kind](), kind)
@@ -366,28 +434,36 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> Iterator[tuple[str, list[tupl
 
 
 @cache
-def fitted(n: int = EXAMPLES, seed: int = 11, rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def fitted(n: int = EXAMPLES, seed: int = 11, epochs: int = 14, batch: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Gradient ascent (Adam) on the likelihood of the examples."""
     data = []
     for text, spans in examples(n, seed):
-        tokens, segs = segments(text)
+        ends, segs = segments(text)
         gold = {(k, a, b) for k, a, b in spans}
-        data.append((tokens, segs, [float((s.kind, s.start, s.end) in gold) for s in segs]))
-    names = sorted({x for _, segs, _ in data for s in segs for x in s.names})
+        real = [s for s in segs if (s.kind, s.start, s.end) in gold]
+        steps = [f"{a}>{b}" for a, b in zip(["none", *(s.kind for s in real)], [s.kind for s in real], strict=False)]
+        data.append((ends, segs, np.array([float(s in real) for s in segs]), steps))
+    names = [f"{a}>{b}" for a in STATES for b in STATES] + sorted({x for _, segs, *_ in data for s in segs for x in s.names})
     number = {x: k for k, x in enumerate(names)}
-    rows = [[np.array([number[x] for x in s.names]) for s in segs] for _, segs, _ in data]
+    rows = [[[number[x] for x in s.names] for s in segs] for _, segs, *_ in data]
     w, m, v = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-    field = Field({})
-    for t in range(1, rounds + 1):
-        field.weights = dict(zip(names, w.tolist(), strict=True))
-        g = -decay * len(data) * w
-        for (tokens, segs, gold), ids in zip(data, rows, strict=True):
-            if segs:
-                for k, d in zip(ids, np.array(gold) - field.expected(tokens, segs)[1], strict=True):
-                    if abs(d) > 1e-6:
-                        g[k] += d
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    field, r, t = Field({}), np.random.default_rng(seed), 0
+    for _ in range(epochs):
+        for pick in np.array_split(r.permutation(len(data)), max(1, len(data) // batch)):
+            field.weights = dict(zip(names, w.tolist(), strict=True))
+            g = -decay * len(pick) * w
+            for k in pick:
+                ends, segs, gold, steps = data[k]
+                if segs:
+                    _, each, pairs = field.expected(ends, segs)
+                    for ids, d in zip(rows[k], gold - each, strict=True):
+                        g[ids] += d
+                    g[: pairs.size] -= pairs.ravel()
+                    for x in steps:
+                        g[number[x]] += 1
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     field.weights = dict(zip(names, w.tolist(), strict=True))
     return field
 
@@ -433,12 +509,14 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
             windows[-1][1] = b
         else:
             windows.append([a, b])
-    out = []
+    now, last, blocked = START, 0, merged(base)
     for a, b in windows:
-        blocked = [(s, e) for s, _, e in base if s < b and e > a]
-        n, segs = segments(text, blocked, a, b)
-        out += [(s.start, KINDS.index(s.kind), s.end) for s in field.best(n, segs)] if segs else []
-    return out
+        ends, segs = segments(text, blocked, a, b)
+        if segs:
+            if text.find("\n", last, a) >= 0:
+                now = field.line_end(now)
+            now, last = field.walk(ends, segs, now), b
+    return [(s.start, KINDS.index(s.kind), s.end) for s in field.chosen(now)]
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -492,4 +570,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(C.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     named = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
     counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(named.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(named.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(named.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(named.format("spans")).alias("spans"), F.expr("cast(size(filter(spans, s -> not s.base)) as bigint)").alias("n_added"))
