@@ -4,7 +4,9 @@ A rule is a host and a path; it fits the host and its subdomains where the path
 the rule's, and becomes one regular expression.  The rule is filed under the one of its
 literal tokens (host labels, whole path segments) that the fewest URLs hold.  A URL's tokens
 fetch the candidate rules, only those run their regular expression, and the longest wins.
-URLs that no rule decides go to ``PATTERNS``, filed and fetched alike.
+URLs that no rule decides go to ``PATTERNS``, filed and fetched alike: a pattern needs all its
+literal tokens, and tokens end wherever a pattern may have a boundary.  Tokens are counted over
+all URLs, whatever the number of rules.
 
 Up to ``LITERAL_RULES`` rules the index is a constant map within the plan: no join, no
 shuffle.  Longer lists are joined by token.
@@ -47,21 +49,32 @@ class Rule(NamedTuple):
 
 
 class Pattern(NamedTuple):
-    """A general rule of the method: a regular expression and a token that every match holds."""
+    """A general rule of the method: words, joined by hyphens, between boundaries in the host or in the path."""
 
     action: str
-    token: str
-    pattern: str
+    where: str
+    words: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.where}:{self.words}"
+
+    @property
+    def pattern(self) -> str:
+        """Without look-around, so that it means the same in SQL."""
+        before = "^(?:[^/]*[^a-z0-9/])?" if self.where == "host" else "^[^/]*/(?s:.*[^a-z0-9])?"
+        return before + self.words + "(?:[^a-z0-9]|$)"
+
+    @property
+    def tokens(self) -> list[str]:
+        return self.words.split("-")
 
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
-#: Hosts that name themselves as spam or trade in it.
-PATTERNS = (
-    Pattern("block", "spam", r"^[^/]*(?<![a-z0-9])spam(?![a-z0-9])"),
-    Pattern("block", "farm", r"^[^/]*(?<![a-z0-9])(?:link|content)-farm(?![a-z0-9])"),
-    Pattern("block", "casino", r"^[^/]*(?<![a-z0-9])casino(?![a-z0-9])"),
-    Pattern("block", "porn", r"^[^/]*(?<![a-z0-9])porn(?![a-z0-9])"),
-)
+#: Hosts that name themselves as spam, gambling or pornography, and paths that no text is expected under.
+HOST_WORDS = "spam casino porn xxx ads adult viagra poker warez phishing malware link-farm content-farm click-farm free-bets free-money free-pills cheap-pills payday-loans sports-betting"
+PATH_WORDS = "wp-login wp-admin cgi-bin xmlrpc phishing casino porn viagra payday-loans link-farm"
+PATTERNS = (*[Pattern("block", "host", w) for w in HOST_WORDS.split()], *[Pattern("block", "path", w) for w in PATH_WORDS.split()])
 
 
 def _quoted(text: str) -> str:
@@ -77,51 +90,46 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Host labels, their parts around hyphens, and path segments, each once."""
-    labels = F.split(host, r"\.", -1)
-    parts = F.split(host, r"[.\-_:@]", -1)
-    return F.array_distinct(F.concat(labels, parts, F.split(path, "/", -1)))
+    """Host labels and path segments as they are, and all words between boundaries of the patterns, each once."""
+    words = F.split(F.translate(F.concat(host, path), C.UPPER, C.LOWER), "[^a-z0-9]+", -1)
+    return F.array_distinct(F.concat(F.split(host, r"\.", -1), F.split(path, "/", -1), words))
 
 
-def rarest(rules: Sequence[Rule], counts: dict[str, int]) -> list[tuple[str, Rule]]:
+def rarest(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> list[tuple[str, Rule | Pattern]]:
     return [(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), r) for r in rules]
 
 
-def token_counts(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
-    """How many URLs hold each token of the rules: one aggregation whose size is that of the rule list.
-
-    The tokens of a long list are a table that the URLs' tokens meet in a semi-join.
-    """
+def token_counts(urls: DataFrame, rules: Sequence[Rule | Pattern]) -> dict[str, int]:
+    """How many URLs hold each token of the rules: one aggregation whose size is that of the rule list."""
     tokens = sorted({t for r in rules for t in r.tokens})
-    if len(rules) > LITERAL_RULES:
-        wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
-        return {r["token"]: r["count"] for r in urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count().collect()}
-    row = urls.agg(*[F.count_if(F.array_contains("tokens", t)).alias(f"t{k}") for k, t in enumerate(tokens)]).first()
-    return dict(zip(tokens, row, strict=True))
+    wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    wanted = F.broadcast(wanted) if len(tokens) <= C.BROADCAST_ROWS else wanted
+    return {r["token"]: r["count"] for r in urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count().collect()}
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, patterns: Sequence[Pattern] = PATTERNS, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Each row as struct ``row``, with host, path, rule, verdict and n_candidates (rules whose expression ran)."""
+    """Each row as struct ``row``, with host, path, rule, verdict and n_candidates (rules and patterns fetched)."""
     base = pages.select(F.struct("*").alias("row"), F.col(url_col).alias("url"))
     host, path = split_url(F.col("url"))
     urls = base.select("row", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path"))).withColumn("target", F.concat("host", "path"))
+    counts = token_counts(urls.select("tokens"), [*rules, *patterns])
     if len(rules) <= LITERAL_RULES:
-        filed = rarest(rules, token_counts(urls.select("tokens"), rules))
         entries: dict[str, list[Column]] = {}
-        for token, r in filed:
+        for token, r in rarest(rules, counts):
             entries.setdefault(token, []).append(F.struct(F.lit(len(r.name)).alias("length"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.action).alias("action")))
         urls = urls.withColumn("candidates", _fetch(entries, "struct<length:int,name:string,pattern:string,action:string>"))
     else:
-        urls = _joined(urls, rules)
+        urls = _joined(urls, rules, counts)
     fits = "filter(candidates, c -> regexp_like(target, c.pattern))"
     general: dict[str, list[Column]] = {}
-    for p in patterns:
-        general.setdefault(p.token, []).append(F.struct(F.lit(p.pattern).alias("pattern"), F.lit(p.action).alias("action")))
-    urls = urls.withColumn("best", F.expr(f"array_max({fits})")).withColumn("general", _fetch(general, "struct<pattern:string,action:string>"))
-    own = F.expr("get(filter(general, c -> regexp_like(target, c.pattern)), 0).action")
+    for token, p in rarest(patterns, counts):
+        general.setdefault(token, []).append(F.struct(F.lit(p.name).alias("name"), F.lit(p.pattern).alias("pattern"), F.lit(p.action).alias("action")))
+    urls = urls.withColumn("best", F.expr(f"array_max({fits})")).withColumn("general", _fetch(general, "struct<name:string,pattern:string,action:string>"))
+    # of several patterns the first by name decides
+    own = F.expr(f"array_min(filter(general, c -> regexp_like(translate(target, '{C.UPPER}', '{C.LOWER}'), c.pattern))).action")
     verdict = F.coalesce(F.col("best.action"), own, F.lit(default))
-    return urls.select("row", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.size("candidates").alias("n_candidates"))
+    return urls.select("row", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), (F.size("candidates") + F.size("general")).alias("n_candidates"))
 
 
 def _fetch(entries: dict[str, list[Column]], kind: str) -> Column:
@@ -133,10 +141,10 @@ def _fetch(entries: dict[str, list[Column]], kind: str) -> Column:
     return F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(index, t), none)))
 
 
-def _joined(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _joined(urls: DataFrame, rules: Sequence[Rule], counts: dict[str, int]) -> DataFrame:
     """Long rule lists: candidates by a join on the token, gathered per distinct URL."""
     spark = urls.sparkSession
-    filed = rarest(rules, token_counts(urls.select("tokens"), rules))
+    filed = rarest(rules, counts)
     index = spark.createDataFrame([(t, len(r.name), r.name, r.pattern, r.action) for t, r in filed], "token string, length int, name string, pattern string, action string")
     distinct = urls.select("host", "path", "tokens").distinct()
     found = distinct.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
@@ -154,11 +162,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-SQL = r"""
+_HOSTS, _PATHS = ("|".join(w.split()) for w in (HOST_WORDS, PATH_WORDS))
+SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM u),
 r(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-m AS (SELECT h.*, (SELECT max({'length': length(rhost || rpath), 'name': rhost || rpath, 'action': action}) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best FROM h)
+m AS (SELECT h.*, (SELECT max({{'length': length(rhost || rpath), 'name': rhost || rpath, 'action': action}}) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best FROM h)
 SELECT page_id, host, path, best['name'] AS rule, CASE WHEN best IS NOT NULL THEN best['action']
-  WHEN regexp_matches(host, '(^|[^a-z0-9])(spam|casino|porn|(link|content)-farm)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM m
+  WHEN regexp_matches(host, '(^|[^a-z0-9])({_HOSTS})([^a-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]({_PATHS})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM m
 """
