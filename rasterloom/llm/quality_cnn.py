@@ -1,10 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded; learned filters of 8 bytes slide over the whole text in steps of 4.  A
-text is covered by chunks of 256 bytes that overlap by half.  A chunk sees the mean answer of
-each filter and, as second-order input, how often its bytes equal the byte 1 to 24 places
-before.  A hidden layer reads each chunk; its answers are max-pooled and mean-pooled over all
-chunks of the text and give one probability.  Nothing but the bytes enters a score.
+text is covered by chunks of 256 bytes that overlap by half.  Wider filters, learned as well,
+span a chunk: each weighs how strongly the narrow ones answer on it.  Their answers are
+max-pooled over all chunks of the text and combined into one probability.  Nothing but the
+bytes enters a score.
 
 The network is fitted on the driver from at most ``max_rows`` labelled texts per class, each
 of at most ``max_bytes``, so that the sample is bounded at any size of the corpus.  Scoring
@@ -29,16 +29,16 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-HOP, STEP, DIMS, FILTERS, LAGS, HIDDEN = 128, 4, 6, 16, 24, 16
+HOP, STEP, WIDTH, DIMS, FILTERS, HIDDEN = 128, 4, 8, 6, 32, 24
 THRESHOLD = 0.7
 #: Bytes scored at once; a longer text is scored alone.
 BLOCK = 1 << 18
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end, each padded with zeros to whole hops and by ``LAGS`` at least, so that none sees another; hops and lengths per text."""
+    """Texts end to end, each padded with zeros to whole hops and by ``WIDTH`` at least, so that none sees another; hops and lengths per text."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    hops = -(-(lengths + LAGS) // HOP)
+    hops = -(-(lengths + WIDTH) // HOP)
     data = np.zeros(int(hops.sum()) * HOP, np.uint8)
     at = (np.cumsum(hops) - hops) * HOP
     for t, k, n in zip(texts, at.tolist(), lengths.tolist(), strict=True):
@@ -46,20 +46,6 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, hops, lengths
 
 
-def lag_counts(data: np.ndarray) -> np.ndarray:
-    """Per hop and lag, the bytes equal to the byte so many places before."""
-    real = data != 0
-    out = np.empty((len(data) // HOP, LAGS), np.float32)
-    same = np.zeros(len(data), bool)
-    for lag in range(1, LAGS + 1):
-        same[:lag] = False
-        np.equal(data[lag:], data[:-lag], out=same[lag:])
-        same &= real
-        lanes = same.view(np.uint64).reshape(-1, HOP // 8).sum(1)  # 16 flags a lane at most
-        out[:, lag - 1] = lanes.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.int64)
-    return out
-
-
 @dataclass
 class Net:
     """The parameters; ``prior`` alone is set where labels of both classes are missing."""
@@ -80,8 +66,8 @@ class Net:
         r = np.random.default_rng(seed)
         f = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         return Net(
-            f(256, DIMS, scale=0.5), f(STEP * DIMS, 2 * FILTERS, scale=(8 * DIMS) ** -0.5), np.zeros(FILTERS, np.float32), f(FILTERS + LAGS, HIDDEN, scale=0.3),
-            np.full(HIDDEN, 0.05, np.float32), f(2 * HIDDEN, scale=0.2), np.zeros(1, np.float32),
+            f(256, DIMS, scale=0.5), f(STEP * DIMS, 2 * FILTERS, scale=(WIDTH * DIMS) ** -0.5), np.zeros(FILTERS, np.float32), f(FILTERS, HIDDEN, scale=0.3),
+            np.full(HIDDEN, 0.05, np.float32), f(HIDDEN, scale=0.2), np.zeros(1, np.float32),
         )
 
     def _forward(self, data: np.ndarray, hops: np.ndarray, lengths: np.ndarray) -> dict:
@@ -93,7 +79,7 @@ class Net:
         answers[:-1] += halves[1:, FILTERS:]
         np.maximum(answers, 0, out=answers)
         first = np.cumsum(hops) - hops
-        per_hop = np.concatenate([answers.reshape(-1, HOP // STEP, FILTERS).sum(1), lag_counts(data) / STEP], 1)
+        per_hop = answers.reshape(-1, HOP // STEP, FILTERS).sum(1)
         chunks = np.maximum(hops - 1, 1)
         begin = np.cumsum(chunks) - chunks
         text = np.repeat(np.arange(len(hops)), chunks)
@@ -105,9 +91,8 @@ class Net:
         z = seen @ self.hidden + self.hidden_bias
         h = np.maximum(z, 0)
         top = np.maximum.reduceat(h, begin, axis=0)
-        mean = np.add.reduceat(h, begin, axis=0) / chunks[:, None]
-        logit = np.concatenate([top, mean], 1) @ self.out + self.out_bias[0]
-        return {"x": x, "cut": cut, "answers": answers, "left": left, "right": right, "paired": paired, "size": size, "seen": seen, "h": h, "top": top, "mean": mean, "chunks": chunks, "text": text, "logit": logit}
+        logit = top @ self.out + self.out_bias[0]
+        return {"x": x, "cut": cut, "answers": answers, "left": left, "right": right, "paired": paired, "size": size, "seen": seen, "h": h, "top": top, "text": text, "logit": logit}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.embed is None:
@@ -118,12 +103,11 @@ class Net:
         v = self._forward(data, hops, lengths)
         d = ((1 / (1 + np.exp(-v["logit"])) - labels) * weights / weights.sum()).astype(np.float32)
         text, h = v["text"], v["h"]
-        g = {"out": np.concatenate([v["top"], v["mean"]], 1).T @ d, "out_bias": d.sum(keepdims=True)}
+        g = {"out": v["top"].T @ d, "out_bias": d.sum(keepdims=True)}
         at_top = (h == v["top"][text]) & (h > 0)
-        dh = at_top * (d[:, None] * self.out[:HIDDEN])[text] + (d[:, None] * self.out[HIDDEN:] / v["chunks"][:, None])[text]
-        dz = dh * (h > 0)
+        dz = at_top * (d[:, None] * self.out)[text]
         g["hidden"], g["hidden_bias"] = v["seen"].T @ dz, dz.sum(0)
-        seen = (dz @ self.hidden.T)[:, :FILTERS] / v["size"][:, None]
+        seen = (dz @ self.hidden.T) / v["size"][:, None]
         per_hop = np.zeros((len(data) // HOP, FILTERS), np.float32)
         np.add.at(per_hop, v["left"], seen)
         np.add.at(per_hop, v["right"], seen * v["paired"][:, None])
@@ -163,8 +147,12 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 100_000, **options) -> Net:
-    """Fit on labelled rows outside the held-out fold: ``max_rows`` per class at most, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 20_000, **options) -> Net:
+    """Fit on labelled rows outside the held-out fold: ``max_rows`` per class at most, chosen by a hash of the id.
+
+    Texts over ``max_bytes`` are not fitted on, so that the driver holds 2 * max_rows * max_bytes at most; of
+    several texts with one id the least counts.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2)).select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
@@ -172,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: i
     ranked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1)]
     sample = F.broadcast(ranked[0].unionByName(ranked[1]).withColumnRenamed("doc_id", "label_id"))
     found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    # repeated rows cannot swell the sample: a few bytes name a row, the texts come by the first of each
-    rows = found.dropDuplicates(["doc_id", "quality"]).toArrow().to_pylist()
+    # repeated rows cannot swell the sample
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     y = np.array([r["quality"] for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
