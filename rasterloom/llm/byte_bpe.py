@@ -53,6 +53,10 @@ class Bpe:
     WIDTH = 256
 
     def __init__(self, rank_file: bytes, pattern: str):
+        import public_tokenizers
+
+        # splitting at blanks holds for this pattern only
+        self.by_word = pattern == public_tokenizers.PATTERN
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
@@ -144,11 +148,13 @@ class Bpe:
     def spell(self, text: str) -> str:
         """The ids of a text in decimal, joined by blanks.
 
-        The pattern never matches across a blank that a visible character follows, so a text
+        The public pattern never matches across a blank that a visible character follows, so a text
         splits at such blanks and the words' ids are remembered; other texts are cut whole.
         """
         if not text:
             return ""
+        if not self.by_word:
+            return " ".join(map(self._part, self.find(text)))
         first, *rest = text.split(" ")
         try:
             found = list(map(self.words.__getitem__, rest))
