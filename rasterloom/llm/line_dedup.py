@@ -88,6 +88,12 @@ def without(lines: str, drops: str) -> Column:
     )
 
 
+def cuts(lines: DataFrame, batches: int) -> list[int]:
+    """Places between the batches, each of about as many lines; fewer where one id holds many."""
+    found = lines.agg(F.percentile_approx("place", [k / batches for k in range(1, batches)], 1000)).first()[0]
+    return sorted(set(found or []))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_key: int = MIN_KEY, fanout: int = FANOUT) -> DataFrame:
     """Each row of ``docs`` as struct ``row``, with kept text, n_lines and n_dropped.
 
@@ -96,15 +102,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     base = docs.select(F.struct("*").alias("row"), C.place(id_col).alias("place"), F.col(text_col).alias("text")).withColumn("ident", C.identity(F.col("text")))
     lines = C.written(hashed_lines(base, min_key), "lines")
-    low, high = lines.where(F.col("place") < C.LAST).agg(F.min("place"), F.max("place")).first()
     runs = LineRuns(spark, C.scratch(spark, "line-runs"), fanout)
-    if low is None:
-        runs.add(lines)
-    else:
-        cuts = [low + (high - low + 1) * k // batches for k in range(1, batches)]
-        for least, most in zip([None, *cuts], [*cuts, None], strict=True):
-            part = lines if least is None else lines.where(F.col("place") >= least)
-            runs.add(part if most is None else part.where(F.col("place") < most))
+    bounds = cuts(lines, batches)
+    for least, most in zip([None, *bounds], [*bounds, None], strict=True):
+        part = lines if least is None else lines.where(F.col("place") >= least)
+        runs.add(part if most is None else part.where(F.col("place") < most))
     drops = runs.dropped(lines)
     joined = base.join(drops, ["place", "ident"], "left").withColumn("lines", lines_of(F.col("text")))
     cut = F.when(F.col("drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(without("lines", "drops"), "\n"))
