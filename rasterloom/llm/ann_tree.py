@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on the driver from at most ``SAMPLE`` vectors, chosen by a hash of the id;
-every vector is then filed under a leaf.  A query walks the tree through a priority queue:
-the nearest child goes on, its siblings wait, ordered by an upper bound on the inner product
-with their region's vectors.  How many leaves to visit is calibrated: ``PROBES`` queries are
-answered exactly against all rows, and visits widen until their leaves hold ``RECALL`` of the
-true neighbours.
+Equal vectors have equal scores and ties go to the smaller id, so of each distinct vector only
+the ``k + 1`` least ids can be answers, and equal queries are answered once.  The tree has about
+``SPREAD`` times the square root of the rows as leaves, so that leaves and rows per leaf grow
+alike.  It is fitted on the driver from at most ``SAMPLE`` vectors (``SAMPLE_VALUES`` numbers),
+chosen by a hash of the id; every vector is then filed under a leaf.  A query walks the tree
+through a priority queue: the nearest child goes on, its siblings wait, ordered by an upper
+bound on the inner product with their region's vectors.  How many leaves to visit is
+calibrated: ``PROBES`` queries that the tree was not fitted on are answered exactly against all
+rows, and visits widen until their leaves hold ``RECALL`` of the true neighbours.
 
 Neighbouring leaves share a bin of about ``BLOCK_ROWS`` vectors, and a larger leaf is cut into
-several bins by a hash, so that a hot leaf is many tasks' work.  A query goes once to every
-bin of its leaves; a bin's vectors come first, its queries stream past them in batches, and
-a window merges the bins' best ``k``.  Only the tree, the counts per leaf and the probes are
-sent around, all of bounded size.
+several bins by a hash, so that a hot leaf is many tasks' work.  A vector goes to one bin, a
+query once to every bin of its leaves; a bin's vectors come first, its queries stream past them
+in batches, and a window merges the bins' best.  Only the tree, the counts per leaf and the
+probes are sent around, all of bounded size.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; a query is never its own answer, nor is a row with its
@@ -28,15 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
 K, EVERY = 20, 20
-SAMPLE, FAN, LEAF, MAX_LEAVES = 20_000, 32, 40, 1024
-PROBES, RECALL, BLOCK_ROWS, QUERY_ROWS = 200, 0.95, 4096, 50_000
+#: Leaves in square roots of the rows; sampled vectors per leaf at least, of all at least and at most, and numbers in them at most.
+SPREAD, PER_LEAF, LEAST_SAMPLE, SAMPLE, SAMPLE_VALUES, FAN = 4, 8, 20_000, 200_000, 16_000_000, 32
+PROBES, RECALL, BLOCK_ROWS = 200, 0.95, 4096
 #: How far a region is taken to reach beyond its centre, in root mean square distances.
 REACH = 0.3
 
@@ -68,20 +72,19 @@ class Tree:
                 c = self.centres[kids]
                 node[rows] = kids[np.argmin((c * c).sum(1) - 2 * x[rows] @ c.T, 1)]
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first."""
+    def order(self, q: np.ndarray) -> Iterator[int]:
+        """The leaves, best bin first."""
         norm = float(np.sqrt(q @ q))
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue = [(0.0, 0)]
+        while queue:
             node = heapq.heappop(queue)[1]
             if self.width[node] == 0:
-                found.append(int(self.leaf[node]))
+                yield int(self.leaf[node])
                 continue
             a, b = self.first[node], self.first[node] + self.width[node]
             bound = self.centres[a:b] @ q + REACH * norm * self.radii[a:b]
             for k in range(a, b):
                 heapq.heappush(queue, (-float(bound[k - a]), int(k)))
-        return found
 
 
 def _kmeans(x: np.ndarray, k: int, r: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -95,7 +98,7 @@ def _kmeans(x: np.ndarray, k: int, r: np.random.Generator, rounds: int = 12) ->
     return c
 
 
-def grow(x: np.ndarray, fan: int = FAN, leaf: int = LEAF, max_leaves: int = MAX_LEAVES, seed: int = 3) -> Tree:
+def grow(x: np.ndarray, leaf: int, max_leaves: int, fan: int = FAN, seed: int = 3) -> Tree:
     """Split the largest node until all hold ``leaf`` sampled vectors or fewer, or there are ``max_leaves``.
 
     A node's radius is the root mean square distance of its vectors to the centre: a typical
@@ -108,7 +111,7 @@ def grow(x: np.ndarray, fan: int = FAN, leaf: int = LEAF, max_leaves: int = MAX_
         n, node, rows = heapq.heappop(waiting)
         if -n <= leaf:
             break
-        c = _kmeans(x[rows], min(fan, len(rows)), r)
+        c = _kmeans(x[rows], max(2, min(fan, len(rows) // leaf)), r)
         near = np.argmin((c * c).sum(1) - 2 * x[rows] @ c.T, 1)
         used = np.unique(near)
         if len(used) < 2:
@@ -190,19 +193,39 @@ def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _share(column: str = "id") -> Column:
+    """A number in [0, 1) by the hash of the id."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """(id, vec) without repeats, and of each distinct vector the ``most`` least ids; counted down before it is shuffled."""
+    order = W.partitionBy("vec").orderBy("id")
+    return rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("id", "vec")
+
+
 class Index:
     """Every usable vector filed under a leaf, and the number of leaves to visit."""
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE):
         self.k = k
-        base = usable(vectors, id_col, vec_col)
-        chosen = base.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+        base = C.written(distinct_vectors(usable(vectors, id_col, vec_col), k + 1), "vectors")
         self.rows = self.tree = None
-        if not chosen.num_rows:
+        n = base.count()
+        if not n:
             self.empty = base
             return
+        dims = base.select(F.size("vec")).first()[0]
+        leaves = max(1, int(SPREAD * n**0.5))
+        wanted = min(sample, max(LEAST_SAMPLE, PER_LEAF * leaves), max(1000, SAMPLE_VALUES // dims))
+        low = min(0.1, 2 * PROBES / n)
+        near = base.where(_share() < low).orderBy(_share(), "id").limit(PROBES).toArrow()
+        # the share is cut before rows are ordered, so that a task sends few more than are wanted in all
+        chosen = base.where((_share() >= low) & (_share() < low + 1.2 * wanted / n)).orderBy(_share(), "id").limit(wanted).toArrow()
+        chosen = chosen if chosen.num_rows else near
         x = matrix(chosen.column("vec").combine_chunks())
-        self.tree = tree = grow(x)
+        leaves = max(1, min(leaves, len(x) // PER_LEAF))
+        self.tree = tree = grow(x, max(1, len(x) // leaves), leaves)
 
         def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -211,11 +234,14 @@ class Index:
 
         self.rows = C.written(base.mapInArrow(filed, "id long, vec array<double>, leaf int"), "ann")
         self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}
-        self.visits, self.calibrated = self._calibrate(chosen.column("id").to_numpy()[:PROBES], x[:PROBES], recall)
+        probes = (near.column("id").to_numpy(), matrix(near.column("vec").combine_chunks())) if near.num_rows else (np.zeros(0, np.int64), x[:0])
+        self.visits, self.calibrated = self._calibrate(*probes, recall)
 
     def _calibrate(self, ids: np.ndarray, q: np.ndarray, recall: float) -> tuple[int, float]:
         """Least number of leaves that holds ``recall`` of the probes' exact neighbours."""
-        orders = {int(i): {leaf: n for n, leaf in enumerate(self.tree.order(v, self.tree.leaves))} for i, v in zip(ids, q, strict=True)}
+        orders = {int(i): {leaf: n for n, leaf in enumerate(self.tree.order(v))} for i, v in zip(ids, q, strict=True)}
+        if not len(ids):
+            return self.tree.leaves, 1.0
         need = sorted(orders[r["query_id"]][r["leaf"]] for r in _exact(self.rows, ids, q, self.k).select("query_id", "leaf").collect())
         if not need:
             return self.tree.leaves, 1.0
@@ -227,8 +253,8 @@ class Index:
         if self.tree is None:
             return self.empty.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         tree, sizes, visits, k = self.tree, self.sizes, self.visits, self.k
-        q = usable_like(queries, id_col, vec_col, tree.centres.shape[1])
-        lanes = -(-max(1, q.count()) // QUERY_ROWS)
+        asked = C.written(usable_like(queries, id_col, vec_col, tree.centres.shape[1]).distinct(), "queries")
+        keys = C.written(asked.groupBy("vec").agg(F.min("id").alias("id")), "query-keys")
         bins = _bins(sizes)
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +264,7 @@ class Index:
                     rows, to, wanted = [], [], []
                     for j, v in enumerate(matrix(b.column(1))):
                         seen, mine = 0, {}
-                        for n, leaf in enumerate(tree.order(v, tree.leaves)):
+                        for n, leaf in enumerate(tree.order(v)):
                             if n >= visits and seen > k:
                                 break
                             seen += sizes.get(leaf, 0)
@@ -252,15 +278,17 @@ class Index:
                     at_rows = pa.array(rows, pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(to, pa.int64()), pa.array(wanted, pa.list_(pa.int32()))], names=["id", "vec", "bin", "leaves"])
 
-        q = q.mapInArrow(routed, "id long, vec array<double>, bin long, leaves array<int>").withColumn("kind", F.lit(1))
-        q = q.withColumn("bin", F.col("bin") * lanes + F.pmod(F.xxhash64("id"), F.lit(lanes)))
+        q = keys.select("id", "vec").mapInArrow(routed, "id long, vec array<double>, bin long, leaves array<int>").withColumn("kind", F.lit(1))
         spark = self.rows.sparkSession
         where = spark.createDataFrame([(leaf, first, number) for leaf, (first, number) in bins.items()], "b_leaf int, b_first long, b_number long")  # a row per leaf
         x = self.rows.join(F.broadcast(where), F.col("leaf") == F.col("b_leaf"))
-        x = x.withColumn("bin", F.col("b_first") + F.pmod(F.xxhash64("id"), F.col("b_number"))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        x = x.select("id", "vec", (F.col("bin") * lanes + F.col("lane")).alias("bin"), F.array("leaf").alias("leaves"), F.lit(0).alias("kind"))
+        x = x.select("id", "vec", (F.col("b_first") + F.pmod(F.xxhash64("id"), F.col("b_number"))).alias("bin"), F.array("leaf").alias("leaves"), F.lit(0).alias("kind"))
         met = x.unionByName(q).repartition("bin").sortWithinPartitions("bin", "kind")
-        return _merge(met.mapInArrow(_answers(k), "query_id long, vec_id long, score double"), k)
+        found = C.written(_merge(met.mapInArrow(_answers(k + 1), "query_id long, vec_id long, score double"), k + 1), "answers")
+        # back to the queries that share a vector, each without itself
+        named = asked.join(keys.withColumnRenamed("id", "key"), "vec").select("id", "key")
+        own = named.join(found.withColumnRenamed("query_id", "key"), "key").where("id <> vec_id")
+        return _merge(own.select(F.col("id").alias("query_id"), "vec_id", "score"), k)
 
 
 def _bins(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -316,7 +344,6 @@ def _answer(queries: pa.RecordBatch, own: np.ndarray, xs: np.ndarray, leaf: np.n
         mine = np.flatnonzero(leaf == at)
         if len(mine):
             s[np.ix_(rows, mine)] = _inner(qs[rows], xs[mine])
-    s[who[:, None] == own[None, :]] = -np.inf
     best = [_best(own, row, k, repeated) for row in s]
     n = [len(b) for b in best]
     place, row = np.concatenate(best), np.repeat(np.arange(len(who)), n)

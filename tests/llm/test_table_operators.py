@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import DATA
-from helpers import DOCS, docs_of
+from helpers import LOWER, DOCS, docs_of
 from oracle import both
 
 from rasterloom.llm import ann_tree, mixing, pii, quality_cnn, quality_rules, registry, url_filters
@@ -77,6 +77,22 @@ def test_many_rules_are_joined(spark):
     assert got == {1: ("h5.org/a/", "block"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "allow")}
 
 
+def test_tokens_end_wherever_a_pattern_has_a_boundary(spark):
+    """Every pattern run on every URL, without an index, gives the same verdicts."""
+    r = random.Random(4)
+    words = ["spam", "Casino", "link-farm", "link", "farm", "wp-login", "cgi-bin", "blog", "xspam", "spamx", "a", "7"]
+    seps = ["+", "~", "-", "_", ".", "/", ":", "@", "%", "é", "!", " ", "\n", ""]
+    urls = ["http://a+spam.org/x", "http://spam~x.org/", "http://x.com/a+wp-login.php", "http://x.com/WP-LOGIN"]
+    urls += ["http://" + "".join(r.choice(words) + r.choice(seps) for _ in range(r.randrange(1, 7))) for _ in range(600)] + ["http://x.org/" + "a/" * 50_000 + "casino"]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["row"]["page_id"]: x["verdict"] for x in url_filters.judge(p, rules=()).collect()}
+    for k, u in enumerate(urls):
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u[7:]).groups()
+        target = (host + path).translate(LOWER)
+        assert got[k] == ("block" if any(re.search(x.pattern, target) for x in url_filters.PATTERNS) else "allow"), u
+    assert [got[k] for k in range(4)] == ["block"] * 4
+
+
 def test_many_rules_are_filed_by_how_many_urls_hold_a_token(spark):
     rules = [url_filters.Rule("block", f"h{k}.org", "/ads/") for k in range(600)] + [url_filters.Rule("block", "www.org", "/ads/")]
     p = spark.createDataFrame([(k, f"http://www.site{k}.com/page/") for k in range(20)] + [(20, "http://www.org/ads/")], "page_id long, url string")
@@ -136,7 +152,7 @@ def test_gradients(spark):
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
     g = net.gradients(*laid, y, w)
-    for n, at in (("out", 3), ("hidden", (20, 2)), ("hidden_bias", 1), ("filters", (3, 2)), ("bias", 2), ("embed", (ord("t"), 1))):
+    for n, at in (("out", 3), ("hidden", (11, 2)), ("hidden_bias", 1), ("filters", (3, 2)), ("bias", 2), ("embed", (ord("t"), 1))):
         p = getattr(net, n)
         was, step = p[at], 1e-4
         p[at] = was + step
@@ -147,6 +163,23 @@ def test_gradients(spark):
         assert g[n][at] == pytest.approx((up - down) / (2 * step), rel=0.02, abs=1e-5)
 
 
+def test_forward_pass_agrees_with_a_plain_one():
+    r, net = random.Random(9), quality_cnn.Net.fresh(4)
+    texts = [bytes(r.randrange(1, 256) for _ in range(n)) for n in (0, 1, 7, 8, 100, 127, 128, 129, 255, 256, 300, 1000)]
+    for t, score in zip(texts, net.scores(texts), strict=True):
+        hops = max(1, -(-(len(t) + quality_cnn.WIDTH) // quality_cnn.HOP))
+        x = net.embed[np.frombuffer(t.ljust(hops * quality_cnn.HOP, b"\0"), np.uint8)]
+        filters = np.concatenate([net.filters[:, : quality_cnn.FILTERS], net.filters[:, quality_cnn.FILTERS :]])
+        answers = [np.maximum(np.pad(x[k : k + 8], ((0, max(0, k + 8 - len(x))), (0, 0))).ravel() @ filters + net.bias, 0) for k in range(0, len(x), 4)]
+        per_chunk = []
+        for c in range(max(1, hops - 1)):
+            rows = answers[c * 32 : c * 32 + (64 if hops > 1 else 32)]
+            size = min(max(len(t) - c * 128, 1), 256 if hops > 1 else 128) / 4
+            per_chunk.append(np.maximum(np.sum(rows, 0) / size @ net.hidden + net.hidden_bias, 0))
+        z = np.max(per_chunk, 0) @ net.out + net.out_bias[0]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_classifier_odd_cases(spark):
     docs = docs_of(spark, [(1, "good text"), (1, "good text"), (2, None), (3, ""), (None, "no id"), (4, "z" * 50_000)], "score int, label_id int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -309,11 +342,24 @@ def test_neighbours_odd_cases(spark):
     assert ann_tree.Index(v.limit(0)).search(v).count() == 0
 
 
+def test_equal_vectors_are_held_and_asked_once(spark):
+    r = np.random.default_rng(2)
+    x = [[1.0, 2.0] if k % 3 == 0 else [float(v) for v in r.standard_normal(2)] for k in range(240)]
+    v = spark.createDataFrame([*enumerate(x), (3, x[3]), (3, x[3])], "vec_id long, embedding array<double>")
+    index = ann_tree.Index(v, k=4, recall=1.0)
+    assert index.rows.where("vec = array(1.0D, 2.0D)").count() == 5
+    index.visits = index.tree.leaves
+    got = {}
+    for row in index.search(v.where("vec_id % 20 = 0")).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+    true = exact(list(range(240)), np.array(x), 4)
+    assert all([got[q][k] for k in range(1, 5)] == true[q] for q in range(0, 240, 20))
+
+
 def test_hot_leaves_are_cut(spark, monkeypatch):
     assert ann_tree._bins({0: 10_000, 1: 5, 2: 4090, 3: 10}) == {0: (0, 3), 1: (3, 1), 2: (3, 1), 3: (4, 1)}
     v = spark.createDataFrame([(k, [1.0, float(k % 7)]) for k in range(300)], "vec_id long, embedding array<float>")
     monkeypatch.setattr(ann_tree, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ann_tree, "QUERY_ROWS", 4)
     got = {}
     for r in ann_tree.Index(v, k=5).search(v.where("vec_id % 20 = 0")).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
