@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests, local mode)."""
+    """The folder all executors share; one of our own only in local mode, where none need be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rasterloom-")
         atexit.register(shutil.rmtree, folder, True)
         base = f"file://{folder}"
@@ -29,8 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove the scratch tables of this application; results that still read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
