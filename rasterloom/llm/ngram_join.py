@@ -15,15 +15,14 @@ Set relations save work at both levels of the join:
 * answers: the members of a long list are not paired out.  They form a family around one
   member, the hub, which is compared with all others on whole texts.  The answer for a member
   is its difference from the hub: shingles it lacks and shingles it adds.  Members linked with
-  the hub are near and connected by it.  A far member has less in common with the hub than a
-  link needs, so it links with a member only if both differ from the hub in the same shingles,
-  in ``_NEED`` of them at least.  The differences are sets again, and members meet in the lists
-  of their prefixes, if a far one is among them: pairs of short lists are answered from the
-  differences alone, long lists are families around a hub of their own, one level down.
+  the hub are near and connected by it.  Far members meet all members of their family: blocks of
+  ``BLOCK_ROWS`` members, in which every member is held once, are streamed past by the far
+  ones, and overlaps follow from the differences alone, without texts.
 
-A member is held once per family, whatever the family's size, and levels end where no far
-member is left.  Pairs of short lists that stay are compared on whole texts.  No list, group or
-link set is gathered on the driver or in one task: lists over ``SHORT`` members travel as rows.
+So a family of n members, f of them far, travels as n + f n / ``BLOCK_ROWS`` rows of differences:
+in proportion to its size where all are near.  Pairs of short lists that stay are compared on
+whole texts.  No list, group or link set is gathered on the driver or in one task: lists over
+``SHORT`` members travel as rows, and a task holds one block.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts of
 1 to 4 words have one shingle; null ids count as one id after all others, their component is
@@ -47,9 +46,11 @@ from .suffix_dedup import BLOCK, Rolling, _bytes_of, _columns, mixed, unzipped,
 WIDTH, NUM, DEN = 5, 3, 4  # linked when intersection / union >= NUM / DEN
 SHORT = 64
 #: A shingle with one in FREQUENT of all occurrences is frequent; there are at most 2 * FREQUENT of half that count, which are broadcast.
-FREQUENT, LEAST_SEEN = 500_000, 3
-#: Shingles counted at once in a task; names of sets that a task remembers.
-COUNTED, REMEMBERED = 4_000_000, 200_000
+FREQUENT, LEAST_SEEN = 1_000_000, 3
+#: Shingles counted at once in a task, twice as many at most; names of sets that a task remembers.
+COUNTED, REMEMBERED = 3_000_000, 200_000
+#: Members of a family that a task holds at once.
+BLOCK_ROWS = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -131,11 +132,16 @@ def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, sets in sets_of(rolling, _columns(batch, "text")[0]):
+            if size >= 2 * COUNTED:  # what is left for the last block is no small block
+                rest, cut = [], 0
+                while cut < COUNTED:
+                    rest.append(held.pop())
+                    cut += len(rest[-1])
+                size -= cut
+                yield counted()
+                held, size = rest, cut
             held += sets
             size += sum(map(len, sets))
-            if size >= COUNTED:
-                yield counted()
-                held, size = [], 0
     if size:
         yield counted()
 
@@ -242,8 +248,8 @@ def _bound(a: str, b: str) -> str:
 
 
 def _map_compared(differences: bool):
-    """Exact intersections of the pairs' whole texts; on demand the shingles that only one of both has."""
-    names = ["a", "b", "common", "na", "nb", *(["diff"] if differences else [])]
+    """Exact intersections of the pairs' whole texts; on demand what b lacks of a, as places, and what it adds."""
+    names = ["a", "b", "common", "na", "nb", *(["lacks", "adds"] if differences else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, last, last_set = Rolling(), None, None
@@ -256,7 +262,7 @@ def _map_compared(differences: bool):
                 texts = pa.array([unzipped(za[k].as_py()) for k in fresh] + [unzipped(z.as_py()) for z in zb], pa.large_binary()).cast(pa.large_string())
                 sets = [s for _, block in sets_of(rolling, texts) for s in block]
                 of_a, of_b, start = iter(sets[: len(fresh)]), sets[len(fresh) :], set(fresh)
-                common, na, nb, diff = [], [], [], []
+                common, na, nb, lacks, adds = [], [], [], [], []
                 for k, y in enumerate(of_b):
                     if k in start:
                         last_set = next(of_a)
@@ -268,21 +274,74 @@ def _map_compared(differences: bool):
                     if differences:
                         there = np.ones(len(last_set), bool)
                         there[place[both]] = False
-                        diff.append(np.concatenate([last_set[there], y[~both]]).view(np.int64))
+                        lacks.append(np.flatnonzero(there).astype(np.int32))
+                        adds.append(y[~both].view(np.int64))
                 last = left[-1]
                 columns = [a, b, *[pa.array(c, pa.int64()) for c in (common, na, nb)]]
                 if differences:
-                    columns.append(pa.array(diff, pa.list_(pa.int64())))
+                    columns += [pa.array(lacks, pa.list_(pa.int32())), pa.array(adds, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 LINKED = f"{DEN} * common >= {NUM} * (na + nb - common)"
-#: A pair that differs from its hub in s shingles alike is linked if (NUM + DEN) s is at least both members' ``_COST`` less (DEN - NUM) na.
-_COST = f"({NUM} * (nb - common) + {DEN} * (na - common))"
-#: Differences that a member shares with any partner: a near one's partner is far and costs over (DEN - NUM) na, a far one's costs NUM at least.
-_NEED = f"greatest(1, ceil((if(near, 1, {NUM} - {DEN - NUM} * na) + {_COST}) / {NUM + DEN}))"
+MEMBER = ("a", "block", "streams", "node", "n", "common", "na", "near", "lacks", "adds")
+
+
+def _overlaps(rows: list[dict], others: list[dict]) -> np.ndarray:
+    """Overlaps of the sets of two lists of members, from their differences from a common hub."""
+    out = (np.array([m["common"] for m in rows])[:, None] + np.array([m["common"] for m in others]) - rows[0]["na"]).astype(np.float64)
+    for side in ("lacks", "adds"):  # what both lack counts back, what both add counts too
+        (ta, ra), (tb, rb) = ((np.concatenate([m[side] for m in ms]), np.repeat(np.arange(len(ms)), [len(m[side]) for m in ms])) for ms in (rows, others))
+        shared = np.intersect1d(ta, tb)
+        ka, kb = np.isin(ta, shared), np.isin(tb, shared)
+        ra, ca, rb, cb = ra[ka], np.searchsorted(shared, ta[ka]), rb[kb], np.searchsorted(shared, tb[kb])
+        for at in range(0, len(shared), 4096):
+            p, q = np.zeros((len(rows), 4096), np.float32), np.zeros((len(others), 4096), np.float32)
+            ia, ib = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
+            p[ra[ia], ca[ia] - at] = 1
+            q[rb[ib], cb[ib] - at] = 1
+            out += p @ q.T
+    return out
+
+
+def _map_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of far members; rows come by family and block, the block's members before the far ones that stream past.
+
+    Of the links within a block those are left out that connect what others there connect.
+    """
+    key, held, parent = None, [], {0: 0}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for whole in batches:
+        made = []
+        for at in range(0, whole.num_rows, 256):
+            part = whole.slice(at, 256)
+            lists = [map(np.array, part.column(MEMBER.index(c)).to_pylist()) for c in ("lacks", "adds")]
+            rows = [dict(zip(MEMBER, r, strict=True)) for r in zip(*(part.column(k).to_pylist() for k in range(len(MEMBER) - 2)), *lists, strict=True)]
+            far: list[dict] = []
+            for k, r in enumerate(rows):
+                if (r["a"], r["block"]) != key:
+                    key, held, parent = (r["a"], r["block"]), [], {0: 0}
+                (far if r["streams"] else held).append(r)
+                if not r["streams"]:
+                    parent[r["node"]] = 0 if r["near"] else r["node"]  # 0 stands for the hub; no node is named 0
+                last = k + 1 == len(rows) or (rows[k + 1]["a"], rows[k + 1]["block"]) != key
+                if last and far:
+                    both = _overlaps(far, held)
+                    sizes = np.array([m["n"] for m in far])[:, None] + np.array([m["n"] for m in held])
+                    for i, j in zip(*np.nonzero((NUM + DEN) * both >= NUM * sizes), strict=True):
+                        x, y = far[i]["node"], held[j]["node"]
+                        if find(x) != find(y):
+                            parent[find(x)] = find(y)
+                            made.append((x, y))
+                    far = []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], names=["a", "b"])
 
 
 class Join:
@@ -324,7 +383,7 @@ class Join:
         both = pairs.join(t.select(F.col("node").alias("b"), F.col("zipped").alias("zb")), "b")
         both = C.written(both, "half") if differences else both  # so that Spark can split a hub with many members
         both = both.join(t.select(F.col("node").alias("a"), F.col("zipped").alias("za")), "a")
-        kind = "a long, b long, common long, na long, nb long" + (", diff array<long>" if differences else "")
+        kind = "a long, b long, common long, na long, nb long" + (", lacks array<int>, adds array<long>" if differences else "")
         return both.select("a", "b", "za", "zb").mapInArrow(_map_compared(differences), kind)
 
     def links(self) -> DataFrame:
@@ -344,63 +403,20 @@ class Join:
         some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node"))
         self._texts = C.written(self.texts(some), "texts")
         linked = self.compare(pairs).where(LINKED).select("a", "b")
-        return C.written(linked.unionByName(self.family_links(long)), "links")
-
-    def family_links(self, long: DataFrame) -> DataFrame:
-        """Links that connect what links between members of a long list connect."""
-        long, links, families = long.select("list", "first", "node"), [], None
-        while True:  # a family's lists leave out its hub, so every level is smaller
-            # a list's hub is its member in most lists, as an original is among its copies
-            degree = long.groupBy("node").agg(F.count("*").alias("lists"))
-            hubs = long.join(degree, "node").groupBy("list", "first").agg(F.max(F.struct("lists", "node")).alias("h")).select("list", "first", F.col("h.node").alias("a"))
-            met = long.join(hubs, ["list", "first"]).where("node <> a")
-            if families is None:
-                known = self.compare(met.select("a", F.col("node").alias("b")).distinct(), differences=True)
-                seen = known.withColumn("near", F.expr(LINKED)).withColumn("family", F.col("a")).withColumn("open", ~F.col("near"))
-            else:  # families stay within the one they come from
-                members = met.groupBy(F.xxhash64("first", "a").alias("family"), "a", F.col("node").alias("b")).agg(F.max("open").alias("open"))
-                members = C.written(members, "members")
-                seen = members.join(self.compare(members.select("a", "b").distinct(), differences=True), ["a", "b"]).withColumn("near", F.expr(LINKED))
-            families = C.written(seen.select("family", "a", "b", "common", "na", "nb", "diff", "near", "open"), "families")
-            links.append(families.where("near").select("a", "b"))
-            short, long = self.differing(families)
-            if short is not None:
-                links.append(short)
-            if long is None:
-                break
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        return found
-
-    def differing(self, families: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-        """Links (a, b) of far members in short lists of differences, and long lists (list, first, node, open); None where there are none."""
-        far = C.written(families.where("not near").select("family").distinct(), "far")
-        if far.isEmpty():
-            return None, None
-        some = families.join(far, "family", "left_semi").where("size(diff) > 0")
-        tokens = some.select("family", "b", F.explode("diff").alias("token"))
-        # a difference of one member alone comes first in its order and needs no list
-        shared = tokens.join(tokens.groupBy("family", "token").count(), ["family", "token"]).where("count > 1")
-        order = shared.groupBy("family", "b").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
-        sized = some.select("family", "b", "near", "open", F.expr(f"size(diff) - {_NEED} + 1").alias("prefix"), F.size("diff").alias("n_diff"))
-        left = F.expr("slice(order, 1, greatest(0, int(prefix - (n_diff - size(order)))))")
-        prefixes = sized.join(order, ["family", "b"]).select("family", F.col("b").alias("node"), "near", "open", F.explode(left).alias("o"))
-        rows = C.written(prefixes.select("family", F.col("o.token").alias("token"), "node", "near", "open"), "differences")
-        lists = rows.groupBy("family", "token").agg(F.count("*").alias("n"), F.min("near").alias("all_near"), F.max("open").alias("some_open"))
-        lists = lists.where("n > 1 and not all_near and some_open").select("family", "token", "n")
-        met = C.written(rows.join(lists, ["family", "token"]), "difference-lists")
-        one = met.where(F.col("n") <= SHORT).drop("n")
-        other = one.select("family", "token", *[F.col(c).alias(f"{c}_2") for c in ("node", "near", "open")])
-        pairs = one.join(other, ["family", "token"]).where("node < node_2 and not (near and near_2) and (open or open_2)")
-        pairs = pairs.select("family", F.col("node").alias("x"), F.col("node_2").alias("y")).distinct()
-        for c in "xy":
-            member = some.select("family", F.col("b").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("common", "na", "nb", "diff")])
-            pairs = pairs.join(member, ["family", c])
-        pairs = pairs.withColumn("common", F.expr("common_x + common_y - na_x + size(array_intersect(diff_x, diff_y))"))
-        links = C.written(pairs.where(f"{DEN} * common >= {NUM} * (nb_x + nb_y - common)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "difference-links")
-        long = met.where(F.col("n") > SHORT).select(F.col("token").alias("list"), F.col("family").alias("first"), "node", "open")
-        return links, None if long.isEmpty() else long
+        return C.written(linked.unionByName(self.family_links(long, extra)), "links")
+
+    def family_links(self, long: DataFrame, degree: DataFrame) -> DataFrame:
+        """Links between members of long lists.  A list's hub is its member in most long lists, as an original is among its copies."""
+        hubs = long.join(degree, "node").groupBy("list", "first").agg(F.max(F.struct("extra", "node")).alias("h")).select("list", "first", F.col("h.node").alias("hub"))
+        pairs = long.join(hubs, ["list", "first"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        seen = C.written(self.compare(pairs, differences=True).withColumn("near", F.expr(LINKED)), "families")
+        size = seen.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"), F.min("near").alias("all_near"))
+        size = C.written(size.where("not all_near").drop("all_near"), "family-sizes")
+        member = seen.join(size, "a").select("a", F.col("b").alias("node"), F.col("nb").alias("n"), "common", "na", "near", "lacks", "adds", "blocks")
+        held = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("streams", F.lit(False))
+        far = member.where("not near").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("streams", F.lit(True))
+        met = held.select(*MEMBER).unionByName(far.select(*MEMBER)).repartition("a", "block").sortWithinPartitions("a", "block", "streams")
+        return seen.where("near").select("a", "b").unionByName(met.mapInArrow(_map_family, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

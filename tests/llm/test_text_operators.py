@@ -1,9 +1,11 @@
 """Suffix dedup, line dedup, n-gram join and BPE against plain versions, with the odd cases of each."""
 
 import base64
+from collections import Counter
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import dedup_lines, docs_of, near_components, remove_repeats
@@ -108,6 +110,14 @@ def test_runs_are_levelled(spark, tmp_path):
     assert stored.count() == stored.select("h1", "h2").distinct().count() == 13
 
 
+def test_batches_follow_the_ids(spark):
+    docs = docs_of(spark, [(k if k < 12 else 10**12 + k, f"line number {k} of many\nthe shared line of all") for k in range(16)] + [(5, "x" * 200_000 + "\n" + "one more line\n" * 20_000)])
+    base = docs.select(F.col("doc_id").alias("place"))
+    assert len(set(line_dedup.cuts(base, 4))) == 3 and max(line_dedup.cuts(base, 4)) <= 12
+    got = {(r["row"]["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert (0, 0) in got and (10**12 + 15, 1) in got and (5, 1) in got and (5, 0) in got
+
+
 # --- n-gram join
 
 
@@ -137,8 +147,9 @@ def test_join_agrees_with_all_pairs(spark, seed):
 
 
 def test_long_lists_become_families(spark, monkeypatch):
-    """Lists over a few members become families, level by level; they must find the same links."""
+    """Lists over a few members become families, cut into blocks; they must find the same links."""
     monkeypatch.setattr(ngram_join, "SHORT", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
     r = random.Random(7)
     base = words(r, 60)
     rows = []
@@ -157,6 +168,41 @@ def test_long_lists_become_families(spark, monkeypatch):
     assert classes(docs_of(spark, rows)) == near_components(rows)
 
 
+def test_differences_from_a_hub_give_the_overlaps():
+    r = np.random.default_rng(3)
+    hub = np.arange(100)
+    sets = [np.unique(np.concatenate([r.choice(hub, 80, replace=False), r.integers(200, 230, 12)])) for _ in range(9)]
+    members = [{"common": len(np.intersect1d(hub, s)), "na": 100, "lacks": np.setdiff1d(hub, s), "adds": np.setdiff1d(s, hub)} for s in sets]
+    assert ngram_join._overlaps(members[:4], members).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:4]]
+
+
+def test_counts_fall_short_of_all_occurrences_by_little(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 300)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 100)
+    r = random.Random(3)
+    texts = [" ".join(words(r, 30, 40)) + " one two three four five" * (k % 3 == 0) for k in range(200)]
+    true = Counter(int(x) for _, sets in ngram_join.sets_of(ngram_join.Rolling(), pa.array(texts)) for s in sets for x in s.view(np.int64))
+    got = Counter()
+    for at in (0, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10])], names=["text"]) for k in range(at, at + 90 + 20 * (at > 0), 10)]
+        for out in ngram_join._map_counts(iter(batches)):
+            got.update({x["token"]: x["count"] for x in out.to_pylist()})
+    total = sum(true.values())
+    assert all(0 <= n - got[t] <= total / 200 for t, n in true.items()) and len(got) < len(true)
+
+
+def test_far_members_are_linked_with_near_ones():
+    hub, near = set(range(100)), set(range(14, 106))
+    far = set(range(26, 110))
+    assert 4 * len(hub & near) >= 3 * len(hub | near) and 4 * len(hub & far) < 3 * len(hub | far) and 4 * len(near & far) >= 3 * len(near | far)
+    row = lambda node, s, streams, at=0: (1, at, streams, node, len(s), len(hub & s), 100, s is near, sorted(hub - s), sorted(s - hub))
+    rows = [row(8, near, False), row(9, far, False), row(9, far, True), row(8, near, False, 1), row(9, far, True, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=list(ngram_join.MEMBER))
+    for size in (1, 2, 5):
+        got = [r for out in ngram_join._map_family(iter([batch.slice(k, size) for k in range(0, 5, size)])) for r in out.to_pylist()]
+        assert got == [{"a": 9, "b": 8}] * 2
+
+
 def test_join_odd_cases(spark):
     text = "one two three four five six seven"
     rows = [(4, text), (4, text), (9, text.upper()), (None, text), (None, "something else altogether, quite different")]
@@ -213,6 +259,17 @@ def test_encoding_agrees_with_the_library(coder):
     assert not any(bpe.low)
 
 
+def test_other_patterns_are_cut_by_themselves(coder):
+    import public_tokenizers as P
+
+    pattern = r"\p{L}{1,3}|\s?[^\s\p{L}]+|\s+"
+    data = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=coder[1]._mergeable_ranks, special_tokens={})
+    bpe = byte_bpe.Bpe(data, pattern)
+    for t in ("hello wonderful world 12", "  a  b\n\n c, don't 12.5 ", ""):
+        assert bpe.encode(t) == library.encode_ordinary(t)
+
+
 def test_full_memories_are_emptied(coder, monkeypatch):
     bpe, library = coder
     monkeypatch.setattr(byte_bpe, "MEMORY_WORDS", 5)
