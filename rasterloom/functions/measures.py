@@ -25,14 +25,19 @@ def slug(text: Column) -> Column:
     return F.when(plain == "", F.lit("image")).otherwise(plain)
 
 
+#: Thresholds in nozzle or line widths, areas in their squares.
+FEATURE_WIDTHS, SEGMENT_WIDTHS, ISLAND_AREAS, GAP_WIDTHS, HOLE_SIDE_WIDTHS = 2, 3.75, 12.5, 1.5, 2.5
+
+
 def printer_defaults(nozzle: Column, line: Column) -> dict[str, Column]:
     """Thresholds in mm that follow from nozzle and line width."""
+    side = line * HOLE_SIDE_WIDTHS
     return {
-        "min_feature_width_mm": F.greatest(nozzle, line) * 2,
-        "min_segment_length_mm": line * 3.75,
-        "min_island_area_mm2": line * line * 12.5,
-        "max_gap_mm": line * 1.5,
-        "min_hole_area_mm2": (line * 2.5) * (line * 2.5),
+        "min_feature_width_mm": F.greatest(nozzle, line) * FEATURE_WIDTHS,
+        "min_segment_length_mm": line * SEGMENT_WIDTHS,
+        "min_island_area_mm2": line * line * ISLAND_AREAS,
+        "max_gap_mm": line * GAP_WIDTHS,
+        "min_hole_area_mm2": side * side,
     }
 
 

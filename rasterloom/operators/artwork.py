@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,54 +74,56 @@ def color_regions(rgb: DataFrame, body: DataFrame, least_area: int, count: int =
     return sized.join(top.select("image_id", "packed", "place"), ["image_id", "packed"]).select("image_id", "place", "packed", "y", "x")
 
 
+def _joins(small: Column, big: Column, hue_tolerance: float, most_ratio: float) -> Column:
+    """Whether a color may join another: both saturated, the other large enough, of one name or of near hues."""
+
+    def strong(c: Column) -> Column:
+        top = F.greatest(c.r, c.g, c.b)
+        return (top > 0) & (top - F.least(c.r, c.g, c.b) >= top * 0.2)
+
+    return (small.n > 0) & (small.n < big.n) & (small.n <= big.n * most_ratio) & strong(small) & strong(big) & (_same_name(small, big) | (_hues_apart(small, big) <= hue_tolerance))
+
+
+def _same_name(a: Column, b: Column) -> Column:
+    one, two = (color.color_name(*(F.bround(c[k]) for k in "rgb")) for c in (a, b))
+    return (one == two) & (one != "custom color")
+
+
+def _hues_apart(a: Column, b: Column) -> Column:
+    return color.hue_distance(*(color.hue_degrees(c.r, c.g, c.b) for c in (a, b)))
+
+
 def merge_similar_colors(palette: DataFrame, hue_tolerance: float = 18.0, most_ratio: float = 0.35) -> DataFrame:
     """(image_id, label, target): small saturated colors join a larger one of their name or hue.
 
-    A color that takes another in moves towards it, so the colors of an image, a dozen at
-    most, are folded in order of size by a kernel.  ``palette``: (image_id, label, n, r, g, b).
+    The larger color moves to the mean of both, so an image's colors are an array that one
+    expression folds over, from the smallest color on.  ``palette``: (image_id, label, n, r, g, b),
+    whose labels per image are those of a print, a dozen at most.
     """
-
-    def hue(c: np.ndarray) -> tuple[float, float]:
-        top, low = float(c.max()), float(c.min())
-        if top <= low:
-            return 0.0, 0.0
-        k = int(c.argmax())
-        return ((c[(k + 1) % 3] - c[(k + 2) % 3]) / (top - low) * 60 + 120 * k) % 360, (top - low) / top
-
-    def name(c: np.ndarray) -> str:
-        v = np.clip(np.rint(c), 0, 255)
-        if v.max() - v.min() < 24:
-            light = float(v @ [0.2126, 0.7152, 0.0722])
-            return "white" if light > 225 else "black" if light < 45 else "gray"
-        k, rest = int(v.argmax()), np.sort(v)[1]
-        return ("red", "green", "blue")[k] if v[k] - rest > 45 else "custom color"
-
-    def fold(table: pa.Table) -> pa.Table:
-        label = table.column("label").to_pylist()
-        count = dict(zip(label, table.column("n").to_pylist(), strict=True))
-        at = {k: np.array(c, float) for k, c in zip(label, zip(*(table.column(c).to_pylist() for c in "rgb"), strict=True), strict=True)}
-        goal = {k: k for k in label}
-        for small in sorted(label, key=lambda k: (count[k], k)):
-            h, s = hue(at[small])
-            options = []
-            for big in sorted(label):
-                H, S = hue(at[big])
-                if big == small or count[big] <= count[small] or min(s, S) < 0.20:
-                    continue
-                away = abs(h - H) % 360
-                away, family = min(away, 360 - away), name(at[small]) == name(at[big]) != "custom color"
-                if (family or away <= hue_tolerance) and count[small] / count[big] <= most_ratio:
-                    options.append((not family, float(np.linalg.norm(at[small] - at[big])), away, -count[big], big))
-            if options and count[small] > 0:
-                big = min(options)[-1]
-                at[big] = (at[big] * count[big] + at[small] * count[small]) / (count[big] + count[small])
-                count[big], count[small] = count[big] + count[small], 0
-                goal = {k: big if v == small else v for k, v in goal.items()}
-        return pa.table({"image_id": table.column("image_id"), "label": table.column("label"), "target": pa.array([goal[k] for k in label], table.schema.field("label").type)})
-
-    slim = palette.select("image_id", "label", "n", "r", "g", "b")
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    return slim.groupBy("image_id").applyInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, target {kinds['label']}")
+    color_of = F.struct(*[F.col(c).cast("double").alias(c) for c in "nrgb"], "label", F.col("label").alias("target"))
+    images = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("n", "label"))).alias("turns"), F.collect_list(color_of).alias("colors"))
+
+    def merged(colors: Column, small: Column, into: Column) -> Column:
+        def one(c: Column) -> Column:
+            grows, goes, n = c.label == into, c.label == small.label, c.n + small.n
+            mean = {k: F.when(grows, (c[k] * c.n + small[k] * small.n) / n).otherwise(c[k]) for k in "rgb"}
+            return F.struct(
+                F.when(grows, n).when(goes, F.lit(0.0)).otherwise(c.n).alias("n"), *[v.alias(k) for k, v in mean.items()],
+                c.label.alias("label"), F.when(c.target == small.label, into).otherwise(c.target).alias("target"),
+            )
+
+        return F.when(into.isNull(), colors).otherwise(F.transform(colors, one))
+
+    def turn(colors: Column, whose: Column) -> Column:
+        def resolved(small: Column) -> Column:
+            away = lambda c: F.sqrt(sum((c[k] - small[k]) * (c[k] - small[k]) for k in "rgb"))
+            able = F.filter(colors, lambda c: _joins(small, c, hue_tolerance, most_ratio))
+            ranked = F.transform(able, lambda c: F.struct((~_same_name(small, c)).alias("other"), away(c).alias("away"), _hues_apart(small, c).alias("hue"), (-c.n).alias("less"), c.label.alias("label")))
+            return merged(colors, small, F.array_min(ranked).label)
+
+        return F.get(F.transform(F.filter(colors, lambda c: c.label == whose.label), resolved), F.lit(0))
+
+    return images.select("image_id", F.explode(F.aggregate("turns", F.col("colors"), turn)).alias("c")).select("image_id", "c.label", "c.target")
 
 
 def relief_job(rgba: DataFrame, least_area: int = 4, product: str = "flat_relief") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,25 +90,48 @@ def palette(rgb: DataFrame, label: str = "label") -> DataFrame:
     return g.select("image_id", label, "n", share.alias("share"), color.hex_color(r, gr, b).alias("hex"), color.color_name(r, gr, b).alias("name"), F.round(color.luminance(r, gr, b), 4).alias("light"))
 
 
-def kmeans_palette(rgb: DataFrame, colors: int, seed: int = 17) -> DataFrame:
-    """(image_id, r, g, b, label): colors of all images in one palette, clustered by their counts.
-
-    The counted colors, not the pixels, are clustered; labels go by lightness.
+def _clustered(x: np.ndarray, n: np.ndarray, k: int, seed: int, rounds: int, attempts: int, shift: float) -> np.ndarray:
+    """Centres of the cheapest of several runs from spread seeds."""
+    best, least = None, np.inf
+    for r in map(np.random.default_rng, range(seed, seed + attempts)):
+        c = x[r.choice(len(x), p=n / n.sum())][None, :]
+        while len(c) < k:
+            far = ((x[:, None, :] - c[None]) ** 2).sum(2).min(1) * n
+            c = np.vstack([c, x[r.choice(len(x), p=far / far.sum())]])
+        for _ in range(rounds):
+            near = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+            mass = np.bincount(near, n, k)
+            new = np.stack([np.bincount(near, n * x[:, j], k) / np.maximum(mass, 1) for j in range(3)], 1)
+            new[mass == 0] = c[mass == 0]
+            moved, c = np.abs(new - c).max(), new
+            if moved <= shift:
+                break
+        cost = float((((x[:, None, :] - c[None]) ** 2).sum(2).min(1) * n).sum())
+        if cost < least:
+            best, least = c, cost
+    return best
+
+
+def kmeans_palette(rgb: DataFrame, colors: int, seed: int = 17, rounds: int = 35, attempts: int = 4, shift: float = 1.0) -> DataFrame:
+    """(image_id, r, g, b, n, label, light): a palette for each image, labels by lightness.
+
+    An image with ``colors`` different colors or fewer keeps them as they are.  Colors are
+    counted before the shuffle, so a kernel gets one image's counted colors.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     from ..functions.color import luminance
-    from ..storage import written
-
-    counted = written(rgb.groupBy("r", "g", "b").agg(F.count("*").cast("double").alias("n")), "colors")
-    vec = VectorAssembler(inputCols=["r", "g", "b"], outputCol="v").transform(counted)
-    model = KMeans(k=colors, seed=seed, maxIter=35, tol=1.0, featuresCol="v", weightCol="n", predictionCol="c").fit(vec)
-    light = [0.2126 * p[0] + 0.7152 * p[1] + 0.0722 * p[2] for p in model.clusterCenters()]
-    order = {c: k for k, c in enumerate(sorted(range(len(light)), key=light.__getitem__))}
-    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    named = model.transform(vec).select("r", "g", "b", place[F.col("c")].alias("label"))
-    return rgb.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n")).join(named, ["r", "g", "b"]).withColumn("light", luminance(F.col("r"), F.col("g"), F.col("b")))
+
+    counted = rgb.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+
+    def labels(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("r", "ascending"), ("g", "ascending"), ("b", "ascending")])
+        x, n = np.stack([table.column(c).to_numpy().astype(float) for c in "rgb"], 1), table.column("n").to_numpy().astype(float)
+        c = x if len(x) <= colors else _clustered(x, n, colors, seed, rounds, attempts, shift)
+        c = c[np.lexsort((c[:, 2], c[:, 1], c[:, 0], c @ [0.2126, 0.7152, 0.0722]))]
+        near = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+        return table.append_column("label", pa.array(near.astype(np.int32)))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema)
+    return counted.groupBy("image_id").applyInArrow(labels, f"{kinds}, label int").withColumn("light", luminance(F.col("r"), F.col("g"), F.col("b")))
 
 
 def lower_slender(mask: DataFrame, least_area: int = 8, most_fill: float = 0.65) -> DataFrame:

@@ -164,3 +164,19 @@ def resolve_contacts(mask: DataFrame, passes: int = 64) -> DataFrame:
             break
         mask = resolve_contacts_once(mask)
     return mask
+
+
+def repair_levels(heights: DataFrame, passes: int = 64) -> DataFrame:
+    """(image_id, y, x, h): diagonal contacts of what reaches a level are filled at that level, from the lowest level up.
+
+    Filled pixels count for the levels above.  Images take their levels in step, the k-th of each at a time.
+    """
+    from ..storage import written
+
+    levels = heights.where("h > 0").select("image_id", F.col("h").alias("level")).distinct()
+    levels = written(levels.withColumn("k", F.dense_rank().over(W.partitionBy("image_id").orderBy("level"))), "levels")
+    for k in range(1, (levels.agg(F.max("k")).first()[0] or 0) + 1):
+        now = written(heights.join(F.broadcast(levels.where(F.col("k") == k).drop("k")), "image_id", "left"), "level-heights")
+        filled = resolve_contacts(now.where("level is not null").select(*KEY, (F.col("h") >= F.col("level")).alias("m")), passes)
+        heights = now.join(filled, KEY, "left").select(*KEY, F.when(F.col("m") & (F.col("h") < F.col("level")), F.col("level")).otherwise(F.col("h")).alias("h"))
+    return heights

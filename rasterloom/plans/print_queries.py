@@ -352,3 +352,13 @@ def names_and_backends(spark, sf_dir):
 def settings_text(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job"), F.explode(F.expr("sequence(0, 3)")).alias("n"))
     return reports.settings_text(c.select("job", F.when(F.col("n") < 2, "stl").otherwise("svg").alias("section"), F.concat(F.lit("k"), F.col("n").cast("string")).alias("key"), (F.col("job") * (F.col("n") + 1) % 97).cast("string").alias("value")))
+
+
+@query()
+def levels_repaired(spark, sf_dir):
+    """Height levels without diagonal contacts, and how many pixels rose; held in tests."""
+    from ..operators import neighbourhood
+
+    before = gray(spark, sf_dir).select("image_id", "y", "x", F.expr("cast(g div 64 as int)").alias("h"))
+    after = neighbourhood.repair_levels(before).withColumnRenamed("h", "new")
+    return before.join(after, ["image_id", "y", "x"]).groupBy("image_id").agg(F.count_if(F.col("new") > F.col("h")).alias("raised"), F.max("new").alias("top"))

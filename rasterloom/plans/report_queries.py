@@ -158,7 +158,7 @@ def carried_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS = """runs AS (SELECT o_orderkey AS run, o_custkey AS image, replace(o_orderpriority, '1-URGENT', 'default') AS preset, CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS failures, o_orderkey % 7 AS warnings, o_orderkey % 5 <> 0 AS watertight, CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE 100 END AS face_count, o_orderkey % 3 = 0 AS fallback_used, greatest(o_orderkey % 13 - 9, 0) AS preserved, o_orderkey % 4 AS removed FROM orders),
 scored AS (SELECT *, greatest(0, 100 - CASE WHEN failures > 0 THEN 50 ELSE 0 END - least(25, warnings * 5) - CASE WHEN watertight THEN 0 ELSE 20 END - CASE WHEN face_count = 0 THEN 20 ELSE 0 END - CASE WHEN fallback_used THEN 5 ELSE 0 END - least(20, preserved * 2))::INT AS score,
-CASE WHEN failures > 0 THEN 'not usable: job failed' WHEN preserved > 0 THEN 'review needed: ' || preserved || ' tiny islands preserved' WHEN warnings > 0 THEN 'review warnings before slicer' WHEN removed > 0 THEN 'cleaner: removed ' || removed || ' tiny islands' ELSE 'looks ready for slicer review' END AS note FROM runs)"""
+CASE WHEN failures > 0 THEN 'failed, do not print' WHEN preserved > 0 THEN 'islands left to look at: ' || preserved WHEN warnings > 0 THEN 'has warnings' WHEN removed > 0 THEN 'islands taken out: ' || removed ELSE 'nothing to remark' END AS note FROM runs)"""
 
 
 @query(f"{_RUNS} SELECT run, image, preset, score, note FROM scored")

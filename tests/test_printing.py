@@ -71,6 +71,35 @@ def test_small_colors_join_their_family(spark):
     assert {r["label"]: r["target"] for r in artwork.merge_similar_colors(p).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_a_color_that_grows_moves(spark):
+    rows = [(0, 0, 1000, 230, 20, 20), (0, 1, 300, 190, 20, 20), (0, 2, 90, 180, 90, 20), (1, 7, 10, 9, 9, 9), (1, 8, 10, 250, 0, 0)]
+    p = spark.createDataFrame(rows, "image_id long, label int, n long, r int, g int, b int")
+    got = {(r["image_id"], r["label"]): r["target"] for r in artwork.merge_similar_colors(p).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 1, (1, 7): 7, (1, 8): 8}  # the grown color is too large to join
+
+
+def test_levels_are_repaired_from_below(spark):
+    from rasterloom.operators import neighbourhood
+
+    h = [[1, 0, 0], [0, 1, 0], [0, 0, 2]]
+    rows = [(i, y, x, h[y][x]) for i in (0, 1) for y in range(3) for x in range(3)] + [(2, 0, 0, 0)]
+    got = neighbourhood.repair_levels(spark.createDataFrame(rows, "image_id long, y int, x int, h int"))
+    assert got.count() == len(rows)
+    for level in (1, 2):
+        assert neighbourhood.diagonal_contacts(got.select("image_id", "y", "x", (F.col("h") >= level).alias("m"))).count() == 0
+    assert got.where("image_id = 0 and h > 0").count() == 5 and got.where("image_id = 2").first()["h"] == 0
+
+
+def test_palettes_are_per_image(spark):
+    from rasterloom.operators import metrics
+
+    few = [(0, 0, x, *c) for x, c in enumerate([(0, 0, 0), (255, 255, 255), (0, 0, 0)])]
+    many = [(1, y, x, 200 * (x > 4) + y, 10, 20 + x) for y in range(9) for x in range(9)]
+    got = metrics.kmeans_palette(spark.createDataFrame(few + many, "image_id long, y int, x int, r int, g int, b int"), 2).collect()
+    assert {(r["r"], r["label"], r["n"]) for r in got if r["image_id"] == 0} == {(0, 0, 2), (255, 1, 1)}
+    assert {(r["r"] > 100, r["label"]) for r in got if r["image_id"] == 1} == {(False, 0), (True, 1)}
+
+
 def test_islands_are_connected_or_left(spark):
     rows = [(0, y, x, 1 if x < 4 and y < 4 else 1 if (y, x) == (2, 6) else None) for y in range(5) for x in range(9)]
     lab = spark.createDataFrame(rows, "image_id long, y int, x int, label int").where("label is not null")

@@ -40,7 +40,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == 'corpus_pipeline' or name.startswith('rasterloom.llm'):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = e.queries()
