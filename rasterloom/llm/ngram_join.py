@@ -45,8 +45,8 @@ from .suffix_dedup import BLOCK, Rolling, _bytes_of, _columns, mixed, unzipped,
 
 WIDTH, NUM, DEN = 5, 3, 4  # linked when intersection / union >= NUM / DEN
 SHORT = 64
-#: A shingle with one in FREQUENT of all occurrences is frequent; there are at most 2 * FREQUENT of half that count, which are broadcast.
-FREQUENT, LEAST_SEEN = 1_000_000, 3
+#: A shingle with one in FREQUENT of all occurrences, and more than a short list holds, is frequent; at most 2 * FREQUENT of half that share are broadcast.
+FREQUENT, LEAST_SEEN = 700_000, 64
 #: Shingles counted at once in a task, twice as many at most; names of sets that a task remembers.
 COUNTED, REMEMBERED = 3_000_000, 200_000
 #: Members of a family that a task holds at once.
