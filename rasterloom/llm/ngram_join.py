@@ -3,8 +3,7 @@
 A text's set is its distinct 5-word shingles, held as 64-bit hashes.  Texts with equal sets
 are one node.  Nodes meet in the inverted lists of their prefixes: the ``n - ceil(t n) + 1``
 first shingles in one order for all, the frequent ones last.  Frequencies are counted over all
-documents: each task drops what is rare in its own share, which hides less than half of the
-count of a shingle that is frequent in all.  Counts only steer the order; no order loses a link.
+documents; they only steer the order, and no order loses a link.
 
 Set relations save work at both levels of the join:
 
@@ -45,10 +44,10 @@ from .suffix_dedup import BLOCK, Rolling, _bytes_of, _columns, mixed, unzipped,
 
 WIDTH, NUM, DEN = 5, 3, 4  # linked when intersection / union >= NUM / DEN
 SHORT = 64
-#: A shingle with one in FREQUENT of all occurrences, and more than a short list holds, is frequent; at most 2 * FREQUENT of half that share are broadcast.
-FREQUENT, LEAST_SEEN = 700_000, 64
-#: Shingles counted at once in a task, twice as many at most; names of sets that a task remembers.
-COUNTED, REMEMBERED = 3_000_000, 200_000
+#: A shingle is frequent that occurs LEAST_SEEN times and makes up one in FREQUENT of all occurrences; so there are at most FREQUENT, which are broadcast.
+FREQUENT, LEAST_SEEN = 2_800_000, 32
+#: Shingles counted at once in a task; names of sets that a task remembers.
+COUNTED, REMEMBERED = 4_000_000, 200_000
 #: Members of a family that a task holds at once.
 BLOCK_ROWS = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -119,29 +118,20 @@ def _map_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, count) within blocks of shingles; those with a count up to block / (2 * FREQUENT) stay out.
-
-    So a count over all blocks falls short by one in 2 * FREQUENT of all occurrences at most.
-    """
+    """(token, count) within blocks of shingles, so that copies within a task are shuffled once."""
     rolling, held, size = Rolling(), [], 0
 
     def counted() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
-        some = count * 2 * FREQUENT > size
-        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(count[some])], names=["token", "count"])
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "count"])
 
     for batch in batches:
         for _, sets in sets_of(rolling, _columns(batch, "text")[0]):
-            if size >= 2 * COUNTED:  # what is left for the last block is no small block
-                rest, cut = [], 0
-                while cut < COUNTED:
-                    rest.append(held.pop())
-                    cut += len(rest[-1])
-                size -= cut
-                yield counted()
-                held, size = rest, cut
             held += sets
             size += sum(map(len, sets))
+            if size >= COUNTED:
+                yield counted()
+                held, size = [], 0
     if size:
         yield counted()
 
@@ -355,7 +345,7 @@ class Join:
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the frequent shingles of all documents, and their places by count."""
         total = self.rows.agg(F.sum("n")).first()[0] or 0
-        least = max(LEAST_SEEN, -(-total // (2 * FREQUENT)))
+        least = max(LEAST_SEEN, -(-total // FREQUENT))
         counts = self.base.mapInArrow(_map_counts, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
         top = counts.where(F.col("count") >= least).toArrow()  # total / least rows at most
         token, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
