@@ -47,7 +47,7 @@ SHORT = 64
 #: A shingle is frequent that occurs LEAST_SEEN times and makes up one in FREQUENT of all occurrences; so there are at most FREQUENT, which are broadcast.
 FREQUENT, LEAST_SEEN = 2_800_000, 32
 #: Shingles counted at once in a task; names of sets that a task remembers.
-COUNTED, REMEMBERED = 4_000_000, 200_000
+COUNTED, REMEMBERED = 1_000_000, 200_000
 #: Members of a family that a task holds at once.
 BLOCK_ROWS = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -346,7 +346,8 @@ class Join:
         """Sorted hashes of the frequent shingles of all documents, and their places by count."""
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         least = max(LEAST_SEEN, -(-total // FREQUENT))
-        counts = self.base.mapInArrow(_map_counts, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+        # shuffled as they come: most shingles are rare, so counting them before once more would only fill memory
+        counts = self.base.mapInArrow(_map_counts, "token long, count long").repartition("token").groupBy("token").agg(F.sum("count").alias("count"))
         top = counts.where(F.col("count") >= least).toArrow()  # total / least rows at most
         token, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
         if not len(token):
