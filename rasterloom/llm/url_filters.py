@@ -17,6 +17,7 @@ rule; repeated rows are judged alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -99,10 +100,15 @@ def rarest(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> list[tupl
     return [(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), r) for r in rules]
 
 
+def _listed(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A list of the driver's as a table, read by the JVM from one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def token_counts(urls: DataFrame, rules: Sequence[Rule | Pattern]) -> dict[str, int]:
     """How many URLs hold each token of the rules: one aggregation whose size is that of the rule list."""
     tokens = sorted({t for r in rules for t in r.tokens})
-    wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    wanted = _listed(urls.sparkSession, [{"token": t} for t in tokens], "token string")
     wanted = F.broadcast(wanted) if len(tokens) <= C.BROADCAST_ROWS else wanted
     return {r["token"]: r["count"] for r in urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count().collect()}
 
@@ -145,7 +151,8 @@ def _joined(urls: DataFrame, rules: Sequence[Rule], counts: dict[str, int]) -> D
     """Long rule lists: candidates by a join on the token, gathered per distinct URL."""
     spark = urls.sparkSession
     filed = rarest(rules, counts)
-    index = spark.createDataFrame([(t, len(r.name), r.name, r.pattern, r.action) for t, r in filed], "token string, length int, name string, pattern string, action string")
+    rows = [{"token": t, "length": len(r.name), "name": r.name, "pattern": r.pattern, "action": r.action} for t, r in filed]
+    index = _listed(spark, rows, "token string, length int, name string, pattern string, action string")
     distinct = urls.select("host", "path", "tokens").distinct()
     found = distinct.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
     gathered = found.groupBy("host", "path").agg(F.collect_set(F.struct("length", "name", "pattern", "action")).alias("found"))
