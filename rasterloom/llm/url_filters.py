@@ -2,8 +2,9 @@
 
 A rule is a host and a path; it fits the host and its subdomains where the path starts with
 the rule's, and becomes one regular expression.  The rule is filed under the one of its
-literal tokens (host labels, whole path segments) that the fewest URLs hold.  A URL's tokens
-fetch the candidate rules, only those run their regular expression, and the longest wins.
+literal tokens (host labels, whole path segments) that the fewest URLs hold.  A token says
+whether it stands in the host or in the path.  A URL's tokens fetch the candidate rules, only
+those run their regular expression, and the longest wins.
 URLs that no rule decides go to ``PATTERNS``, filed and fetched alike: a pattern needs all its
 literal tokens, and tokens end wherever a pattern may have a boundary.  Tokens are counted over
 all URLs, whatever the number of rules.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LITERAL_RULES = 512
+#: Heads of tokens.
+HOST, PATH = "h:", "p:"
 
 
 class Rule(NamedTuple):
@@ -46,7 +49,7 @@ class Rule(NamedTuple):
     @property
     def tokens(self) -> list[str]:
         whole = self.path.split("/")[1:-1]  # the last segment may be part of a longer one
-        return [t for t in [*self.host.split("."), *whole] if t]
+        return [HOST + t for t in self.host.split(".") if t] + [PATH + t for t in whole if t]
 
 
 class Pattern(NamedTuple):
@@ -68,7 +71,7 @@ class Pattern(NamedTuple):
 
     @property
     def tokens(self) -> list[str]:
-        return self.words.split("-")
+        return [(HOST if self.where == "host" else PATH) + w for w in self.words.split("-")]
 
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -92,8 +95,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def url_tokens(host: Column, path: Column) -> Column:
     """Host labels and path segments as they are, and all words between boundaries of the patterns, each once."""
-    words = F.split(F.translate(F.concat(host, path), C.UPPER, C.LOWER), "[^a-z0-9]+", -1)
-    return F.array_distinct(F.concat(F.split(host, r"\.", -1), F.split(path, "/", -1), words))
+
+    def tokens(text: Column, separator: str, head: str) -> Column:
+        words = F.split(F.translate(text, C.UPPER, C.LOWER), "[^a-z0-9]+", -1)
+        return F.transform(F.concat(F.split(text, separator, -1), words), lambda t: F.concat(F.lit(head), t))
+
+    return F.array_distinct(F.concat(tokens(host, r"\.", HOST), tokens(path, "/", PATH)))
 
 
 def rarest(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> list[tuple[str, Rule | Pattern]]:
