@@ -219,3 +219,31 @@ def artwork_metrics(spark, sf_dir):
 @query(f"{_RUNS}, t AS (SELECT unnest([{{'n': count(*) FILTER (failures > 0), 'fix': 'repair the jobs that fail'}}, {{'n': count(*) FILTER (NOT watertight), 'fix': 'close open meshes'}}, {{'n': count(*) FILTER (preserved > 0), 'fix': 'raise the least island size'}}, {{'n': count(*) FILTER (fallback_used), 'fix': 'simplify outlines for the vector backend'}}]) AS f FROM runs) SELECT (row_number() OVER (ORDER BY f DESC) - 1)::INT AS place, f['fix'] AS fix, f['n'] AS runs FROM t WHERE f['n'] > 0 QUALIFY row_number() OVER (ORDER BY f DESC) <= 3")
 def recommended_fixes(spark, sf_dir):
     return scoring.recommended_fixes(carried_runs(spark, sf_dir))
+
+
+@query(f"""{_M.split("sg AS")[0].rstrip().rstrip(",")}, j AS (SELECT m.*, unnest(['clean_logo', 'detail_preserving', 'drip_logo', 'splatter_logo', 'line_art', 'preserve_floating_islands', 'default']) AS preset FROM m),
+c AS (SELECT *, CASE WHEN image_id % 5 > 0 THEN image_id % 10 / 10.0::DOUBLE END AS contrast, preset IN ('line_art', 'detail_preserving') AS fine FROM j),
+t AS (SELECT image_id, preset, list_filter([CASE WHEN fine AND nar > 0.25 THEN 'much of the shape is narrow' END, CASE WHEN fine AND ho >= 20 THEN 'the shape has many openings' END, CASE WHEN fine AND (ed >= 0.05 OR con >= 60) THEN 'dense outlines' END,
+CASE WHEN preset = 'drip_logo' AND slen > 0 THEN 'slender parts hang down' END, CASE WHEN preset = 'drip_logo' AND low >= 0.16 THEN 'the lower rim is uneven' END, CASE WHEN preset = 'splatter_logo' AND sm >= 4 THEN 'many small parts' END, CASE WHEN preset = 'splatter_logo' AND rough >= 24 THEN 'rough outlines' END,
+CASE WHEN preset = 'preserve_floating_islands' AND sig >= 3 THEN 'several large parts stand apart' END, CASE WHEN preset = 'clean_logo' AND sol >= 0.25 THEN 'large solid areas' END, CASE WHEN preset = 'clean_logo' AND ed < 0.04 THEN 'few outlines' END, CASE WHEN preset = 'default' THEN 'nothing stands out' END,
+CASE WHEN contrast >= 0.45 THEN 'the source has good contrast' ELSE 'the source has little contrast' END], lambda x: x IS NOT NULL) AS r FROM c) SELECT image_id, preset, array_to_string(r[1:4], '|') AS reasons FROM t""")
+def recommendation_reasons(spark, sf_dir):
+    m = carried_metrics(spark, sf_dir).withColumn("contrast_quality", F.when(F.col("image_id") % 5 > 0, F.col("image_id") % 10 / 10))
+    return scoring.reasons(scoring.matrix(m)).select("image_id", "preset", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(f"""{_RUNS}, e AS (SELECT *, CASE WHEN run % 23 = 0 THEN 'stopped' END AS error FROM scored), j AS (SELECT c_custkey AS image, unnest(['default', '2-HIGH', '5-LOW']) AS preset FROM customer), r AS (SELECT j.*, e.* EXCLUDE (image, preset), e.score IS NULL OR e.error IS NOT NULL AS failed FROM j LEFT JOIN e USING (image, preset))
+SELECT image, preset, run, CASE WHEN failed THEN greatest(coalesce(failures, 0), 1) ELSE failures END::INT AS failures, CASE WHEN NOT failed THEN watertight END AS watertight, CASE WHEN failed THEN 0 ELSE face_count END::INT AS face_count, CASE WHEN failed THEN 0 ELSE score END::INT AS score, CASE WHEN failed THEN coalesce(error, 'no run') ELSE note END AS note FROM r""")
+def matrix_report(spark, sf_dir):
+    jobs = scoring.matrix(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image")), ("default", "2-HIGH", "5-LOW"))
+    return scoring.matrix_report(jobs, carried_runs(spark, sf_dir).withColumn("error", F.when(F.col("run") % 23 == 0, "stopped")))
+
+
+@query("""o AS (SELECT o_orderkey AS k, 'printability: ' || o_orderstatus AS st, 'printability: ' || o_orderpriority AS pr FROM orders) SELECT k AS image_id, CASE WHEN k % 3 = 0 THEN st || '|' || pr ELSE pr || '|' || st END
+|| CASE WHEN k % 2 = 0 AND k % 4 <> 0 THEN '|model package not made' || CASE WHEN k % 8 = 2 THEN ': no faces; open edges' ELSE '' END ELSE '' END AS warnings FROM o""")
+def job_warnings(spark, sf_dir):
+    k, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    known = F.when(k % 3 == 0, F.array(F.concat(F.lit("printability: "), status)))
+    listed = scoring.with_report_warnings(known, F.array(priority, status, priority))
+    errors = F.when(k % 8 == 2, F.array(F.lit("no faces"), F.lit("open edges")))
+    return table(spark, sf_dir, "orders").select(k.alias("image_id"), F.array_join(scoring.with_package_warning(listed, k % 2 == 0, k % 4 == 0, errors), "|").alias("warnings"))

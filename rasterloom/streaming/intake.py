@@ -45,9 +45,12 @@ def stable(observations: DataFrame, needed: int = 2, attempts: int = 5) -> DataF
 
 
 def process(stream: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Runs the batch plan ``job`` on every micro-batch; results and progress survive a restart."""
+    """Runs the batch plan ``job`` on every micro-batch; results and progress survive a restart.
+
+    Each batch has a folder ``batch=number``, so a batch that is tried again replaces what it wrote.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        job(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        job(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

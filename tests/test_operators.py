@@ -6,7 +6,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, measures
-from rasterloom.operators import contours, layers, masks, meshes, metrics, neighbourhood, regions
+from rasterloom.operators import contours, layers, masks, meshes, metrics, neighbourhood, regions, scoring
 from rasterloom.sources import rasters, readers, sinks
 from rasterloom.streaming import intake
 
@@ -230,6 +230,10 @@ def test_streaming_intake(spark, tmp_path):
     q = intake.process(intake.arrivals(spark, f"file://{tmp_path}/in"), job, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.awaitTermination(60)
     assert [r["name"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["a.png"]
+    # a batch that runs again, here for want of its checkpoint, replaces its rows
+    q = intake.process(intake.arrivals(spark, f"file://{tmp_path}/in"), job, f"file://{tmp_path}/out", f"file://{tmp_path}/cp2")
+    q.awaitTermination(60)
+    assert [(r["name"], r["batch"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [("a.png", 0)]
 
 
 def test_files_count_once_stable(spark, tmp_path):
@@ -241,3 +245,30 @@ def test_files_count_once_stable(spark, tmp_path):
     q = intake.stable(stream).writeStream.format("memory").queryName("ready").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("ready").collect()] == [("a", 5, True)]
+
+
+def test_matrix_jobs_without_a_run_are_failed_rows(spark):
+    jobs = scoring.matrix(spark.createDataFrame([(1,), (2,), (None,)], "image long"), ("a", "b"))
+    kind = "run long, image long, preset string, failures int, warnings int, watertight boolean, face_count int, fallback_used boolean, preserved int, removed int, error string"
+    runs = [(7, 1, "a", 0, 0, True, 9, False, 0, 0, None), (8, 1, "b", 0, 0, True, 9, False, 0, 0, "out of memory"), (9, 3, "a", 0, 0, True, 9, False, 0, 0, None)]
+    got = {(r["image"], r["preset"]): (r["run"], r["failures"], r["watertight"], r["face_count"], r["score"], r["note"]) for r in scoring.matrix_report(jobs, spark.createDataFrame(runs, kind)).collect()}
+    none = (None, 1, None, 0, 0, "no run")
+    assert got == {(1, "a"): (7, 0, True, 9, 100, "nothing to remark"), (1, "b"): (8, 1, None, 0, 0, "out of memory"), (2, "a"): none, (2, "b"): none, (None, "a"): none, (None, "b"): none}
+
+
+def test_reasons_are_distinct_and_at_most_four(spark):
+    names = ["narrow_feature_percent", "hole_count", "edge_density", "contour_count", "lower_slender_component_count", "lower_profile_variation", "small_component_count", "boundary_roughness", "significant_component_count", "large_solid_region_percent", "contrast_quality"]
+    rows = [("line_art", *[100.0] * 11), ("drip_logo", *[None] * 11), ("default", *[0.0] * 10, 0.45)]
+    got = {r["preset"]: r["reasons"] for r in scoring.reasons(spark.createDataFrame(rows, "preset string, " + ", ".join(f"{n} double" for n in names))).collect()}
+    assert got["line_art"] == ["much of the shape is narrow", "the shape has many openings", "dense outlines", "the source has good contrast"]
+    assert got["drip_logo"] == ["the source has little contrast"]
+    assert got["default"] == ["nothing stands out", "the source has good contrast"]
+
+
+def test_warnings_are_added_once(spark):
+    d = spark.createDataFrame([(["a"], ["x", "x"], True, False, ["e", "f"]), (None, None, True, None, None), (["a"], None, None, False, ["e"]), (None, ["x"], True, True, None)], "w array<string>, u array<string>, wanted boolean, made boolean, errors array<string>")
+    both = scoring.with_package_warning(scoring.with_report_warnings(F.col("w"), F.col("u")), F.col("wanted"), F.col("made"), F.col("errors"))
+    again = scoring.with_package_warning(both, F.col("wanted"), F.col("made"), F.col("errors"))
+    got = [(r["a"], r["b"]) for r in d.select(both.alias("a"), again.alias("b")).collect()]
+    assert [a for a, _ in got] == [["a", "printability: x", "model package not made: e; f"], ["model package not made"], ["a"], ["printability: x"]]
+    assert all(a == b for a, b in got)
