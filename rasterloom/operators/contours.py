@@ -287,13 +287,14 @@ def straighten_chords(points: DataFrame, tolerance: float = 0.6, least_length: f
 
 
 def clean_contours(points: DataFrame, tolerance: float = 0.7, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(rings, report): simplified, merged, curve-fitted and rounded rings where safe, else the original.
+    """(rings, report): simplified, merged, straightened, curve-fitted and rounded rings where safe, else the original.
 
     The report has a row per image: rings, points before and after, rings that fell back.
     """
     from ..storage import written
 
-    new = fit_curves(merge_collinear(written(simplify(points, tolerance), "simplified")))
+    merged = merge_collinear(written(simplify(points, tolerance), "simplified"))
+    new = fit_curves(written(straighten_chords(merged), "straight"))
     for _ in range(rounds):
         new = round_corners(new)
     new = written(merge_collinear(new), "rounded")

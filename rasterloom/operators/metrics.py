@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import regions
 from .masks import KEY
-from .neighbourhood import full_distance
+from .neighbourhood import close_open, full_distance
 
 
 def histogram(gray: DataFrame) -> DataFrame:
@@ -32,6 +32,18 @@ def otsu(gray: DataFrame) -> DataFrame:
     return gray.select("image_id").distinct().join(best, "image_id", "left").select("image_id", F.coalesce(-F.col("b.less"), F.lit(0)).alias("cut"))
 
 
+def basic_silhouette(rgba: DataFrame, gray: Column, least_alpha: int = 128, invert: bool = False, radius: int = 0) -> DataFrame:
+    """(image_id, y, x, m): what is more opaque than ``least_alpha`` where an image has transparency, the dark side of its Otsu cut elsewhere.
+
+    A ``radius`` above 0 closes and opens the mask.  Images are told apart by one row each, joined back.
+    """
+    px = rgba.withColumn("g", gray).select(*KEY, "a", "g")
+    kinds = px.groupBy("image_id").agg((F.min("a") < 255).alias("clear")).join(otsu(px.select(*KEY, "g")), "image_id")
+    m = F.when(F.col("clear"), F.col("a") > least_alpha).otherwise(F.col("g") <= F.col("cut"))
+    mask = px.join(kinds, "image_id").select(*KEY, (~m if invert else m).alias("m"))
+    return close_open(mask, radius) if radius else mask
+
+
 def contrast(gray: DataFrame) -> DataFrame:
     """(image_id, contrast): distance of the 5th and 95th percentiles over 255."""
     p = gray.groupBy("image_id").agg(F.percentile("g", [0.05, 0.95]).alias("p"))

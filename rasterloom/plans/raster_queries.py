@@ -316,6 +316,15 @@ def otsu_threshold(spark, sf_dir):
     return metrics.otsu(gray(spark, sf_dir))
 
 
+@query(f"""{RGB}, p AS (SELECT image_id, y, x, a, (r * 299 + gg * 587 + b * 114 + 500) // 1000 AS g, min(a) OVER (PARTITION BY image_id) < 255 AS clear FROM rgb), h AS (SELECT image_id, g, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS below, sum(n * g) OVER w AS mass, sum(n) OVER (PARTITION BY image_id) AS al, sum(n * g) OVER (PARTITION BY image_id) AS total FROM h WINDOW w AS (PARTITION BY image_id ORDER BY g)),
+v AS (SELECT image_id, g, round(below * (al - below) * (mass / below - (total - mass) / (al - below)) * (mass / below - (total - mass) / (al - below)), 6) AS b FROM c WHERE below < al), o AS (SELECT image_id, coalesce(max_by(g, (b, -g)), 0) AS cut FROM v GROUP BY image_id)
+SELECT image_id, y, x, CASE WHEN clear THEN a > 128 ELSE g <= coalesce(cut, 0) END AS m FROM p LEFT JOIN o USING (image_id)""")
+def basic_silhouette(spark, sf_dir):
+    r, g, b = (F.col(c) for c in "rgb")
+    return metrics.basic_silhouette(rgb(spark, sf_dir), color.luma(r, g, b))
+
+
 @query(f"{PX} SELECT image_id, round((quantile_cont(g, 0.95) - quantile_cont(g, 0.05)) / 255, 5) AS contrast FROM px GROUP BY image_id")
 def contrast_quality(spark, sf_dir):
     return metrics.contrast(gray(spark, sf_dir))

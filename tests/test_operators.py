@@ -272,3 +272,14 @@ def test_warnings_are_added_once(spark):
     got = [(r["a"], r["b"]) for r in d.select(both.alias("a"), again.alias("b")).collect()]
     assert [a for a, _ in got] == [["a", "printability: x", "model package not made: e; f"], ["model package not made"], ["a"], ["printability: x"]]
     assert all(a == b for a, b in got)
+
+
+def test_basic_silhouette_takes_alpha_or_the_dark_side(spark):
+    clear = [(0, y, x, 200, 200, 200, 255 if x < 3 else 128) for y in range(5) for x in range(5)]
+    opaque = [(1, y, x, v, v, v, 255) for y in range(5) for x in range(5) for v in [10 if x < 3 and (y, x) != (2, 1) or (y, x) == (0, 4) else 240]]
+    px = spark.createDataFrame(clear + opaque, "image_id long, y int, x int, r int, g int, b int, a int")
+    side = lambda **o: {(r["image_id"], r["y"], r["x"]) for r in metrics.basic_silhouette(px, F.col("r"), **o).where("m").collect()}
+    left = {(k, y, x) for k in (0, 1) for y in range(5) for x in range(3)}
+    assert side() == left - {(1, 2, 1)} | {(1, 0, 4)}
+    assert side(invert=True) == {(k, y, x) for k in (0, 1) for y in range(5) for x in range(5)} - side()
+    assert side(radius=1) >= left  # the gap is closed
