@@ -15,6 +15,7 @@ MODULES = {
     "op8_byte_bpe": "byte_bpe",
     "op9_ann": "ann_tree",
     "op10_quality_rules": "quality_rules",
+    "op11_exact_dedup": "exact_dedup",
 }
 
 
