@@ -16,6 +16,7 @@ MODULES = {
     "op9_ann": "ann_tree",
     "op10_quality_rules": "quality_rules",
     "op11_exact_dedup": "exact_dedup",
+    "op12_phrases": "phrases",
     "op13_merkle_manifest": "merkle",
 }
 
