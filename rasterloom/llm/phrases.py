@@ -35,7 +35,7 @@ from . import common as C
 
 MIN_COUNT, SHARE, TOP = 10, 50, 2000
 #: Bytes of text in a block (or one text, if longer), and bits of a filter that workers hold (2**28 bits are 32 MB).
-BLOCK_BYTES, MOST_BITS = 8_000_000, 2**28
+BLOCK_BYTES, MOST_BITS = 3_000_000, 2**28
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
@@ -113,20 +113,27 @@ def extended(at: np.ndarray, length: int, next_at: np.ndarray) -> tuple[np.ndarr
 
 def _word_lists(row_hashes, row_lengths, row_positions, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the known words, and their occurrences by position with the word's index."""
-    h = row_hashes.to_numpy(zero_copy_only=False).astype(np.int64)
-    code = np.repeat(np.arange(len(h), dtype=np.int64), row_lengths.to_numpy(zero_copy_only=False))
+    h = row_hashes.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    code = np.repeat(np.arange(len(h), dtype=np.int32), row_lengths.to_numpy(zero_copy_only=False))
     keep = bloom.np_has(known, h)[code]
     return h, *by_position(row_positions.to_numpy(zero_copy_only=False)[keep], code[keep])
 
 
+def _rows(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of a bounded length."""
+    whole = pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
+    for low in range(0, whole.num_rows, 50_000):
+        yield whole.slice(low, 50_000)
+
+
 def _pairs(known_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 h, at, word = _word_lists(b["hashes"][k].values, b["lengths"][k].values, b["positions"][k].values, known_words.value)
                 here, there = extended(at, 1, at)
-                pair, n = np.unique(word[here] * len(h) + word[there], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[pair // len(h)]), pa.array(h[pair % len(h)]), pa.array(n)], ["h1", "h2", "n"])
+                pair, n = np.unique(word[here] * np.int64(len(h)) + word[there], return_counts=True)
+                yield from _rows(h1=h[pair // len(h)], h2=h[pair % len(h)], n=n)
 
     return run
 
@@ -137,7 +144,7 @@ def _triples(known_words, known_pairs):
             for k in range(b.num_rows):
                 h, at, word = _word_lists(b["hashes"][k].values, b["lengths"][k].values, b["positions"][k].values, known_words.value)
                 here, there = extended(at, 1, at)
-                pair, of = np.unique(word[here] * len(h) + word[there], return_inverse=True)
+                pair, of = np.unique(word[here] * np.int64(len(h)) + word[there], return_inverse=True)
                 likely = bloom.np_has(known_pairs.value, pair_hash(h[pair // len(h)], h[pair % len(h)]))[of]
                 starts, pairs = at[here][likely], of[likely]
                 # the word behind the pair, where its own pair with the word before it is likely too
@@ -146,7 +153,7 @@ def _triples(known_words, known_pairs):
                 front, third = front[both], third[both]
                 triple, n = np.unique(pairs[front] * len(h) + word[third], return_counts=True)
                 first = pair[triple // len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[first // len(h)]), pa.array(h[first % len(h)]), pa.array(h[triple % len(h)]), pa.array(n)], ["h1", "h2", "h3", "n"])
+                yield from _rows(h1=h[first // len(h)], h2=h[first % len(h)], h3=h[triple % len(h)], n=n)
 
     return run
 
