@@ -172,10 +172,11 @@ def frequent(lists: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, D
     hashed = lists.select(F.transform("words", lambda w: F.xxhash64(F.col("lang"), w)).alias("hashes"), "lengths", "positions")
     known_words = _known(words.select(F.col("h1").alias("h")))
     pairs = hashed.mapInArrow(_pairs(known_words), "h1 long, h2 long, n long")
-    pairs = C.written(pairs.groupBy("h1", "h2").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "frequent-pairs")
+    # blocks have counted already, so a count in the task would only fill its memory: dealt first, counted after
+    pairs = C.written(pairs.repartition("h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "frequent-pairs")
     known_pairs = _known(pairs.select(_pair_hash("h1", "h2")))
     triples = hashed.mapInArrow(_triples(known_words, known_pairs), "h1 long, h2 long, h3 long, n long")
-    triples = C.written(triples.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "frequent-triples")
+    triples = C.written(triples.repartition("h1", "h2", "h3").groupBy("h1", "h2", "h3").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "frequent-triples")
     return words, pairs, triples, totals
 
 
