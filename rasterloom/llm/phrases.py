@@ -34,6 +34,8 @@ from . import bloom
 from . import common as C
 
 MIN_COUNT, SHARE, TOP = 10, 50, 2000
+#: Shares of a language that are ranked by themselves before they meet.
+SHARES = 64
 #: Bytes of text in a block (or one text, if longer), and bits of a filter that workers hold (2**28 bits are 32 MB).
 BLOCK_BYTES, MOST_BITS = 3_000_000, 2**28
 _KIND = np.zeros(256, np.uint8)
@@ -202,6 +204,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, share: int = SHARE
     threes = ends.select("lang", F.concat_ws(" ", "word", "w2", "w3").alias("phrase"), "a", cut.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     found = twos.withColumn("score", _score("a", "l", "r")).unionByName(threes)
     if top is not None:
+        # a language's phrases are ranked in shares first, so that the last window reads SHARES * top rows at most
+        share_of = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        found = found.withColumn("rank", F.row_number().over(share_of)).where(F.col("rank") <= top).drop("rank")
         best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         found = found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
     else:
