@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import print_queries, raster_queries, report_queries
+from . import polygon_queries, print_queries, raster_queries, report_queries
 
-MODULES = (raster_queries, report_queries, print_queries)
+MODULES = (raster_queries, report_queries, print_queries, polygon_queries)
 
 
 def queries() -> dict:
