@@ -2,11 +2,13 @@
 
 Words are aggregated per source; targets share a multiple of all words by weight and
 stop at a cap; a document is taken ``floor(rate)`` times plus one Bernoulli copy drawn
-from a hash of its id, where ``rate`` is its source's target over its source's words.
+from a hash of its id and text, where ``rate`` is its source's target over its source's words.
 
 Defined cases: a null source is a source of its own, last in order; null or blank text
-has size 0 and takes 0 words; a source without words has target 0; repeated rows draw
-alike; an empty table gives an empty result; other columns travel untouched.
+has size 0 and takes 0 words; a source without words has target 0; rows with a null id
+draw by their texts, so they are taken in proportion as well; rows that share both id and
+text draw alike; an empty table gives an empty result; other columns travel untouched,
+whatever their names, since rows travel as one struct.
 """
 
 from __future__ import annotations
@@ -50,15 +52,15 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     )
 
 
-def draw(id_col: Column, seed: int = SEED) -> Column:
-    """Uniform in [0, 1), a function of id and seed alone: 52 bits of MD5."""
-    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+def draw(id_col: Column, text: Column, seed: int = SEED) -> Column:
+    """Uniform in [0, 1), a function of id, text and seed alone: 52 bits of MD5."""
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(f":{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of ``docs`` as struct ``row``, with size, source_size, target, rate and copies."""
-    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col), seed).alias("u"))
     table, fits = C.small(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     if fits:
         t = table.withColumnRenamed("source", "t_source")
@@ -66,10 +68,10 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     else:  # a source may hold a third of all rows: spread it over 64 copies of its target
         salts = 64
         t = table.withColumnRenamed("source", "t_source").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        s = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        s = sized.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
         joined = s.join(t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")), "left")
     whole = F.floor("rate")
-    copies = (whole + F.when(draw(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    copies = (whole + F.when(F.col("u") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     return joined.select("row", "id", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
@@ -86,7 +88,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 f AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
@@ -94,7 +96,7 @@ f AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce
 t AS (SELECT source, source_size, CASE WHEN is_full THEN 2.0::DOUBLE * source_size ELSE
   (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * sum(CASE WHEN is_full THEN source_size ELSE 0 END) OVER ()) * weight / sum(CASE WHEN is_full THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target FROM f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':17'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.digest || ':17'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM r)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c

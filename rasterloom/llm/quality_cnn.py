@@ -6,14 +6,16 @@ span a chunk: each weighs how strongly the narrow ones answer on it.  Their answ
 max-pooled over all chunks of the text and combined into one probability.  Nothing but the
 bytes enters a score.
 
-The network is fitted on the driver from at most ``max_rows`` labelled texts per class, each
-of at most ``max_bytes``, so that the sample is bounded at any size of the corpus.  Scoring
+The network is fitted on the driver from at most ``max_rows`` labelled texts per class, of a
+longer text from windows spread over it that hold ``max_bytes`` together, so that the sample
+is bounded at any size of the corpus and at any length of its texts.  Scoring
 is one Arrow pass over all texts, without a shuffle; the model is some kilobytes.
 
 Defined cases: null text is scored like an empty one; any length is scored whole; repeated
-rows score alike; labels with null or several values count once per distinct value; with
-labels of one class only every score is that class, without labels 0.5; an empty table gives
-an empty result; other columns pass.
+rows score alike up to the rounding of 32-bit sums; labels with null or several values count once per distinct value; with
+labels of one class only every score is that class, without labels 0.5; if labels exist but
+none belongs to a document, fitting raises, unless there are no documents; an empty table
+gives an empty result; other columns pass, and one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, hops, lengths
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """Without overflow at either end."""
+    return (1 + np.tanh(x / 2)) / 2
+
+
 @dataclass
 class Net:
     """The parameters; ``prior`` alone is set where labels of both classes are missing."""
@@ -97,11 +104,11 @@ class Net:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.embed is None:
             return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-self._forward(*laid_out(texts))["logit"].astype(np.float64)))
+        return sigmoid(self._forward(*laid_out(texts))["logit"].astype(np.float64))
 
     def gradients(self, data: np.ndarray, hops: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         v = self._forward(data, hops, lengths)
-        d = ((1 / (1 + np.exp(-v["logit"])) - labels) * weights / weights.sum()).astype(np.float32)
+        d = ((sigmoid(v["logit"]) - labels) * weights / weights.sum()).astype(np.float32)
         text, h = v["text"], v["h"]
         g = {"out": v["top"].T @ d, "out_bias": d.sum(keepdims=True)}
         at_top = (h == v["top"][text]) & (h > 0)
@@ -147,28 +154,40 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 20_000, **options) -> Net:
+#: Windows that stand for a text over the bound.
+WINDOWS = 8
+
+
+def windows(text: Column, max_bytes: int) -> Column:
+    """The bytes of a text, or ``WINDOWS`` stretches spread evenly from its first byte to its last."""
+    data, size, width = text.cast("binary"), F.octet_length(text), max_bytes // WINDOWS
+    parts = [F.substring(data, F.floor((size - width) * k / (WINDOWS - 1)).cast("int") + 1, F.lit(width)) for k in range(WINDOWS)]
+    return F.when(size <= max_bytes, data).otherwise(F.concat(*parts))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 8_000, **options) -> Net:
     """Fit on labelled rows outside the held-out fold: ``max_rows`` per class at most, chosen by a hash of the id.
 
-    Texts over ``max_bytes`` are not fitted on, so that the driver holds 2 * max_rows * max_bytes at most; of
-    several texts with one id the least counts.
+    Labels are drawn among those of documents that are there, so every drawn row is fitted on.  The driver
+    holds 2 * max_rows * max_bytes bytes at most; of several texts with one id the least counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2)).select("doc_id", "quality").distinct()
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    there = C.written(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    counts = {r["quality"]: r["count"] for r in there.groupBy("quality").count().collect()}
+    if not counts and known.limit(1).count() and docs.limit(1).count():
+        raise ValueError("no label belongs to a document: there is nothing to fit on")
     if len(counts) < 2:
         return Net(prior=float(next(iter(counts), 0.5)))
-    ranked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1)]
+    ranked = [there.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1)]
     sample = F.broadcast(ranked[0].unionByName(ranked[1]).withColumnRenamed("doc_id", "label_id"))
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", windows(F.col("text"), max_bytes).alias("data"))
     # repeated rows cannot swell the sample
-    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    rows = found.groupBy("doc_id", "quality").agg(F.min("data").alias("data")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     y = np.array([r["quality"] for r in rows], np.float32)
-    if not 0 < y.sum() < len(y):
-        return Net(prior=counts.get(1, 0) / sum(counts.values()))
     weights = np.array([counts[int(q)] / max(1, int((y == q).sum())) for q in y], np.float32)
     weights = np.where(y == 1, weights / max(1.0, counts[1] / counts[0] / 3), weights).astype(np.float32)  # at most three to one
-    return fit([r["text"].encode("utf-8", "surrogatepass") for r in rows], y, weights, **options)
+    return fit([bytes(r["data"]) for r in rows], y, weights, **options)
 
 
 def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -64,3 +64,25 @@ def test_stages_keep_the_columns(spark, corpus):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near copies", "mixture", "encoding"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
+
+
+def test_a_table_of_long_texts_keeps_its_good_ones(spark, tmp_path):
+    from test_table_operators import long_texts
+
+    good, bad = long_texts()
+    docs_of(spark, [*good[:12], *bad[:12]]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k, _ in good] + [(k, 0, 0) for k, _ in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert got and got <= {k for k, _ in good[:12]}
+
+
+def test_null_ids_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = "row long, score long, kept long, size long, copies long, place long"
+    docs = docs_of(spark, [(None, "plain words here " * 9), (None, None), (3, "other words stand there " * 9), (3, "other words stand there " * 9), (4, "### $$$ " * 30)], names)
+    spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs, docs.limit(0)):
+        at = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns
+        assert corpus_pipeline.encoding(spark, at, "").count() <= 2 * rows.count()

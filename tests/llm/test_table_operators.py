@@ -44,7 +44,7 @@ def test_odd_documents_match_duckdb(spark, folder, name):
     assert [[v if v != "<NA>" else "None" for v in r] for r in got] == [[v if v != "<NA>" else "None" for v in r] for r in expected]
 
 
-@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_quality_rules", "op3_line_dedup", "op8_byte_bpe", "op7_ngram_jaccard", "op1_suffix_dedup", "op6_pii"])
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_quality_rules", "op3_line_dedup", "op8_byte_bpe", "op7_ngram_jaccard", "op1_suffix_dedup", "op6_pii", "op11_exact_dedup", "op12_phrases", "op13_merkle_manifest"])
 def test_empty_tables_give_empty_results(spark, tmp_path, name):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()[name](spark, str(tmp_path)).count() == 0
@@ -122,6 +122,14 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert once == again and mixing.mix(docs).columns == docs.columns
 
 
+def test_rows_without_ids_come_near_the_targets(spark):
+    r = random.Random(8)
+    plan = mixing.plan_mix(docs_of(spark, [(None, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(5, 15))) + f" {k}", f"s{k % 3}") for k in range(3000)])).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [x for x in plan if x["row"]["source"] == s]
+        assert sum(x["size"] * x["copies"] for x in mine) == pytest.approx(mine[0]["target"], rel=0.06)
+
+
 # --- classifier
 
 
@@ -133,6 +141,29 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
+def long_texts():
+    """60 labelled texts of 15 to 200 kB; those of one class are all above 20 kB."""
+    r = random.Random(2)
+    good = [(k, " ".join(r.choice(["plain", "words", "stand", "here", "in", "rows"]) for _ in range(r.randrange(4000, 40000)))) for k in range(30)]
+    bad = [(100 + k, "### $$$ %%% <<>> " * r.randrange(900, 3000)) for k in range(30)]
+    return good, bad
+
+
+def test_long_labelled_texts_are_fitted_on(spark):
+    good, bad = long_texts()
+    docs = docs_of(spark, [*good, *bad])
+    labels = spark.createDataFrame([(k, 1, 0) for k, _ in good] + [(k, 0, 0) for k, _ in bad], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality_cnn.keep_good(docs, labels).collect()}
+    assert kept == {k for k, _ in good}
+
+
+def test_labels_of_no_document_raise(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="nothing to fit"):
+        quality_cnn.train(docs_of(spark, [(900, "text")]), labels)
+    assert quality_cnn.keep_good(docs_of(spark, []), labels).count() == 0
+
+
 def test_scores_see_whole_texts_and_do_not_mix_them(spark):
     net = quality_cnn.Net.fresh(1)
     a, b = b"plain words here " * 40, b"### $$$ %%% " * 500
@@ -189,7 +220,7 @@ def test_classifier_odd_cases(spark):
     assert quality_cnn.keep_good(docs, one).columns == docs.columns and quality_cnn.keep_good(docs, one).count() == 6
     assert quality_cnn.score(docs.limit(0), quality_cnn.Net.fresh(0)).count() == 0
     got = quality_cnn.score(docs, quality_cnn.Net.fresh(0)).where("doc_id = 1").collect()
-    assert got[0]["score"] == got[1]["score"]
+    assert got[0]["score"] == pytest.approx(got[1]["score"], abs=1e-6)
 
 
 # --- personal data
