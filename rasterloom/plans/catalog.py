@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import polygon_queries, print_queries, raster_queries, report_queries
+from . import filter_queries, polygon_queries, print_queries, raster_queries, report_queries
 
-MODULES = (raster_queries, report_queries, print_queries, polygon_queries)
+MODULES = (raster_queries, report_queries, print_queries, polygon_queries, filter_queries)
 
 
 def queries() -> dict:

@@ -69,3 +69,16 @@ def discover(inputs: DataFrame, samples: DataFrame) -> DataFrame:
     """(path, kind): all files once; a path among both counts as an input."""
     both = inputs.select("path", F.lit("input").alias("kind")).unionByName(samples.select("path", F.lit("sample").alias("kind")))
     return both.groupBy("path").agg(F.min("kind").alias("kind"))
+
+
+def stacked_images(embeddings: DataFrame, side: int = 64) -> DataFrame:
+    """(image_id, y, x, g): ``side`` neighbouring vectors as the rows of one gray image, a disc and bars above their noise.
+
+    A larger carrier, so that operators meet the edges of their tiles; the last image may have fewer rows.
+    """
+    cells = embeddings.select(F.expr(f"vec_id div {side}").alias("image_id"), (F.col("vec_id") % side).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    noise = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 0.55) * 255 / 1.1))).cast("int")
+    disc = (F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 32) * (F.col("y") - 32) < 300 + 100 * (F.col("image_id") % 4)
+    bars = F.expr("(x div 8 + y div 8) % 5 = 0")
+    level = F.when(disc, 20).when(bars, 100).otherwise(160)
+    return cells.select("image_id", "y", "x", (F.shiftright(noise, 2) + level).cast("int").alias("g"))
