@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, edges, filters, masks, neighbourhood, regions
 from ..sources import rasters
 from ..storage import table
+from .report_queries import _M, SQL as _REPORTS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,7 +72,7 @@ def adaptive_blocks(spark, sf_dir):
 _EDGES = """sob AS (SELECT a.image_id, a.y, a.x, sum(b.g * o.i * (2 - abs(o.j)))::INT AS gx, sum(b.g * o.j * (2 - abs(o.i)))::INT AS gy FROM px a JOIN sz USING (image_id), (SELECT j, i FROM (VALUES (-1), (0), (1)) AS j(j), (VALUES (-1), (0), (1)) AS i(i)) AS o, px b WHERE b.image_id = a.image_id AND b.y = greatest(0, least(sz.h - 1, a.y + o.j)) AND b.x = greatest(0, least(sz.w - 1, a.x + o.i)) GROUP BY ALL),
 mag AS (SELECT *, abs(gx) + abs(gy) AS m FROM sob),
 dir AS (SELECT *, CASE WHEN abs(gy)::BIGINT * 32768 < abs(gx)::BIGINT * 13573 THEN 0 WHEN abs(gy)::BIGINT * 32768 > abs(gx)::BIGINT * (13573 + 65536) THEN 1 WHEN (gx < 0) <> (gy < 0) THEN 2 ELSE 3 END AS d FROM mag),
-thin AS (SELECT d.image_id, d.y, d.x, d.m FROM dir d LEFT JOIN mag p ON p.image_id = d.image_id AND p.y = d.y + CASE d.d WHEN 0 THEN 0 ELSE -1 END AND p.x = d.x + CASE d.d WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END
+thin AS MATERIALIZED (SELECT d.image_id, d.y, d.x, d.m FROM dir d LEFT JOIN mag p ON p.image_id = d.image_id AND p.y = d.y + CASE d.d WHEN 0 THEN 0 ELSE -1 END AND p.x = d.x + CASE d.d WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END
  LEFT JOIN mag q ON q.image_id = d.image_id AND q.y = d.y + CASE d.d WHEN 0 THEN 0 ELSE 1 END AND q.x = d.x + CASE d.d WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 1 END WHERE d.m > 80 AND d.m > coalesce(p.m, 0) AND CASE WHEN d.d < 2 THEN d.m >= coalesce(q.m, 0) ELSE d.m > coalesce(q.m, 0) END),
 edge AS (SELECT image_id, y, x FROM thin WHERE m > 160 UNION SELECT t.image_id, t.y, t.x FROM edge e JOIN thin t ON t.image_id = e.image_id AND abs(t.y - e.y) <= 1 AND abs(t.x - e.x) <= 1)"""
 
@@ -126,7 +127,7 @@ def far_distances(spark, sf_dir):
 
 def _labelled(name: str, on: str, near: str) -> str:
     """Least pixel number of each component: labels are replaced by lesser ones of neighbours until none is left."""
-    return f"""{name}n AS (SELECT a.image_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM {on} a, (VALUES {near}) AS o(j, i), {on} b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i),
+    return f"""{name}n AS MATERIALIZED (SELECT a.image_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM {on} a, (VALUES {near}) AS o(j, i), {on} b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i),
 {name}(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, y * 64 + x, y * 64 + x FROM {on} UNION SELECT c.image_id, c.p, min(t.root) FROM {name} t JOIN {name}n e ON e.image_id = t.image_id AND e.p = t.p JOIN recurring.{name} c ON c.image_id = t.image_id AND c.p = e.q WHERE t.root < c.root GROUP BY c.image_id, c.p)"""
 
 
@@ -146,8 +147,8 @@ hi AS (SELECT image_id, g, count(*) AS n FROM soft GROUP BY ALL), cu AS (SELECT
 ot AS (SELECT image_id, max_by(g, (b, -g)) AS cut FROM (SELECT image_id, g, round(below * (al - below) * (mass / below - (total - mass) / (al - below)) * (mass / below - (total - mass) / (al - below)), 6) AS b FROM cu WHERE below < al) GROUP BY image_id),
 sd AS (SELECT s.*, cut, (y IN (0, h - 1))::INT + (x IN (0, w - 1))::INT AS t FROM soft s JOIN ot USING (image_id) JOIN sz USING (image_id)),
 ch AS (SELECT image_id, (sum((g > cut)::INT * t) / sum(t)::DOUBLE, abs(avg((g > cut)::INT) - 0.3)) < (sum((g < cut)::INT * t) / sum(t)::DOUBLE, abs(avg((g < cut)::INT) - 0.3)) AS high FROM sd GROUP BY image_id),
-mask AS (SELECT image_id, y, x, CASE WHEN high THEN g > cut ELSE g < cut END AS m FROM sd JOIN ch USING (image_id)),
-onp AS (SELECT image_id, y, x FROM mask WHERE m), off AS (SELECT image_id, y, x FROM mask WHERE NOT m), {_labelled('lab', 'onp', _EIGHT)}, {_labelled('bg', 'off', _FOUR)}, {_WIDTHS},
+mask AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN high THEN g > cut ELSE g < cut END AS m FROM sd JOIN ch USING (image_id)),
+onp AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE m), off AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE NOT m), {_labelled('lab', 'onp', _EIGHT)}, {_labelled('bg', 'off', _FOUR)}, {_WIDTHS},
 ar AS (SELECT image_id, root, count(*) AS area FROM lab GROUP BY ALL),
 cc AS (SELECT image_id, count(area) AS components, count(*) FILTER (area >= greatest(24.0, w * h * 0.002)) AS significant, count(*) FILTER (area >= greatest(6.0, w * h * 0.00025) AND area < greatest(24.0, w * h * 0.002)) AS small, count(*) FILTER (area < greatest(6.0, w * h * 0.00025)) AS tiny FROM sz LEFT JOIN ar USING (image_id) GROUP BY image_id, w, h),
 ho AS (SELECT image_id, count(*) AS holes, avg(area / (w * h)::DOUBLE) AS share FROM (SELECT image_id, root, count(*) AS area, bool_or(p // 64 IN (0, h - 1) OR p % 64 IN (0, w - 1)) AS open, any_value(w) AS w, any_value(h) AS h FROM bg JOIN sz USING (image_id) GROUP BY image_id, root) WHERE NOT open GROUP BY image_id),
@@ -156,7 +157,7 @@ wi AS (SELECT image_id, avg((round(d, 4) <= 1.5)::INT) AS narrow, median(round(d
 ex AS (SELECT a.image_id, count(*) AS sides FROM onp a, (VALUES {_FOUR}) AS o(j, i) WHERE NOT EXISTS (SELECT 1 FROM onp b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i) GROUP BY a.image_id),
 tl AS (SELECT image_id, min(y) AS top, max(y) - min(y) + 1 AS tall, count(*) AS n FROM onp GROUP BY image_id),
 lo AS (SELECT image_id, stddev_pop((low - top) / tall::DOUBLE) AS v FROM (SELECT image_id, x, max(y) AS low FROM onp GROUP BY ALL) JOIN tl USING (image_id) GROUP BY image_id),
-down AS (SELECT o.image_id, y, x FROM onp o JOIN tl USING (image_id) WHERE y - top >= floor(tall * 0.55)), {_labelled('dl', 'down', _EIGHT)},
+down AS MATERIALIZED (SELECT o.image_id, y, x FROM onp o JOIN tl USING (image_id) WHERE y - top >= floor(tall * 0.55)), {_labelled('dl', 'down', _EIGHT)},
 sl AS (SELECT image_id, count(*) FILTER (area > 8 AND hh / ww::DOUBLE > 1.5 AND area / (ww * hh)::DOUBLE < 0.65) AS slender FROM (SELECT image_id, root, count(*) AS area, max(p % 64) - min(p % 64) + 1 AS ww, max(p // 64) - min(p // 64) + 1 AS hh FROM dl GROUP BY ALL) GROUP BY image_id),
 co AS (SELECT image_id, round((quantile_cont(g, 0.95) - quantile_cont(g, 0.05)) / 255, 5) AS contrast FROM px GROUP BY image_id),
 me AS (SELECT image_id, w AS source_width, h AS source_height, w AS analysis_width, h AS analysis_height, round(coalesce(tl.n, 0) / (w * h)::DOUBLE, 5) AS foreground_percent, components AS component_count, significant AS significant_component_count, tiny AS tiny_component_count, small AS small_component_count, coalesce(holes, 0) AS hole_count, round(coalesce(share, 0), 6) AS average_hole_area_percent,
@@ -168,3 +169,22 @@ me AS (SELECT image_id, w AS source_width, h AS source_height, w AS analysis_wid
 def artwork_analysis(spark, sf_dir):
     """The 20 measures of each image."""
     return analysis.artwork_metrics(rgb(spark, sf_dir))
+
+
+#: The scores of the reports' queries, over these measures in place of carried ones.
+_SCORED = _M.split("),\nsg AS", 1)[1]
+_NAMED = f"""{_METRICS}, m AS (SELECT image_id, foreground_percent AS fg, edge_density AS ed, component_count AS cc, significant_component_count AS sig, tiny_component_count AS tiny, small_component_count AS sm, contour_count AS con, hole_count AS ho, narrow_feature_percent AS nar, median_feature_width_px AS med, large_solid_region_percent AS sol, boundary_roughness AS rough, lower_profile_variation AS low, lower_slender_component_count AS slen FROM me"""
+
+
+@query(_NAMED + "),\nsg AS" + _SCORED + _REPORTS["recommendation"].removeprefix("WITH RECURSIVE " + _M))
+def artwork_recommendation(spark, sf_dir):
+    """From pixels to a preset."""
+    return analysis.recommendation(rgb(spark, sf_dir)).select("image_id", "preset", "confidence", "thickness_mm")
+
+
+@query(f"""{PX}, soft_in AS (SELECT image_id, y, x, (g < 128)::INT * 120 AS g FROM px), {_filtered('soft', 9, _mirrored, 'soft_in')},
+sh AS (SELECT p.image_id, p.y, p.x, coalesce(s.g, 0) AS a, p.g < 128 AS m FROM px p LEFT JOIN soft s ON s.image_id = p.image_id AND s.y = p.y - 3 AND s.x = p.x - 3)
+SELECT image_id, y, x, CASE WHEN m THEN 245 ELSE floor(226 - 226 * a / 255.0::DOUBLE + 0.5) END::INT AS r FROM sh""")
+def raised_preview(spark, sf_dir):
+    """A plate above its soft shadow, layer over layer."""
+    return filters.raised_preview(gray(spark, sf_dir)).select(*masks.KEY, "r")
