@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contours, extrusion, polygons
+from ..operators import contours, extrusion, filament, polygons
 from ..operators.printability import LIMITS
 from ..storage import table
 from .raster_queries import _FOUR, _EIGHT, _LABEL, MASK, gray, mask
@@ -154,3 +154,30 @@ def closed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with gaps closed by rounded moves; tests hold areas against drawn pictures."""
     half = contours.trace(mask(spark, sf_dir)).withColumns({"px": F.col("px") / 2, "py": F.col("py") / 2})
     return extrusion.printable(half, LIMITS)[2]
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three heights in mm by gray value, and nothing where it is bright."""
+    z = F.when(F.col("g") < 60, 2.0).when(F.col("g") < 128, 1.2).when(F.col("g") < 200, 0.8).otherwise(0.0)
+    return gray(spark, sf_dir).select("image_id", "y", "x", z.alias("z"))
+
+
+_STEPS = f"""{MASK}, z AS (SELECT image_id, y, x, CASE WHEN g < 60 THEN 2.0 WHEN g < 128 THEN 1.2 WHEN g < 200 THEN 0.8 ELSE 0.0 END::DOUBLE AS z FROM px),
+lv AS (SELECT image_id, level, greatest(0, coalesce(lag(level) OVER (PARTITION BY image_id ORDER BY level) - 0.01, 0)) AS low, row_number() OVER (PARTITION BY image_id ORDER BY level) AS k FROM (SELECT DISTINCT image_id, z AS level FROM z WHERE z > 0))"""
+
+
+@query(f"""{_STEPS}, onp AS (SELECT lv.image_id * 4 + k AS image_id, y, x FROM z JOIN lv ON lv.image_id = z.image_id AND z.z >= level - 1e-6), {_LABEL.format(on='onp', near=_FOUR)},
+pinch AS (SELECT DISTINCT a.image_id AS key FROM lab a JOIN lab b ON a.image_id = b.image_id AND a.root = b.root AND b.y = a.y + 1 AND abs(b.x - a.x) = 1 WHERE NOT EXISTS (SELECT 1 FROM lab c WHERE c.image_id = a.image_id AND ((c.y = a.y AND c.x = b.x) OR (c.y = b.y AND c.x = a.x)))),
+s AS (SELECT lv.image_id, lv.k, (SELECT count(*) FROM onp WHERE onp.image_id = lv.image_id * 4 + lv.k) * (level - low) * 100 AS v, EXISTS (SELECT 1 FROM pinch WHERE key = lv.image_id * 4 + lv.k) AS bad FROM lv),
+t AS (SELECT image_id, count(*) AS levels, count(*) FILTER (bad) AS repaired, sum(v) AS v FROM s GROUP BY image_id), i AS (SELECT DISTINCT image_id FROM px)
+SELECT image_id, coalesce(levels, 0) AS levels, CASE WHEN levels > 0 THEN 'stacked_shells' END AS backend, repaired, CASE WHEN repaired = 0 THEN round(v, 3) END AS volume, CASE WHEN levels > 0 THEN true END AS watertight, CASE WHEN levels IS NULL THEN 'no printable pixels' END AS reason FROM i LEFT JOIN t USING (image_id)""")
+def filament_shells(spark, sf_dir):
+    """Stacked shells 80 mm wide; shells that touch themselves are repaired, and their volume is not compared."""
+    m = filament.filament_mesh(_steps(spark, sf_dir), 80.0)
+    return m.select("image_id", "levels", "backend", "repaired", F.when(F.col("repaired") == 0, F.round("volume", 3)).alias("volume"), "watertight", "reason")
+
+
+@query(f"""{_STEPS} SELECT z.image_id, count(DISTINCT CASE WHEN z > 0 THEN z END) AS levels, CASE WHEN max(z) > 0 THEN 'pixel_heightfield' END AS backend, CASE WHEN max(z) > 0 THEN round(sum(z) * 100, 3) END AS volume, CASE WHEN max(z) > 0 THEN 'pixels were asked for' ELSE 'no printable pixels' END AS reason FROM z GROUP BY image_id""")
+def filament_pixels(spark, sf_dir):
+    m = filament.filament_mesh(_steps(spark, sf_dir), 80.0, style="pixel")
+    return m.select("image_id", "levels", "backend", F.round("volume", 3).alias("volume"), "reason")
