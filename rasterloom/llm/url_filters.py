@@ -104,6 +104,10 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def rarest(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> list[tuple[str, Rule | Pattern]]:
+    """Each rule with the token it is filed under; a rule without a whole token cannot be filed and raises."""
+    bare = [r.name for r in rules if not r.tokens]
+    if bare:
+        raise ValueError(f"rules without a whole token: {bare}")
     return [(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), r) for r in rules]
 
 

@@ -77,6 +77,13 @@ def test_many_rules_are_joined(spark):
     assert got == {1: ("h5.org/a/", "block"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "allow")}
 
 
+def test_rules_without_tokens_raise_and_clashing_columns_travel(spark):
+    with pytest.raises(ValueError, match="without a whole token"):
+        url_filters.rarest([url_filters.Rule("block", "", "/")], {})
+    p = spark.createDataFrame([(1, "http://a.net/", 5, 6, 7)], "page_id long, url string, host int, tokens int, verdict int")
+    assert url_filters.filter_urls(p).columns == p.columns and url_filters.judge(p).first()["verdict"] == "block"
+
+
 def test_tokens_end_wherever_a_pattern_has_a_boundary(spark):
     """Every pattern run on every URL, without an index, gives the same verdicts."""
     r = random.Random(4)
