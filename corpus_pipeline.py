@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and reads
 them back as the next one's input, so that a lost executor repeats one stage at most.
+
+Defined cases: a null text is scored like an empty one, is one empty line, is linked with
+nothing, takes no words and has no tokens; rows with a null id count as one document after
+all others for lines, and are told apart by their texts elsewhere; repeated rows are near
+copies of each other, so one stays; empty tables give empty results; other columns travel
+to the mixture untouched, whatever their names.
 """
 
 from __future__ import annotations
