@@ -187,9 +187,13 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
 
 
 def contains(rings: DataFrame, points: DataFrame) -> DataFrame:
-    """(image_id, ring, point): the rings around each point (image_id, point, x, y), by crossings of a ray to the right."""
-    p = _around(rings).select("image_id", "ring", "px", "py", "cx", "cy")
-    hit = p.join(points, "image_id").where(((F.col("py") > F.col("y")) != (F.col("cy") > F.col("y"))) & (F.col("x") < (F.col("cx") - F.col("px")) * (F.col("y") - F.col("py")) / (F.col("cy") - F.col("py")) + F.col("px")))
+    """(image_id, ring, point): the rings around each point (image_id, point, x, y), by crossings of a ray to the right.
+
+    An edge meets the points of its rows only: both are keyed by whole y, an edge once per row it spans.
+    """
+    p = _around(rings).where("py <> cy").select("image_id", "ring", "px", "py", "cx", "cy")
+    p = p.withColumn("row", F.explode(F.sequence(F.floor(F.least("py", "cy")), F.floor(F.greatest("py", "cy")))))
+    hit = p.join(points.withColumn("row", F.floor("y")), ["image_id", "row"]).where(((F.col("py") > F.col("y")) != (F.col("cy") > F.col("y"))) & (F.col("x") < (F.col("cx") - F.col("px")) * (F.col("y") - F.col("py")) / (F.col("cy") - F.col("py")) + F.col("px")))
     return hit.groupBy("image_id", "ring", "point").agg(F.count("*").alias("n")).where("n % 2 = 1").select("image_id", "ring", "point")
 
 

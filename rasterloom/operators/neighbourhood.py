@@ -32,8 +32,8 @@ def dilate(mask: DataFrame, radius: int = 1, times: int = 1) -> DataFrame:
 
 
 def close_open(mask: DataFrame, radius: int = 1) -> DataFrame:
-    """Closing, then opening."""
-    return dilate(erode(erode(dilate(mask, radius), radius), radius), radius)
+    """Closing, then opening; dealt by image once, which serves the windows of all eight passes."""
+    return dilate(erode(erode(dilate(mask.repartition("image_id"), radius), radius), radius), radius)
 
 
 def _edges(c: str, w) -> tuple[Column, Column]:
@@ -44,7 +44,7 @@ def _edges(c: str, w) -> tuple[Column, Column]:
 def median3(mask: DataFrame) -> DataFrame:
     """3 x 3 median of a mask with repeated borders: at least five of nine."""
     a, b = _edges("m", along_rows())
-    first = mask.withColumn("s", a.cast("int") + F.col("m").cast("int") + b.cast("int"))
+    first = mask.repartition("image_id").withColumn("s", a.cast("int") + F.col("m").cast("int") + b.cast("int"))
     a, b = _edges("s", along_columns())
     return first.withColumn("m", a + F.col("s") + b >= 5).select(*KEY, "m")
 
@@ -52,13 +52,13 @@ def median3(mask: DataFrame) -> DataFrame:
 def median3_gray(gray: DataFrame) -> DataFrame:
     """3 x 3 median of gray values with repeated borders."""
     a, b = _edges("g", along_rows())
-    first = gray.withColumn("row", F.array(a, F.col("g"), b))
+    first = gray.repartition("image_id").withColumn("row", F.array(a, F.col("g"), b))
     a, b = _edges("row", along_columns())
     return first.withColumn("g", F.sort_array(F.concat(a, F.col("row"), b))[4]).select(*KEY, "g")
 
 
 def outer_edge(mask: DataFrame) -> DataFrame:
-    inner = erode(mask.withColumn("was", F.col("m")))
+    inner = erode(mask.repartition("image_id").withColumn("was", F.col("m")))
     return inner.select(*KEY, (F.col("was") & ~F.col("m")).alias("m"))
 
 
@@ -69,7 +69,7 @@ def blur3(gray: DataFrame) -> DataFrame:
         return F.coalesce(F.lag(c).over(w), F.lead(c).over(w), F.col(c)), F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c))
 
     a, b = mirrored("g", along_rows())
-    first = gray.withColumn("s", a + F.col("g") * 2 + b)
+    first = gray.repartition("image_id").withColumn("s", a + F.col("g") * 2 + b)
     a, b = mirrored("s", along_columns())
     return first.withColumn("g", F.floor((a + F.col("s") * 2 + b + 8) / 16).cast("int")).select(*KEY, "g")
 
@@ -176,7 +176,7 @@ def repair_levels(heights: DataFrame, passes: int = 64) -> DataFrame:
     levels = heights.where("h > 0").select("image_id", F.col("h").alias("level")).distinct()
     levels = written(levels.withColumn("k", F.dense_rank().over(W.partitionBy("image_id").orderBy("level"))), "levels")
     for k in range(1, (levels.agg(F.max("k")).first()[0] or 0) + 1):
-        now = written(heights.join(F.broadcast(levels.where(F.col("k") == k).drop("k")), "image_id", "left"), "level-heights")
+        now = written(heights.join(levels.where(F.col("k") == k).drop("k"), "image_id", "left"), "level-heights")
         filled = resolve_contacts(now.where("level is not null").select(*KEY, (F.col("h") >= F.col("level")).alias("m")), passes)
         heights = now.join(filled, KEY, "left").select(*KEY, F.when(F.col("m") & (F.col("h") < F.col("level")), F.col("level")).otherwise(F.col("h")).alias("h"))
     return heights

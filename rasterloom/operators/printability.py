@@ -80,9 +80,17 @@ def report(before: DataFrame, after: DataFrame, scale: float = 1.0, limits: dict
     return masks.changes(before, after).join(left, "image_id", "left").withColumn("empty", F.col("least_area_mm2").isNull())
 
 
+def height_failures(heights: DataFrame, most_levels: int = 32) -> DataFrame:
+    """(image_id, levels, error): images whose heights :func:`enforce_heights` leaves as they are."""
+    n = heights.where("z > 0").groupBy("image_id").agg(F.count_distinct("z").alias("levels"))
+    return n.where(F.col("levels") > most_levels).withColumn("error", F.concat(F.col("levels").cast("string"), F.lit(f" levels; at most {most_levels} are printable")))
+
+
 def enforce_heights(heights: DataFrame, scale: float = 1.0, limits: dict[str, float] = LIMITS, most_levels: int = 32) -> DataFrame:
     """Each level's mask enforced, from the lowest up; what a level loses falls to the level below.
 
+    Images of more than ``most_levels`` stay as they are, and :func:`height_failures` names them.
+
     A level sees what lower ones changed, so the levels are taken in turn: the k-th level of
     every image at once, as many turns as an image has levels.
     """
@@ -90,10 +98,9 @@ def enforce_heights(heights: DataFrame, scale: float = 1.0, limits: dict[str, fl
 
     z = heights.select("image_id", "z").where("z > 0").distinct()
     ranked = z.withColumn("k", F.row_number().over(W.partitionBy("image_id").orderBy("z")))
-    steps, _ = small(ranked.select("image_id", "k", "z", F.coalesce(F.lag("z").over(W.partitionBy("image_id").orderBy("z")), F.lit(0.0)).alias("below")))
+    ranked = ranked.select("image_id", "k", "z", F.coalesce(F.lag("z").over(W.partitionBy("image_id").orderBy("z")), F.lit(0.0)).alias("below"), F.count("*").over(W.partitionBy("image_id")).alias("levels"))
+    steps, _ = small(ranked.where(F.col("levels") <= most_levels).drop("levels"))
     turns = steps.agg(F.max("k")).first()[0] or 0
-    if turns > most_levels:
-        raise ValueError(f"{turns} levels; at most {most_levels} are expected")
     now = written(heights.select(*KEY, "z"), "heights")
     for k in range(1, turns + 1):
         level = steps.where(f"k = {k}").select("image_id", F.col("z").alias("level"), "below")

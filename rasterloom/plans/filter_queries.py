@@ -125,17 +125,17 @@ def far_distances(spark, sf_dir):
     return neighbourhood.full_distance(m).where("m").select(*masks.KEY, F.round("d", 4).alias("d"))
 
 
-def _labelled(name: str, on: str, near: str) -> str:
+def labelled(name: str, on: str, near: str, side: int = 64) -> str:
     """Least pixel number of each component: labels are replaced by lesser ones of neighbours until none is left."""
-    return f"""{name}n AS MATERIALIZED (SELECT a.image_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM {on} a, (VALUES {near}) AS o(j, i), {on} b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i),
-{name}(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, y * 64 + x, y * 64 + x FROM {on} UNION SELECT c.image_id, c.p, min(t.root) FROM {name} t JOIN {name}n e ON e.image_id = t.image_id AND e.p = t.p JOIN recurring.{name} c ON c.image_id = t.image_id AND c.p = e.q WHERE t.root < c.root GROUP BY c.image_id, c.p)"""
+    return f"""{name}n AS MATERIALIZED (SELECT a.image_id, a.y * {side} + a.x AS p, b.y * {side} + b.x AS q FROM {on} a, (VALUES {near}) AS o(j, i), {on} b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i),
+{name}(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, y * {side} + x, y * {side} + x FROM {on} UNION SELECT c.image_id, c.p, min(t.root) FROM {name} t JOIN {name}n e ON e.image_id = t.image_id AND e.p = t.p JOIN recurring.{name} c ON c.image_id = t.image_id AND c.p = e.q WHERE t.root < c.root GROUP BY c.image_id, c.p)"""
 
 
-_EIGHT = "(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)"
-_FOUR = "(-1, 0), (0, -1), (0, 1), (1, 0)"
+EIGHT = "(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)"
+FOUR = "(-1, 0), (0, -1), (0, 1), (1, 0)"
 
 
-@query(f"{PX}, onp AS (SELECT image_id, y, x FROM px WHERE g < 150), {_labelled('lab', 'onp', _EIGHT)} SELECT image_id, count(*) AS components, max(area) AS largest, sum(area * area)::BIGINT AS squares FROM (SELECT image_id, root, count(*) AS area FROM lab GROUP BY ALL) GROUP BY image_id")
+@query(f"{PX}, onp AS (SELECT image_id, y, x FROM px WHERE g < 150), {labelled('lab', 'onp', EIGHT)} SELECT image_id, count(*) AS components, max(area) AS largest, sum(area * area)::BIGINT AS squares FROM (SELECT image_id, root, count(*) AS area FROM lab GROUP BY ALL) GROUP BY image_id")
 def large_components(spark, sf_dir):
     c = regions.components(masks.threshold(gray(spark, sf_dir), 150)).groupBy("image_id", "comp").agg(F.count("*").alias("area"))
     return c.groupBy("image_id").agg(F.count("*").alias("components"), F.max("area").alias("largest"), F.sum(F.col("area") * F.col("area")).alias("squares"))
@@ -148,16 +148,16 @@ ot AS (SELECT image_id, max_by(g, (b, -g)) AS cut FROM (SELECT image_id, g, roun
 sd AS (SELECT s.*, cut, (y IN (0, h - 1))::INT + (x IN (0, w - 1))::INT AS t FROM soft s JOIN ot USING (image_id) JOIN sz USING (image_id)),
 ch AS (SELECT image_id, (sum((g > cut)::INT * t) / sum(t)::DOUBLE, abs(avg((g > cut)::INT) - 0.3)) < (sum((g < cut)::INT * t) / sum(t)::DOUBLE, abs(avg((g < cut)::INT) - 0.3)) AS high FROM sd GROUP BY image_id),
 mask AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN high THEN g > cut ELSE g < cut END AS m FROM sd JOIN ch USING (image_id)),
-onp AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE m), off AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE NOT m), {_labelled('lab', 'onp', _EIGHT)}, {_labelled('bg', 'off', _FOUR)}, {_WIDTHS},
+onp AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE m), off AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE NOT m), {labelled('lab', 'onp', EIGHT)}, {labelled('bg', 'off', FOUR)}, {_WIDTHS},
 ar AS (SELECT image_id, root, count(*) AS area FROM lab GROUP BY ALL),
 cc AS (SELECT image_id, count(area) AS components, count(*) FILTER (area >= greatest(24.0, w * h * 0.002)) AS significant, count(*) FILTER (area >= greatest(6.0, w * h * 0.00025) AND area < greatest(24.0, w * h * 0.002)) AS small, count(*) FILTER (area < greatest(6.0, w * h * 0.00025)) AS tiny FROM sz LEFT JOIN ar USING (image_id) GROUP BY image_id, w, h),
 ho AS (SELECT image_id, count(*) AS holes, avg(area / (w * h)::DOUBLE) AS share FROM (SELECT image_id, root, count(*) AS area, bool_or(p // 64 IN (0, h - 1) OR p % 64 IN (0, w - 1)) AS open, any_value(w) AS w, any_value(h) AS h FROM bg JOIN sz USING (image_id) GROUP BY image_id, root) WHERE NOT open GROUP BY image_id),
 ed AS (SELECT image_id, count(*) AS n FROM edge GROUP BY image_id),
 wi AS (SELECT image_id, avg((round(d, 4) <= 1.5)::INT) AS narrow, median(round(d, 4)) * 2 AS width, avg((round(d, 4) >= 6)::INT) AS solid FROM dist GROUP BY image_id),
-ex AS (SELECT a.image_id, count(*) AS sides FROM onp a, (VALUES {_FOUR}) AS o(j, i) WHERE NOT EXISTS (SELECT 1 FROM onp b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i) GROUP BY a.image_id),
+ex AS (SELECT a.image_id, count(*) AS sides FROM onp a, (VALUES {FOUR}) AS o(j, i) WHERE NOT EXISTS (SELECT 1 FROM onp b WHERE b.image_id = a.image_id AND b.y = a.y + o.j AND b.x = a.x + o.i) GROUP BY a.image_id),
 tl AS (SELECT image_id, min(y) AS top, max(y) - min(y) + 1 AS tall, count(*) AS n FROM onp GROUP BY image_id),
 lo AS (SELECT image_id, stddev_pop((low - top) / tall::DOUBLE) AS v FROM (SELECT image_id, x, max(y) AS low FROM onp GROUP BY ALL) JOIN tl USING (image_id) GROUP BY image_id),
-down AS MATERIALIZED (SELECT o.image_id, y, x FROM onp o JOIN tl USING (image_id) WHERE y - top >= floor(tall * 0.55)), {_labelled('dl', 'down', _EIGHT)},
+down AS MATERIALIZED (SELECT o.image_id, y, x FROM onp o JOIN tl USING (image_id) WHERE y - top >= floor(tall * 0.55)), {labelled('dl', 'down', EIGHT)},
 sl AS (SELECT image_id, count(*) FILTER (area > 8 AND hh / ww::DOUBLE > 1.5 AND area / (ww * hh)::DOUBLE < 0.65) AS slender FROM (SELECT image_id, root, count(*) AS area, max(p % 64) - min(p % 64) + 1 AS ww, max(p // 64) - min(p // 64) + 1 AS hh FROM dl GROUP BY ALL) GROUP BY image_id),
 co AS (SELECT image_id, round((quantile_cont(g, 0.95) - quantile_cont(g, 0.05)) / 255, 5) AS contrast FROM px GROUP BY image_id),
 me AS (SELECT image_id, w AS source_width, h AS source_height, w AS analysis_width, h AS analysis_height, round(coalesce(tl.n, 0) / (w * h)::DOUBLE, 5) AS foreground_percent, components AS component_count, significant AS significant_component_count, tiny AS tiny_component_count, small AS small_component_count, coalesce(holes, 0) AS hole_count, round(coalesce(share, 0), 6) AS average_hole_area_percent,
@@ -188,3 +188,31 @@ SELECT image_id, y, x, CASE WHEN m THEN 245 ELSE floor(226 - 226 * a / 255.0::DO
 def raised_preview(spark, sf_dir):
     """A plate above its soft shadow, layer over layer."""
     return filters.raised_preview(gray(spark, sf_dir)).select(*masks.KEY, "r")
+
+
+def _job_pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs of every mode over 8 x 8 images; some images lack a pixel, some modes and backends are unknown."""
+    from .raster_queries import gray as small_gray
+
+    px = small_gray(spark, sf_dir).where("image_id % 13 <> 0 or y <> 3 or x <> 3").select(*masks.KEY, F.col("g").alias("r"), "g", F.col("g").alias("b"), F.lit(255).alias("a"))
+    i = F.col("image_id")
+    mode = F.when(i % 5 == 0, "flat_relief").when(i % 5 == 1, "wall_art").when(i % 5 == 2, "lithophane").when(i % 5 == 3, "filament_swap_relief").otherwise("sculpture")
+    jobs_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id")).withColumn("mode", mode).withColumn("backend", F.when(i % 3 == 0, "raster_heightfield").when(i % 7 == 0, "other").otherwise("auto_vector_first"))
+    return jobs_, px
+
+
+@query("""px AS (SELECT vec_id AS image_id, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, least(255, greatest(0, floor((v::DOUBLE + 0.55) * 255 / 1.1)))::INT AS g FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
+j AS (SELECT vec_id AS image_id, CASE vec_id % 5 WHEN 0 THEN 'flat_relief' WHEN 1 THEN 'wall_art' WHEN 2 THEN 'lithophane' WHEN 3 THEN 'filament_swap_relief' ELSE 'sculpture' END AS mode, CASE WHEN vec_id % 3 = 0 THEN 'raster_heightfield' WHEN vec_id % 7 = 0 THEN 'other' ELSE 'auto_vector_first' END AS asked FROM embeddings),
+m AS (SELECT image_id, count(*) FILTER (g < 128) AS dark, sum(3.0::DOUBLE - g / 255.0::DOUBLE * (3.0::DOUBLE - 0.8::DOUBLE)) AS mm FROM px GROUP BY image_id),
+e AS (SELECT *, CASE WHEN mode = 'sculpture' THEN 'the mode is unknown' WHEN mode IN ('flat_relief', 'wall_art') AND asked = 'other' THEN 'the backend is unknown' WHEN image_id % 13 = 0 THEN 'pixels are missing or repeated' WHEN mode IN ('flat_relief', 'wall_art') AND dark = 0 THEN 'the artwork is empty' END AS error FROM j JOIN m USING (image_id))
+SELECT image_id, mode, error, CASE WHEN error = 'the artwork is empty' THEN 'mask' WHEN error LIKE 'pixels%' THEN 'decode' WHEN error IS NOT NULL THEN 'config' END AS stage,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN mode = 'lithophane' THEN 'lithophane_heightfield' WHEN mode = 'filament_swap_relief' THEN 'stacked_shells' WHEN asked = 'raster_heightfield' THEN asked ELSE 'vector_extrusion' END AS backend,
+ CASE WHEN error IS NULL AND mode <> 'filament_swap_relief' THEN round(100 * CASE mode WHEN 'lithophane' THEN mm WHEN 'flat_relief' THEN dark * 2.2::DOUBLE ELSE dark * 2.8::DOUBLE END, -1) END AS volume FROM e""")
+def job_modes(spark, sf_dir):
+    """One report over jobs of all modes, failures among them; repaired outlines count as vector ones."""
+    from ..operators import jobs
+
+    todo, px = _job_pixels(spark, sf_dir)
+    z = lambda p: p.select(*masks.KEY, F.when(F.col("g") < 100, 1.2).otherwise(0.8).alias("z"))
+    report = jobs.run_jobs(todo, px, smooth=False, heights=z)
+    return report.select("image_id", "mode", "error", "stage", F.regexp_replace("backend", "_repaired$", "").alias("backend"), F.when(F.col("mode") != "filament_swap_relief", F.round("volume", -1)).alias("volume"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import artwork, contours, masks, meshes, metrics, presets, printability, regions, reports
 from ..storage import table
 from . import raster_queries as R
+from .filter_queries import EIGHT, FOUR, labelled
 from .raster_queries import _EIGHT, _LABEL, COMP, LABELS, MASK, PX, RGB, gray, labels, mask, rgb
 from .report_queries import _RUNS, _TURN, RINGS, around, rings
 
@@ -47,7 +48,19 @@ def close_gaps(spark, sf_dir):
     return printability.close_gaps(mask(spark, sf_dir), 1)
 
 
-@query()
+_PLUS = "SELECT a.image_id, a.y, a.x, {how}(b.m) AS m FROM {of} a JOIN {of} b ON b.image_id = a.image_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL"
+
+
+@query(f"""{MASK}, off AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE NOT m), {labelled('h1', 'off', EIGHT, 8)}, tiny AS (SELECT image_id, p // 8 AS y, p % 8 AS x FROM h1 QUALIFY NOT bool_or(p // 8 IN (0, 7) OR p % 8 IN (0, 7)) OVER (PARTITION BY image_id, root) AND count(*) OVER (PARTITION BY image_id, root) < 3),
+m1 AS MATERIALIZED (SELECT mask.image_id, mask.y, mask.x, m OR tiny.y IS NOT NULL AS m FROM mask LEFT JOIN tiny USING (image_id, y, x)), dil AS MATERIALIZED ({_PLUS.format(how='bool_or', of='m1')}), clo AS MATERIALIZED ({_PLUS.format(how='bool_and', of='dil')}),
+onc AS MATERIALIZED (SELECT image_id, y, x FROM clo WHERE m), {labelled('c1', 'onc', EIGHT, 8)},
+st AS (SELECT image_id, root, count(*) AS area, least(max(p % 8) - min(p % 8), max(p // 8) - min(p // 8)) + 1 AS thin, greatest(max(p % 8) - min(p % 8), max(p // 8) - min(p // 8)) + 1 AS long FROM c1 GROUP BY ALL),
+ac AS (SELECT image_id, root, CASE WHEN thin < 2 AND long >= 4 AND area >= 4 THEN 'grow' WHEN area < 4 OR thin < 2 THEN 'go' ELSE 'keep' END AS action FROM st),
+cells AS (SELECT c1.image_id, p // 8 AS y, p % 8 AS x, action FROM c1 JOIN ac USING (image_id, root) WHERE action <> 'go'),
+aft AS MATERIALIZED (SELECT image_id, y, x FROM cells UNION SELECT c.image_id, m.y, m.x FROM cells c JOIN mask m ON m.image_id = c.image_id AND abs(m.y - c.y) + abs(m.x - c.x) = 1 WHERE action = 'grow'), {labelled('c2', 'aft', EIGHT, 8)},
+least_area AS (SELECT image_id, min(area)::DOUBLE AS area FROM (SELECT image_id, root, count(*) AS area FROM c2 GROUP BY ALL) GROUP BY image_id),
+f AS (SELECT mask.image_id, m AS p, aft.y IS NOT NULL AS q FROM mask LEFT JOIN aft USING (image_id, y, x))
+SELECT image_id, count(*) FILTER (p AND q) AS kept, count(*) FILTER (p AND NOT q) AS removed, count(*) FILTER (q AND NOT p) AS added, bool_or(p <> q) AS changed, any_value(area) AS least_area_mm2, any_value(area) IS NULL AS empty FROM f LEFT JOIN least_area USING (image_id) GROUP BY image_id""")
 def printable_mask_report(spark, sf_dir):
     before = mask(spark, sf_dir)
     return printability.report(before, printability.enforce(before, 1.0, LIMITS), 1.0, LIMITS)
@@ -59,7 +72,10 @@ def printable_heights(spark, sf_dir):
     return printability.enforce_heights(h, 1.0, LIMITS)
 
 
-@query()
+@query(f"""{MASK}, b AS (SELECT image_id, min(x) FILTER (m) AS x0, (min(x) FILTER (m) + max(x) FILTER (m)) // 2 AS cx, min(y) FILTER (m) AS y0, CASE WHEN bool_or(m) THEN 5 ELSE 0 END AS up FROM mask GROUP BY image_id),
+g AS (SELECT b.*, gy, gx FROM b, (SELECT unnest(range(13)) AS gy), (SELECT unnest(range(8)) AS gx) WHERE gy < 8 + up),
+k AS (SELECT g.image_id, gy, coalesce(m, false) AS was, x0 IS NULL AS bare, (gx - cx) * (gx - cx) + (gy - up) * (gy - up) AS far, gx BETWEEN greatest(0, cx - 1) AND least(7, cx + 1) AND gy BETWEEN up AND up + y0 + 2 AS tab FROM g LEFT JOIN mask ON mask.image_id = g.image_id AND mask.y = gy - up AND mask.x = gx)
+SELECT image_id, count(*) FILTER (CASE WHEN bare THEN was ELSE (was OR far <= 9 OR tab) AND NOT far <= 4 END) AS pixels, (max(gy) + 1)::INT AS height FROM k GROUP BY image_id""")
 def keychain_mask(spark, sf_dir):
     return printability.keychain(mask(spark, sf_dir)).groupBy("image_id").agg(F.count_if("m").alias("pixels"), (F.max("y") + 1).alias("height"))
 
@@ -94,7 +110,18 @@ def color_regions(spark, sf_dir):
     return artwork.color_regions(px, px.select(*masks.KEY, (F.col("r") < 128).alias("m")), 3)
 
 
-@query()
+def _large(name: str, labels: str, least: int) -> str:
+    return f"{name} AS MATERIALIZED (SELECT image_id, p // 8 AS y, p % 8 AS x FROM {labels} QUALIFY count(*) OVER (PARTITION BY image_id, root) >= {least})"
+
+
+@query(f"""{MASK}, on1 AS MATERIALIZED (SELECT image_id, y, x FROM mask WHERE m), {labelled('l1', 'on1', EIGHT, 8)}, {_large('src', 'l1', 4)},
+off AS MATERIALIZED (SELECT image_id, y, x FROM mask ANTI JOIN src USING (image_id, y, x)), {labelled('l2', 'off', FOUR, 8)},
+inside AS (SELECT image_id, p // 8 AS y, p % 8 AS x FROM l2 QUALIFY NOT bool_or(p // 8 IN (0, 7) OR p % 8 IN (0, 7)) OVER (PARTITION BY image_id, root)), raw AS MATERIALIZED (SELECT * FROM inside), {labelled('l3', 'raw', EIGHT, 8)}, {_large('hole', 'l3', 4)},
+filled AS MATERIALIZED (SELECT * FROM src UNION ALL SELECT * FROM inside), body AS MATERIALIZED (SELECT * FROM filled ANTI JOIN hole USING (image_id, y, x)),
+rim AS (SELECT DISTINCT f.image_id, f.y, f.x FROM filled f, mask n WHERE n.image_id = f.image_id AND abs(n.y - f.y) <= 1 AND abs(n.x - f.x) <= 1 AND NOT EXISTS (SELECT 1 FROM filled g WHERE g.image_id = n.image_id AND g.y = n.y AND g.x = n.x)),
+dark AS MATERIALIZED (SELECT b.image_id, b.y, b.x FROM body b ANTI JOIN rim USING (image_id, y, x) JOIN px p ON p.image_id = b.image_id AND p.y = b.y AND p.x = b.x WHERE p.g < 90), {labelled('l4', 'dark', EIGHT, 8)}, {_large('detail', 'l4', 2)},
+i AS (SELECT DISTINCT image_id FROM px), n AS (SELECT image_id, 'b' AS k FROM body UNION ALL SELECT image_id, 'h' FROM hole UNION ALL SELECT image_id, 'd' FROM detail)
+SELECT image_id, count(*) FILTER (k = 'b') AS body, count(*) FILTER (k = 'h') AS hole, count(*) FILTER (k = 'd') AS detail, count(*) FILTER (k = 'b') AS final FROM i LEFT JOIN n USING (image_id) GROUP BY image_id""")
 def artwork_classes(spark, sf_dir):
     g, m = gray(spark, sf_dir), mask(spark, sf_dir)
     dark = g.select(*masks.KEY, (F.col("g") < 90).alias("m"))
@@ -144,7 +171,7 @@ def foreground_side(spark, sf_dir):
     return masks.foreground(g).groupBy("image_id").agg(F.count_if("m").alias("pixels"))
 
 
-@query()
+@query(f"{MASK}, s AS (SELECT a.image_id, count(*) AS sides FROM mask a, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(j, i) WHERE a.m AND NOT EXISTS (SELECT 1 FROM mask b WHERE b.image_id = a.image_id AND b.y = a.y + j AND b.x = a.x + i AND b.m) GROUP BY a.image_id), n AS (SELECT image_id, count(*) FILTER (m) AS n FROM mask GROUP BY image_id) SELECT image_id, round(coalesce(sides, 0) / greatest(1.0::DOUBLE, sqrt(n)), 4) AS roughness FROM n LEFT JOIN s USING (image_id)")
 def boundary_roughness(spark, sf_dir):
     """Perimeter of all traced rings over the square root of the mask's size."""
     m = mask(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures
 from ..operators import contours, metrics, scoring
 from ..storage import table
+from .raster_queries import SQL as RASTER_SQL
 from .raster_queries import gray, mask
 
 QUERIES: dict = {}
@@ -211,7 +212,7 @@ def mask_png(spark, sf_dir):
 
 @query()
 def artwork_metrics(spark, sf_dir):
-    """All measures of an image in one row: each has a query of its own with a DuckDB counterpart."""
+    """Measures of an image in one row: each has a query of its own, and its counterpart joins theirs."""
     g, m = gray(spark, sf_dir), mask(spark, sf_dir)
     return metrics.otsu(g).join(metrics.contrast(g), "image_id").join(metrics.component_counts(m), "image_id").join(metrics.widths(m), "image_id").join(metrics.lower_profile(m), "image_id", "left")
 
@@ -247,3 +248,7 @@ def job_warnings(spark, sf_dir):
     listed = scoring.with_report_warnings(known, F.array(priority, status, priority))
     errors = F.when(k % 8 == 2, F.array(F.lit("no faces"), F.lit("open edges")))
     return table(spark, sf_dir, "orders").select(k.alias("image_id"), F.array_join(scoring.with_package_warning(listed, k % 2 == 0, k % 4 == 0, errors), "|").alias("warnings"))
+
+
+_MEASURES_OF = ("otsu_threshold", "contrast_quality", "component_counts", "feature_widths")
+SQL["artwork_metrics"] = "SELECT * FROM " + " JOIN ".join(f"({RASTER_SQL[n]}) AS {n}" + (" USING (image_id)" if k else "") for k, n in enumerate(_MEASURES_OF)) + f" LEFT JOIN ({RASTER_SQL['lower_profile']}) AS lower_profile USING (image_id)"

@@ -16,10 +16,13 @@ def is_artwork(path: Column) -> Column:
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(image_id, path, width, height, channels, data, valid): one row per artwork file of a folder.
 
-    Files that no decoder reads stay, with ``valid`` false, so that the job can report them.
+    An image is named by its file without the ending, or with it where another file has the same
+    name.  Files that no decoder reads stay, with ``valid`` false, so that the job can report them.
     """
-    rows = spark.read.format("image").load(folder).select("image.*")
-    named = rows.where(is_artwork(F.col("origin"))).withColumn("image_id", F.regexp_extract("origin", r"([^\/]+)\.[^.\/]+$", 1))
+    rows = spark.read.format("image").load(folder).select("image.*").where(is_artwork(F.col("origin")))
+    stem = F.regexp_extract("origin", r"([^\/]+)\.[^.\/]+$", 1)
+    shared = rows.select(stem.alias("stem")).groupBy("stem").agg((F.count("*") > 1).alias("shared"))
+    named = rows.withColumn("stem", stem).join(shared, "stem").withColumn("image_id", F.when(F.col("shared"), F.regexp_extract("origin", r"([^\/]+)$", 1)).otherwise(F.col("stem")))
     return named.select("image_id", F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", (F.col("width") > 0).alias("valid"))
 
 

@@ -6,7 +6,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, measures
-from rasterloom.operators import contours, layers, masks, meshes, metrics, neighbourhood, regions, scoring
+from rasterloom.operators import contours, layers, masks, meshes, metrics, neighbourhood, printability, regions, scoring
 from rasterloom.sources import rasters, readers, sinks
 from rasterloom.streaming import intake
 
@@ -283,3 +283,19 @@ def test_basic_silhouette_takes_alpha_or_the_dark_side(spark):
     assert side() == left - {(1, 2, 1)} | {(1, 0, 4)}
     assert side(invert=True) == {(k, y, x) for k in (0, 1) for y in range(5) for x in range(5)} - side()
     assert side(radius=1) >= left  # the gap is closed
+
+
+def test_images_of_one_name_are_told_apart(spark, tmp_path):
+    for name, shade in (("a.png", 0), ("a.PNG", 255), ("b.png", 9)):
+        (tmp_path / name).write_bytes(sinks.png(np.full((2, 2), shade)))
+    files = rasters.image_files(spark, f"file://{tmp_path}")
+    assert {r["image_id"] for r in files.collect()} == {"a.png", "a.PNG", "b"}
+    assert {(r["image_id"], r["r"]) for r in rasters.pixels(files).collect()} == {("a.png", 0), ("a.PNG", 255), ("b", 9)}
+
+
+def test_a_deep_image_stays_and_is_named(spark):
+    rows = [(1, 0, x, 0.1 * (x + 1)) for x in range(40)] + [(2, y, x, 1.0) for y in range(3) for x in range(3)]
+    h = spark.createDataFrame(rows, "image_id long, y int, x int, z double")
+    got = {(r["image_id"], r["y"], r["x"]): r["z"] for r in printability.enforce_heights(h).collect()}
+    assert got == {(i, y, x): pytest.approx(z) for i, y, x, z in rows}
+    assert [(r["image_id"], r["levels"]) for r in printability.height_failures(h).collect()] == [(1, 40)]
