@@ -67,7 +67,8 @@ def closed_shells(rings: DataFrame, repairs: tuple[float, ...] = REPAIRS) -> tup
             outline = polygons.outlines(found)
             directed = polygons.rings(outline)
         else:
-            found, outline = extrusion.closed(directed.join(left, "image_id", "left_semi"), repair)
+            # a repair is far smaller than a pixel, so two chords a right angle are round enough
+            found, outline = extrusion.closed(directed.join(left, "image_id", "left_semi"), repair, quarter=2)
         first = False
         made = written(polygons.extruded(found, outline), "shell-faces")
         report = written(polygons.mesh_report(made, 1.0).withColumn("attempt", F.lit(n)), "shell-report")
