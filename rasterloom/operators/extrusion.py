@@ -42,10 +42,11 @@ def part_actions(outline: DataFrame, limits: dict[str, float] = LIMITS) -> DataF
     return polygons.part_measures(outline).select("image_id", "part", "area", "w", "h", action.alias("action"), growth.alias("growth"))
 
 
-def printable(points: DataFrame, limits: dict[str, float] = LIMITS, rule: str = "evenodd") -> tuple[DataFrame, DataFrame, DataFrame]:
+def printable(points: DataFrame, limits: dict[str, float] = LIMITS, rule: str = "evenodd", quarter: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, outline, report): holes too small are filled, gaps closed, parts thickened or removed, the rest united.
 
-    The report has a row for every image of ``points``, also where nothing remains.
+    The report has a row for every image of ``points``, also where nothing remains.  ``quarter``: chords
+    of a right angle where outlines are moved; the work grows with it.
     """
     images = written(points.select("image_id").distinct(), "polygon-images")
     kept, filled = without_tiny_holes(polygons.outlines(polygons.spans(points, rule=rule)), limits["hole_area"])
@@ -53,14 +54,14 @@ def printable(points: DataFrame, limits: dict[str, float] = LIMITS, rule: str =
     before = polygons.spans(kept, rule="positive")
     outline = polygons.outlines(before)
     if limits["gap"] > 0:
-        after, outline = closed(kept, limits["gap"] / 2)
+        after, outline = closed(kept, limits["gap"] / 2, quarter)
         grew = polygons.areas(before).withColumnRenamed("area", "was").join(polygons.areas(after), "image_id", "left")
         gaps = grew.select("image_id", (F.abs(F.coalesce("area", F.lit(0.0)) - F.col("was")) > 1e-6).cast("long").alias("closed_gaps"))
     else:
         gaps = images.select("image_id", F.lit(0).cast("long").alias("closed_gaps"))
     actions = written(part_actions(outline, limits), "part-actions")
     stay = actions.where("action in ('kept', 'thickened')").select("image_id", "part", "growth")
-    moved = polygons.offset(polygons.rings(outline).join(stay, ["image_id", "part"]), "growth")
+    moved = polygons.offset(polygons.rings(outline).join(stay, ["image_id", "part"]), "growth", quarter)
     found = polygons.spans(moved, rule="positive")
     final = polygons.outlines(found)
     size = F.least("w", "h")

@@ -153,7 +153,7 @@ def printable_polygons(spark, sf_dir):
 def closed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with gaps closed by rounded moves; tests hold areas against drawn pictures."""
     half = contours.trace(mask(spark, sf_dir)).withColumns({"px": F.col("px") / 2, "py": F.col("py") / 2})
-    return extrusion.printable(half, LIMITS)[2]
+    return extrusion.printable(half, LIMITS, quarter=2)[2]
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
