@@ -139,3 +139,51 @@ def test_no_rings(spark):
     assert polygons.spans(none).count() == 0
     assert extrusion.printable(none)[2].count() == 0
     assert extrusion.vector_extrusion(none, 1.0)[1].count() == 0
+
+
+def test_no_side_of_a_polygon_join_passes_the_driver(spark, stars):
+    a, b = stars
+    found = polygons.spans(frame(spark, a), frame(spark, b))
+    e = polygons._with_tile(polygons.edges(frame(spark, a)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for df in (polygons._ordered(frame(spark, a), None, "evenodd", None, None), polygons.crossings(e), polygons.caps(found), polygons.mesh_report(polygons.extruded(found, polygons.outlines(found)), 1.0)):
+            df.collect()
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tiles_follow_the_edges(spark):
+    p = frame(spark, {1: [box(0, 0, 3000, 2000)], 2: [box(0, 0, 0.01, 0.02)]})
+    e = polygons._with_tile(polygons.edges(p))
+    passed = {r["image_id"]: r["count"] for r in polygons._tiled(e).groupBy("image_id").count().collect()}
+    assert all(n <= 12 for n in passed.values())
+
+
+def test_several_overlays_at_once(spark, stars):
+    a, b = (frame(spark, s) for s in stars)
+    got = {r["image_id"]: r for r in polygons.overlay_areas(a, b, {"only": polygons.ONLY, "xor": polygons.EITHER}).collect()}
+    for name, how in (("only", polygons.ONLY), ("xor", polygons.EITHER)):
+        for i, area in by_image(polygons.areas(polygons.spans(a, b, how))).items():
+            assert got[i][name] == pytest.approx(area, abs=1e-4)
+
+
+def test_kernels_get_many_whole_groups_a_call(spark):
+    import pyarrow as pa
+
+    from rasterloom.operators import groups
+
+    def kernel(table, begins):
+        keys, n = table.column("k").to_pylist(), len(begins) - 1
+        assert all(len(set(keys[b:e])) == 1 for b, e in zip(begins, begins[1:], strict=False))
+        return pa.table({"k": pa.array([keys[b] for b in begins[:-1]], pa.int64()), "rows": pa.array([e - b for b, e in zip(begins, begins[1:], strict=False)], pa.int64()), "call": pa.array([n] * n, pa.int64())})
+
+    rows = [(None if k == 0 else k, n) for k in range(300) for n in range(1 + k % 7)] + [(1000, n) for n in range(5000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = groups.by_group(spark.createDataFrame(rows, "k long, n int"), ["k"], kernel, "k long, rows long, call long", ("n",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["k"]: r["rows"] for r in got} == {None: 1, 1000: 5000} | {k: 1 + k % 7 for k in range(1, 300)}
+    assert len(got) == 301 and max(r["call"] for r in got) > 5
