@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import contours, extrusion, polygons
+from rasterloom.operators import contours, extrusion, polygons, regions
 from rasterloom.operators.printability import LIMITS
 
 POINTS = "image_id long, ring int, seq int, px double, py double"
@@ -145,9 +145,10 @@ def test_no_side_of_a_polygon_join_passes_the_driver(spark, stars):
     a, b = stars
     found = polygons.spans(frame(spark, a), frame(spark, b))
     e = polygons._with_tile(polygons.edges(frame(spark, a)))
+    labels = spark.range(64).selectExpr("1L as image_id", "cast(id div 8 as int) as y", "cast(id % 8 as int) as x", "cast(id % 7 % 3 as int) as label")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
     try:
-        for df in (polygons._ordered(frame(spark, a), None, "evenodd", None, None), polygons.crossings(e), polygons.caps(found), polygons.mesh_report(polygons.extruded(found, polygons.outlines(found)), 1.0)):
+        for df in (polygons._ordered(frame(spark, a), None, "evenodd", None, None), polygons.crossings(e), polygons.caps(found), polygons.mesh_report(polygons.extruded(found, polygons.outlines(found)), 1.0), regions.apply_island_policy(labels, "merge", 4, 3)):
             df.collect()
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
