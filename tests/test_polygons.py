@@ -155,6 +155,20 @@ def test_no_side_of_a_polygon_join_passes_the_driver(spark, stars):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_no_side_of_checked_caps_passes_the_driver(spark, stars):
+    from rasterloom.plans.polygon_queries import cap_check
+
+    a, b = stars
+    found = polygons.spans(frame(spark, a), frame(spark, b), polygons.ONLY)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = cap_check(found)
+        assert all(r["side_to_side"] for r in df.collect())
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tiles_follow_the_edges(spark):
     p = frame(spark, {1: [box(0, 0, 3000, 2000)], 2: [box(0, 0, 0.01, 0.02)]})
     e = polygons._with_tile(polygons.edges(p))
