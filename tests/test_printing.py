@@ -196,6 +196,22 @@ def test_meshes_are_numbered_and_judged(spark):
     assert [(r["x"], r["y"], r["z"]) for r in moved] == [(49.0, 23.0, 0.0), (51.0, 27.0, 1.0)]
 
 
+def test_faces_meet_their_numbers_without_a_shuffle_of_their_own(spark):
+    from rasterloom.operators import meshes, reports
+    from rasterloom.storage import dealt
+
+    m = mask_of(spark, ["##.", ".##"])
+    raw = {tuple(tuple(r["f"][c]) for c in "abc") for r in meshes.relief_faces(m).collect()}
+    v, f = reports.indexed(meshes.relief_faces(dealt(m, "image_id")))
+    at = {r["vid"]: tuple(r["corner"]) for r in v.collect()}
+    got = f.collect()
+    assert [at[k] for k in range(len(at))] == sorted(set(at.values()))
+    assert len(got) == len(raw) and {tuple(at[r[c]] for c in ("v1", "v2", "v3")) for r in got} == raw
+    # the pixels are dealt once, to as many tasks as asked for, and nothing is joined
+    plan = f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
 def test_physical_warnings(spark):
     from rasterloom.operators import reports
 
