@@ -287,3 +287,21 @@ def test_encode_and_decode_frames(spark, coder):
     d = byte_bpe.digests(docs).where("doc_id = 1").collect()
     assert len(d) == 2 and d[0]["n_tokens"] == len(coder[1].encode_ordinary("hello wörld"))
     assert byte_bpe.encode(docs_of(spark, []).limit(0)).count() == 0
+
+
+def test_merges_equal_plain_ones(coder):
+    bpe, _ = coder
+    rng = random.Random(8)
+    pieces = [bytes(rng.choice(b" abehlnorst\xc3\xb1") for _ in range(rng.choice([1, 2, 7, 12, 297, 298, 299, 300, 600]))) for _ in range(150)]
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while True:
+            ranked = [(bpe.ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in bpe.ranks]
+            if not ranked:
+                return [bpe.ranks[p] for p in parts]
+            k = min(ranked)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    assert [bpe.merge(p) for p in pieces] == [plain(p) for p in pieces]
+    assert not any(bpe.low)
