@@ -169,6 +169,36 @@ def test_no_side_of_checked_caps_passes_the_driver(spark, stars):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def _sent(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[0].count("Exchange hashpartitioning"), plan.count("Join")
+
+
+def test_edges_and_checked_spans_are_dealt_once_by_image(spark, stars, monkeypatch):
+    from rasterloom.plans.polygon_queries import cap_check
+
+    monkeypatch.setattr(polygons, "TASK_EDGES", 50)
+    a, b = (frame(spark, s) for s in stars)
+    assert _sent(polygons._ordered(a, b, "evenodd", None, None)) == (1, 0)
+    # the spans are read thrice: for triangles, for borders' sides and for level pieces
+    dealt, joins = _sent(cap_check(polygons.spans(a, b)))
+    assert dealt <= 3 and joins == 0
+
+
+def test_snapping_takes_halves_away_from_zero(spark):
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, -1.5, 2.5, -2.5, -0.2, 0.49, 3.0e9 + 0.5, None]
+    got = spark.createDataFrame([(None if v is None else v / polygons.GRID,) for v in values], "v double").select(polygons.snap(F.col("v")).alias("s"), (F.round(F.col("v") * polygons.GRID) / polygons.GRID).alias("r")).collect()
+    assert all(r["s"] == r["r"] for r in got)
+    assert all(math.copysign(1, r["s"]) > 0 for r in got if r["s"] == 0)
+
+
+def test_null_images_have_no_spans(spark):
+    p = frame(spark, {1: [box(0, 0, 2, 3)]})
+    both = p.unionByName(p.withColumn("image_id", F.lit(None).cast("long")))
+    assert by_image(polygons.areas(polygons.spans(both))) == {1: pytest.approx(6)}
+
+
 def test_tiles_follow_the_edges(spark):
     p = frame(spark, {1: [box(0, 0, 3000, 2000)], 2: [box(0, 0, 0.01, 0.02)]})
     e = polygons._with_tile(polygons.edges(p))
