@@ -199,6 +199,15 @@ def test_null_images_have_no_spans(spark):
     assert by_image(polygons.areas(polygons.spans(both))) == {1: pytest.approx(6)}
 
 
+def test_moved_rings_meet_without_the_driver(spark):
+    from conftest import DATA
+
+    from rasterloom.plans.polygon_queries import ring_offset
+
+    df = ring_offset(spark, f"{DATA}/sf0.001")
+    assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiles_follow_the_edges(spark):
     p = frame(spark, {1: [box(0, 0, 3000, 2000)], 2: [box(0, 0, 0.01, 0.02)]})
     e = polygons._with_tile(polygons.edges(p))
