@@ -73,6 +73,15 @@ def test_pixel_faces_are_closed_over_steps(spark):
     assert r["volume"] == pytest.approx(0.8 * 3 + 1.2 * 2 + 2.0 * 3) and r["faces"] > 8 * 4
 
 
+def test_each_image_gets_one_pixel_mesh(spark):
+    """Rows of an image meet once, also where Spark joins tasks of the sides of a plan by themselves."""
+    h = steps(spark, {k: [[0.8, 1.2 + k % 3, 0.0], [2.0, 0.8, 0.8]] for k in range(60)})
+    rows = filament.filament_mesh(h, 3.0, style="pixel").collect()
+    assert sorted(r["image_id"] for r in rows) == list(range(60))
+    # two faces above and below a pixel, and for each side two for each level between
+    assert {r["image_id"]: r["faces"] for r in rows}[0] == 2 * (2 * 5 + 22)
+
+
 def test_smoothed_levels_stay_within_each_other(spark):
     disc = [[(2.0 if (x - 12) ** 2 + (y - 12) ** 2 < 36 else 1.2 if (x - 12) ** 2 + (y - 12) ** 2 < 100 else 0.8) for x in range(24)] for y in range(24)]
     r = filament.filament_mesh(steps(spark, {1: disc}), 24.0, clean=True).first()
