@@ -189,6 +189,21 @@ def test_all_occurrences_are_counted(monkeypatch):
     assert got == true
 
 
+def test_common_shingles_come_last_however_many(spark, monkeypatch):
+    """Shingles of twenty documents are no prefix of documents with enough of their own, so no list grows with them."""
+    r = random.Random(5)
+    common = " ".join(words(r, 20))
+    rows = [(k, f"{common} " + " ".join(f"own{k}x{j}" for j in range(60))) for k in range(20)]
+    base = docs_of(spark, rows).select(F.col("doc_id").alias("place"), F.xxhash64("text").alias("ident"), "text")
+    assert ngram_join.Join(base).lists().count() == 0
+    monkeypatch.setattr(ngram_join, "MOST_SLOTS", 1024)
+    monkeypatch.setattr(ngram_join, "SLOT_ROW", 256)
+    ranks = ngram_join.Join(base).ranks()
+    tokens = np.concatenate([s for _, sets in ngram_join.sets_of(ngram_join.Rolling(), pa.array([t for _, t in rows])) for s in sets])
+    counts = np.bincount(ngram_join._slot(tokens, 1024), minlength=1024)
+    assert ngram_join.slots_for(len(tokens)) == 1024 and ranks.tolist() == np.minimum(counts, 128).tolist()
+
+
 def test_far_members_are_linked_with_near_ones():
     hub, near = set(range(100)), set(range(14, 106))
     far = set(range(26, 110))
