@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, LOWER, docs_of
 
@@ -124,6 +125,23 @@ def test_phrases_equal_a_plain_count(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in phrases.collocations(docs_of(spark, rows), min_count=4, top=3).collect()) == [r for r in phrases_plain(rows, 4) if r[1] <= 3]
 
 
+def test_lists_of_blocks_are_not_rows(spark, monkeypatch):
+    """No row that is read, written or sent is longer than a word: lists stay in the task that makes them."""
+    names = []
+    written = phrases.C.written
+    monkeypatch.setattr(phrases.C, "written", lambda df, name: (names.append((name, df.dtypes)), written(df, name))[1])
+    rows = [(k, "alpha beta gamma delta", "s", "en") for k in range(30)]
+    assert phrases.collocations(docs_of(spark, rows)).count() > 0
+    assert names and not [x for x in names if any("array" in kind or kind == "binary" for _, kind in x[1])]
+
+
+def test_words_hash_alike_in_any_block():
+    a, b = pa.array(["tea", "pot", "é", "teapot"], pa.large_string()), pa.array(["x", "teapot", "tea"], pa.large_string())
+    one, two = phrases.word_hashes("en", a), phrases.word_hashes("en", b.slice(1))
+    assert one[[3, 0]].tolist() == two.tolist() and len(set(one.tolist())) == 4
+    assert not set(one.tolist()) & set(phrases.word_hashes("de", a).tolist())
+
+
 def digest(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
