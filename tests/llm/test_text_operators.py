@@ -204,6 +204,17 @@ def test_common_shingles_come_last_however_many(spark, monkeypatch):
     assert ngram_join.slots_for(len(tokens)) == 1024 and ranks.tolist() == np.minimum(counts, 128).tolist()
 
 
+def test_whole_rows_are_sent_once(spark):
+    """Rows are dealt by place and ident for their component, and not again to keep one of each."""
+    rows = near_rows(1) + [(300, "one two three four five six")] * 2 + [(200, ""), (200, "")]
+    kept = ngram_join.keep_first(docs_of(spark, rows))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert sent and not [x for x in sent if "root" in x]
+    found = near_components(rows)
+    assert len([x for x in kept.collect() if x["text"]]) == len({c for _, n, c in found if n}) and kept.where("text = ''").count() == 2
+
+
 def test_far_members_are_linked_with_near_ones():
     hub, near = set(range(100)), set(range(14, 106))
     far = set(range(26, 110))
